@@ -7,7 +7,15 @@ from typing import Iterable, NamedTuple
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..constants import ALL_SENSORS, CANONICAL_FIELDS, DERIVED_SUFFIXES, VERDICT_COLUMNS
+from ..constants import (
+    ALL_SENSORS,
+    CANONICAL_FIELDS,
+    DERIVED_SUFFIXES,
+    OTHER_REGION,
+    SENSOR_REGIONS,
+    SENSOR_SHORT_NAMES,
+    VERDICT_COLUMNS,
+)
 
 
 class Keys(NamedTuple):
@@ -94,3 +102,20 @@ def as_double(df: DataFrame, column: str):
     else:
         c = c.cast("double")
     return F.when(~F.isnan(c), c)
+
+
+def _squash(name: str) -> str:
+    return re.sub("[^a-z0-9]+", "", name.lower())
+
+
+def region_of(sensor: str) -> tuple[str, str]:
+    """(phrase, region id) of a sensor column name, decided on the driver."""
+    blob = _squash(sensor)
+    return next(((phrase, region) for key, phrase, region in SENSOR_REGIONS if key in blob), OTHER_REGION)
+
+
+def display_of(sensor: str) -> str:
+    """Sensor name with its short tag, unless the name is the tag."""
+    blob = _squash(sensor)
+    short = next((s for key, s in SENSOR_SHORT_NAMES if key in blob), "")
+    return sensor if not short or _squash(short) == blob else f"{sensor} ({short})"

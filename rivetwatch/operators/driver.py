@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import Keys, sensor_columns
-from ..functions.scalars import normalize_risk, sensor_display, sensor_region, sensor_region_phrase
+from ..functions.columns import Keys, display_of, region_of, sensor_columns
+from ..functions.scalars import normalize_risk
 from .series import latest_per_asset
 
 
@@ -53,28 +53,29 @@ def sensor_drivers(
     scored = []
     for i, c in enumerate(sensors):
         z = leave_one_out_z(F.col(c).cast("double"), F.col(f"__{c}.n"), F.col(f"__{c}.mean"), F.col(f"__{c}.var"))
-        # Equal |z| resolves to the earlier column.
+        phrase, region = region_of(c)
+        # |z| equal to nine digits resolves to the earlier column.
         scored.append(
             F.when(
                 F.col(c).isNotNull(),
                 F.struct(
-                    F.abs(z).alias("abs_z"), F.lit(-i).alias("order"), F.lit(c).alias("sensor"),
-                    F.col(c).cast("double").alias("value"), z.alias("z"),
+                    F.round(F.abs(z), 9).alias("abs_z"), F.lit(-i).alias("order"), F.lit(c).alias("sensor"),
+                    F.col(c).cast("double").alias("value"), z.alias("z"), F.lit(region).alias("region"),
+                    F.lit(phrase).alias("region_label"), F.lit(f"{display_of(c)} → {phrase}").alias("text"),
                 ),
             )
         )
     top = F.array_max(F.array(*scored))
-    named = F.col("risk").isin("High", "Medium") & (F.col("top.abs_z") > 1e-12)
-    name = F.col("top.sensor")
-    return rows.withColumn("top", top).select(
+    named = rows.select(keys.id, "risk", F.when(F.col("risk").isin("High", "Medium"), top).alias("top")).withColumn(
+        "top", F.when(F.col("top.abs_z") > 1e-12, F.col("top"))
+    )
+    blank = F.lit("")
+    return named.select(
         keys.id, "risk",
-        F.when(named, name).otherwise("").alias("sensor"),
-        F.when(named, F.col("top.value")).alias("value"),
-        F.when(named, F.col("top.z")).otherwise(0.0).alias("z"),
-        F.when(named, sensor_region(name)).otherwise("").alias("region"),
-        F.when(named, sensor_region_phrase(name)).otherwise("").alias("region_label"),
-        F.when(
-            named,
-            F.concat(F.col("risk"), F.lit(" driven by "), sensor_display(name), F.lit(" → "), sensor_region_phrase(name)),
-        ).otherwise("").alias("line"),
+        F.coalesce("top.sensor", blank).alias("sensor"),
+        F.col("top.value").alias("value"),
+        F.coalesce("top.z", F.lit(0.0)).alias("z"),
+        F.coalesce("top.region", blank).alias("region"),
+        F.coalesce("top.region_label", blank).alias("region_label"),
+        F.coalesce(F.concat(F.col("risk"), F.lit(" driven by "), F.col("top.text")), blank).alias("line"),
     )

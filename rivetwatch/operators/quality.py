@@ -370,25 +370,29 @@ def pca_stage(df: DataFrame, keys: Keys = Keys(), rows: int | None = None) -> Da
         *[F.when(~early, F.col(c).cast("double")).alias(f"l{i}") for i, c in enumerate(numbers)],
     )
     d = len(numbers)
-    cells = [
-        F.coalesce(safe_corr(f"{h}{i}", f"{h}{j}"), F.lit(0.0)) for h in "el" for i in range(d) for j in range(d)
-    ]
-    spread = [F.coalesce(F.var_pop(f"{h}{i}") > 0, F.lit(False)).cast("double") for h in "el" for i in range(d)]
-    one = halves.agg(F.array(*cells).alias("r"), F.array(*spread).alias("v"))
+    upper = [(i, j) for i in range(d) for j in range(i, d)]
+    one = halves.agg(
+        *[
+            F.array(*[F.coalesce(F.covar_pop(f"{h}{i}", f"{h}{j}"), F.lit(0.0)) for i, j in upper]).alias(h)
+            for h in "el"
+        ]
+    )
+
+    def share(cells) -> float:
+        cov = np.zeros((d, d))
+        for (i, j), value in zip(upper, cells):
+            cov[i, j] = cov[j, i] = value
+        live = np.flatnonzero(np.diag(cov) > 0)
+        if len(live) == 0:
+            return 0.0
+        kept = cov[np.ix_(live, live)]
+        scale = np.sqrt(np.diag(kept))
+        values = np.linalg.eigvalsh(kept / np.outer(scale, scale))
+        return float(np.sort(values)[::-1][:3].sum() / len(live))
 
     def shares(batches):
         for batch in batches:
-            out = []
-            for r, v in zip(batch["r"], batch["v"]):
-                m = np.asarray(r, dtype="float64").reshape(2, d, d)
-                live = np.asarray(v, dtype="float64").reshape(2, d)
-                got = []
-                for half, keep in zip(m, live):
-                    total = max(keep.sum(), 1.0)
-                    fixed = half * np.outer(keep, keep)
-                    got.append(float(np.sort(np.linalg.eigvalsh(fixed))[::-1][:3].sum() / total))
-                out.append(got)
-            yield pd.DataFrame(out, columns=["early", "late"])
+            yield pd.DataFrame({"early": batch["e"].map(share), "late": batch["l"].map(share)})
 
     ratio = one.mapInPandas(shares, "early double, late double")
     drift = F.abs(F.col("early") - F.col("late"))

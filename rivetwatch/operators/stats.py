@@ -145,10 +145,8 @@ def safe_corr(a: str, b: str) -> Column:
     """Pearson r over complete pairs; NULL when either side has no spread."""
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
     x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
-    flat = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
-    # covar/std instead of corr(): a constant column must give NULL, not an error.
-    r = F.covar_samp(x, y) / F.nullif(F.stddev_samp(x) * F.stddev_samp(y), F.lit(0.0))
-    return F.when(~flat, r)
+    # covar / std instead of corr(): a constant column must give NULL, not an error.
+    return F.covar_samp(x, y) / F.nullif(F.stddev_samp(x) * F.stddev_samp(y), F.lit(0.0))
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -313,7 +313,7 @@ _REGION = {
     "vibration": ("rotating_crank", "rotating assembly", "vibration"),
     "pressure": ("other", "other / unmapped region", "pressure"),
     "rpm": ("rotating_crank", "crank / prop", "rpm"),
-    "oil_pressure": ("oil_system", "oil system", "oil_pressure (oil pressure)"),
+    "oil_pressure": ("oil_system", "oil system", "oil_pressure"),
     "failure": ("other", "other / unmapped region", "failure"),
 }
 
@@ -337,7 +337,7 @@ DRIVERS_SQL = f"""
          CASE WHEN named THEN risk_level || ' driven by ' || {_case('sensor', 2)} || ' → ' || {_case('sensor', 1)} ELSE '' END AS line
   FROM (
     SELECT machine_id, risk_level, risk_level IN ('High', 'Medium') AS named, sensor, val, z,
-           row_number() OVER (PARTITION BY machine_id ORDER BY abs(z) DESC, pos) AS rn
+           row_number() OVER (PARTITION BY machine_id ORDER BY round(abs(z), 9) DESC, pos) AS rn
     FROM (
       SELECT p.machine_id, p.risk_level, u.pos, u.sensor, u.val, u.z
       FROM preds p JOIN (
