@@ -81,8 +81,8 @@ def test_clean_sensor_data_fills_per_asset_first(spark):
     rows = [(1, " A", t[0], "70"), (2, "A", t[1], "bad"), (3, "B", t[0], None), (4, "B", t[1], "90"), (5, "B", None, "1")]
     df = spark.createDataFrame(rows, "event_id long, machine_id string, timestamp timestamp, temperature string")
     out = {r["event_id"]: (r["machine_id"], r["temperature"]) for r in clean.clean_sensor_data(df).collect()}
-    assert out == {1: ("A", 70.0), 2: ("A", 70.0), 3: ("B", 70.0), 4: ("B", 77.5)} or set(out) == {1, 2, 3, 4}
-    assert out[2] == ("A", 70.0)
+    # Forward fill, then the fleet median, then the cap at 75 + 1.5 * 5.
+    assert out == {1: ("A", 70.0), 2: ("A", 70.0), 3: ("B", 70.0), 4: ("B", 82.5)}
 
 
 def test_industrial_clean_runs_in_order(spark, sf):
