@@ -290,21 +290,23 @@ def number(c: Column) -> Column:
     return c.try_cast("double")
 
 
-def looks_aviation(flat: Column, pack_id: str | None = None) -> Column:
-    """Aviation by pack, by tell-tale keys, or by an id that starts with ``UAV``."""
+def looks_aviation(text_of, has_key, pack_id: str | None = None) -> Column:
+    """Aviation by pack, by tell-tale keys, or by an id that starts with ``UAV``.
+
+    ``text_of(key)`` and ``has_key(key)`` look a payload key up as columns.
+    """
     if pack_id == "aviation_uav_piston":
         return F.lit(True)
-    asset = F.coalesce(F.nullif(flat["machine_id"], F.lit("")), flat["uav_id"], F.lit(""))
-    return F.arrays_overlap(F.map_keys(flat), F.array(*map(F.lit, AVIATION_KEYS))) | F.upper(asset).startswith("UAV")
+    asset = F.coalesce(F.nullif(text_of("machine_id"), F.lit("")), text_of("uav_id"), F.lit(""))
+    told = F.upper(asset).startswith("UAV")
+    return reduce(lambda acc, k: acc | has_key(k), AVIATION_KEYS, told)
 
 
-def oil_pressure_psi(flat: Column, aviation: Column) -> Column:
+def oil_pressure_psi(text_of, aviation: Column) -> Column:
     """PSI from explicit bar keys, a bar unit field, or small aviation values."""
-    bar = F.coalesce(*[number(flat[k]) for k in BAR_KEYS])
-    unit = F.lower(
-        F.coalesce(F.nullif(flat["oil_pressure_unit"], F.lit("")), flat["oil_unit"], F.lit(""))
-    )
-    raw = F.coalesce(number(flat["oil_pressure"]), number(flat["oil_psi"]))
+    bar = F.coalesce(*[number(text_of(k)) for k in BAR_KEYS])
+    unit = F.lower(F.coalesce(F.nullif(text_of("oil_pressure_unit"), F.lit("")), text_of("oil_unit"), F.lit("")))
+    raw = F.coalesce(number(text_of("oil_pressure")), number(text_of("oil_psi")))
     as_bar = unit.isin("bar", "bars") | (aviation & (raw > 0) & (raw <= BAR_OIL_MAX))
     return (
         F.when(bar.isNotNull(), F.bround(bar * PSI_PER_BAR, 3))

@@ -18,11 +18,7 @@ from ..functions.scalars import (
     twin_region,
     work_order_id,
 )
-from .joins import asset_spine
-
-
-def _renamed(df: DataFrame, names: dict[str, str], keys: Keys) -> DataFrame:
-    return df.select(F.trim(F.col(keys.id).cast("string")).alias(keys.id), *[F.col(s).alias(t) for t, s in names.items()])
+from .joins import merge_by_asset
 
 
 def advisory_items(
@@ -33,34 +29,36 @@ def advisory_items(
     readings: DataFrame | None = None,
     keys: Keys = Keys(),
 ) -> DataFrame:
-    """One row per asset of the id union; every input has at most one row per asset."""
-    sources = [predictions, physics, health] + ([readings] if readings is not None else [])
-    out = asset_spine(sources, keys)
-    out = out.join(_renamed(predictions, {"__p_risk": "risk_level"}, keys), keys.id, "left")
-    out = out.join(
-        _renamed(physics, {"physics_fault": "physics_fault", "physics_rule": "physics_rule",
-                           "physics_label": "physics_label", "__region": "region"}, keys), keys.id, "left",
-    )
-    out = out.join(_renamed(health, {"__h_risk": "risk_level", "health_index": "health_index"}, keys), keys.id, "left")
+    """One row per asset of the id union over all inputs."""
+    slots = {
+        "p": predictions.select(keys.id, "risk_level"),
+        "f": physics.select(keys.id, "physics_fault", "physics_rule", "physics_label", "region"),
+        "h": health.select(keys.id, "risk_level", "health_index"),
+    }
     if drivers is not None:
-        out = out.join(
-            _renamed(drivers, {"driver_sensor": "sensor", "__d_region": "region", "__phrase": "region_label"}, keys),
-            keys.id, "left",
-        )
-    else:
-        empty = F.lit(None).cast("string")
-        out = out.withColumns({"driver_sensor": empty, "__d_region": empty, "__phrase": empty})
-    risk = F.coalesce(F.nullif(F.col("__p_risk"), F.lit("")), F.col("__h_risk"))
-    fault = F.coalesce(F.col("physics_fault"), F.lit(FAULT_NONE))
-    region = F.coalesce(F.nullif(F.col("__d_region"), F.lit("")), F.col("__region"))
+        slots["d"] = drivers.select(keys.id, "sensor", "region", "region_label")
+    if readings is not None:
+        slots["r"] = readings.select(keys.id, F.lit(True).alias("seen"))
+    out = merge_by_asset(slots, keys=keys)
+    text = F.lit(None).cast("string")
+    sensor, region, phrase = (
+        (F.col("d.sensor"), F.col("d.region"), F.col("d.region_label")) if drivers is not None else (text, text, text)
+    )
+    out = out.select(
+        keys.id,
+        F.coalesce(F.nullif(F.col("p.risk_level"), F.lit("")), F.col("h.risk_level")).alias("risk"),
+        F.coalesce("f.physics_fault", F.lit(FAULT_NONE)).alias("physics_fault"),
+        F.coalesce("f.physics_rule", F.lit("")).alias("physics_rule"),
+        F.coalesce("f.physics_label", F.lit(FAULT_NONE)).alias("physics_label"),
+        sensor.alias("sensor"), F.coalesce(F.nullif(region, F.lit("")), F.col("f.region")).alias("region"),
+        phrase.alias("phrase"), F.col("h.health_index").alias("health_index"),
+    )
     hi = F.col("health_index")
     return out.select(
         keys.id,
-        advisory_action(risk, fault, F.col("driver_sensor"), region, F.col("__phrase")).alias("action"),
-        fault.alias("physics_fault"),
-        F.coalesce("physics_rule", F.lit("")).alias("physics_rule"),
-        F.coalesce("physics_label", F.lit(FAULT_NONE)).alias("physics_label"),
-        normalize_risk(risk).alias("risk_level"),
+        advisory_action(F.col("risk"), F.col("physics_fault"), F.col("sensor"), F.col("region"), F.col("phrase")).alias("action"),
+        "physics_fault", "physics_rule", "physics_label",
+        normalize_risk(F.col("risk")).alias("risk_level"),
         hi,
         F.when(hi.isNotNull(), mission_success(hi)).alias("mission_success_pct"),
         F.when(hi.isNotNull(), mission_line(F.col(keys.id), hi)).otherwise("").alias("mission_line"),
@@ -88,34 +86,33 @@ def asset_table(
 ) -> DataFrame:
     """One row per asset with advisory, decision and open work-order stub."""
     p = pack(pack_id)
-    last = readings.groupBy(F.trim(F.col(keys.id).cast("string")).alias(keys.id)).agg(F.max(keys.ts).alias("last_timestamp"))
-    out = asset_spine([last, predictions, health, items, physics], keys)
-    out = out.join(last, keys.id, "left")
-    out = out.join(_renamed(predictions, {"__p_risk": "risk_level"}, keys), keys.id, "left")
-    out = out.join(
-        _renamed(health, {"__h_risk": "risk_level", "health_index": "health_index", "__pct": "mission_success_pct"}, keys),
-        keys.id, "left",
+    out = merge_by_asset(
+        {
+            "p": predictions.select(keys.id, "risk_level"),
+            "h": health.select(keys.id, "risk_level", "health_index", "mission_success_pct"),
+            "i": items.select(keys.id, "action"),
+            "f": physics.select(keys.id, "physics_fault"),
+        },
+        {"r": readings.select(keys.id, keys.ts, keys.tie)},
+        keys,
     )
-    out = out.join(_renamed(items, {"__action": "action"}, keys), keys.id, "left")
-    out = out.join(_renamed(physics, {"__fault": "physics_fault"}, keys), keys.id, "left")
-    fault = F.coalesce("__fault", F.lit(FAULT_NONE))
-    risk = normalize_risk(F.coalesce(F.nullif(F.col("__p_risk"), F.lit("")), F.col("__h_risk")))
-    out = out.withColumn("risk_level", risk).withColumn("physics_fault", fault)
-    action = F.coalesce(F.nullif(F.col("__action"), F.lit("")), advisory_action(F.col("risk_level"), F.col("physics_fault")))
+    risk = normalize_risk(F.coalesce(F.nullif(F.col("p.risk_level"), F.lit("")), F.col("h.risk_level")))
+    out = out.withColumns({"risk_level": risk, "physics_fault": F.coalesce("f.physics_fault", F.lit(FAULT_NONE))})
+    action = F.coalesce(F.nullif(F.col("i.action"), F.lit("")), advisory_action(F.col("risk_level"), F.col("physics_fault")))
     out = out.withColumn("advisory", action)
-    order = work_order_id(F.col(keys.id), F.col("advisory"))
-    hi = F.col("health_index")
+    out = out.withColumn("work_order_id", work_order_id(F.col(keys.id), F.col("advisory")))
+    hi, order = F.col("h.health_index"), F.col("work_order_id")
     return out.select(
         keys.id,
         F.lit(p.id).alias("pack_id"),
         F.lit(p.short).alias("pack"),
-        F.coalesce(F.date_format("last_timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("")).alias("last_timestamp"),
+        F.coalesce(F.date_format(F.col("r")[keys.ts], "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("")).alias("last_timestamp"),
         "risk_level",
-        hi,
-        F.coalesce(F.col("__pct"), F.when(hi.isNotNull(), mission_success(hi))).alias("mission_success_pct"),
+        hi.alias("health_index"),
+        F.coalesce(F.col("h.mission_success_pct"), F.when(hi.isNotNull(), mission_success(hi))).alias("mission_success_pct"),
         "advisory",
         go_nogo(F.col("advisory"), F.col("risk_level")).alias("go_nogo"),
-        order.alias("work_order_id"),
+        order,
         F.when(order != "", F.col("advisory")).otherwise("").alias("wo_title"),
         F.when(order != "", "open").otherwise("").alias("wo_status"),
         "physics_fault",
@@ -130,7 +127,9 @@ def decision_order(keys: Keys = Keys()):
 
 def fleet_strip(items: DataFrame, health: DataFrame, keys: Keys = Keys()) -> DataFrame:
     """Compact status strip: tail, success chance, advisory, decision."""
-    h = _renamed(health, {"__hi": "health_index", "__pct": "mission_success_pct", "__risk": "risk_level"}, keys)
+    h = health.select(
+        keys.id, F.col("health_index").alias("__hi"), F.col("mission_success_pct").alias("__pct"), F.col("risk_level").alias("__risk")
+    )
     out = items.join(h, keys.id, "left")
     risk = F.coalesce("risk_level", "__risk", F.lit(""))
     return out.select(
@@ -161,59 +160,50 @@ def health_events(
     p = pack(pack_id)
     sensors = [c for c in ALL_SENSORS if c in readings.columns]
     extra = [c for c in ("anomaly_score", "is_anomaly") if c in readings.columns]
-    snapshot = readings.groupBy(F.trim(F.col(keys.id).cast("string")).alias(keys.id)).agg(
-        F.max_by(
-            F.struct(keys.ts, *[F.bround(as_double(readings, c), 4).alias(c) for c in sensors], *extra), keys.stamp()
-        ).alias("row")
-    )
-    out = asset_spine([predictions, physics, health, items, snapshot], keys)
-    out = out.join(snapshot, keys.id, "left").join(
-        _renamed(predictions, {"__rul": "predicted_rul_days", "__risk": "risk_level", "__proxy": "is_proxy",
-                               "__source": "label_source"}, keys), keys.id, "left",
-    ).join(
-        _renamed(physics, {"__alert": "physics_alert", "__fault": "physics_fault", "__rule": "physics_rule",
-                           "__label": "physics_label"}, keys), keys.id, "left",
-    ).join(_renamed(items, {"__action": "action"}, keys), keys.id, "left").join(
-        _renamed(health, {"health_index": "health_index", "mission_success_pct": "mission_success_pct"}, keys),
-        keys.id, "left",
-    )
-    text = F.lit(None).cast("string")
+    rounded = [F.bround(as_double(readings, c), 4).alias(c) for c in sensors]
+    slots = {
+        "p": predictions.select(keys.id, "predicted_rul_days", "risk_level", "is_proxy", "label_source"),
+        "f": physics.select(keys.id, "physics_alert", "physics_fault", "physics_rule", "physics_label"),
+        "i": items.select(keys.id, "action"),
+        "h": health.select(keys.id, "health_index", "mission_success_pct"),
+    }
     if drivers is not None:
-        out = out.join(_renamed(drivers, {"__sensor": "sensor", "__region": "region"}, keys), keys.id, "left")
-    else:
-        out = out.withColumns({"__sensor": text, "__region": text})
-    cells = [F.struct(F.lit(c).alias("key"), F.col("row")[c].alias("value")) for c in sensors]
+        slots["d"] = drivers.select(keys.id, "sensor", "region")
+    out = merge_by_asset(slots, {"r": readings.select(keys.id, keys.ts, keys.tie, *rounded, *extra)}, keys)
+    text = F.lit(None).cast("string")
+    region, sensor = (F.col("d.region"), F.col("d.sensor")) if drivers is not None else (text, text)
+    cells = [F.struct(F.lit(c).alias("key"), F.col("r")[c].alias("value")) for c in sensors]
     values = (
         F.map_from_entries(F.filter(F.array(*cells), lambda e: e["value"].isNotNull()))
         if cells else F.create_map().cast("map<string,double>")
     )
-    fault = F.coalesce("__fault", F.lit(FAULT_NONE))
-    action = F.coalesce("__action", F.lit(""))
+    fault = F.coalesce("f.physics_fault", F.lit(FAULT_NONE))
+    action = F.coalesce("i.action", F.lit(""))
     none_double, none_bool = F.lit(None).cast("double"), F.lit(None).cast("boolean")
     out = out.select(
         F.lit(HEALTH_EVENT_SCHEMA).alias("schema"),
         F.col(keys.id).alias("asset"),
-        iso_utc(F.coalesce(F.col("row")[keys.ts].cast("timestamp"), F.lit(as_of).cast("timestamp"))).alias("time"),
+        iso_utc(F.coalesce(F.col("r")[keys.ts].cast("timestamp"), F.lit(as_of).cast("timestamp"))).alias("time"),
         F.lit(p.id).alias("pack_id"),
         F.lit(p.short).alias("pack"),
         values.alias("sensors"),
         F.struct(
-            F.coalesce("__alert", F.lit(False)).alias("alert"), fault.alias("fault"),
-            F.coalesce("__rule", F.lit("")).alias("rule"), F.coalesce("__label", F.lit(FAULT_NONE)).alias("label"),
+            F.coalesce("f.physics_alert", F.lit(False)).alias("alert"), fault.alias("fault"),
+            F.coalesce("f.physics_rule", F.lit("")).alias("rule"), F.coalesce("f.physics_label", F.lit(FAULT_NONE)).alias("label"),
         ).alias("physics"),
         F.struct(
-            (F.bround(F.col("row.anomaly_score"), 4) if "anomaly_score" in extra else none_double).alias("anomaly_score"),
-            (F.col("row.is_anomaly") if "is_anomaly" in extra else none_bool).alias("is_anomaly"),
+            (F.bround(F.col("r.anomaly_score"), 4) if "anomaly_score" in extra else none_double).alias("anomaly_score"),
+            (F.col("r.is_anomaly") if "is_anomaly" in extra else none_bool).alias("is_anomaly"),
         ).alias("iforest"),
         F.struct(
-            F.col("__rul").alias("predicted_rul_days"), F.coalesce("__risk", F.lit("")).alias("risk_level"),
-            F.coalesce("__proxy", F.lit(False)).alias("is_proxy"), F.coalesce("__source", F.lit("")).alias("label_source"),
+            F.col("p.predicted_rul_days").alias("predicted_rul_days"), F.coalesce("p.risk_level", F.lit("")).alias("risk_level"),
+            F.coalesce("p.is_proxy", F.lit(False)).alias("is_proxy"), F.coalesce("p.label_source", F.lit("")).alias("label_source"),
         ).alias("rul"),
-        F.coalesce("__risk", F.lit("")).alias("risk_level"),
+        F.coalesce("p.risk_level", F.lit("")).alias("risk_level"),
         action.alias("advisory"),
-        twin_region(fault, F.col("__region"), F.col("__sensor")).alias("twin_region"),
-        "health_index",
-        "mission_success_pct",
+        twin_region(fault, region, sensor).alias("twin_region"),
+        F.col("h.health_index").alias("health_index"),
+        F.col("h.mission_success_pct").alias("mission_success_pct"),
         work_order_id(F.col(keys.id), action).alias("work_order_id"),
     )
     missing = missing_event_keys(out)

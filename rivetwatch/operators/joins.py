@@ -85,10 +85,33 @@ def join_report(left: DataFrame, right: DataFrame, joined: DataFrame, how: str,
 
 
 def asset_spine(sources: list[DataFrame], keys: Keys = Keys()) -> DataFrame:
-    """Distinct valid asset ids over all sources, combined before the shuffle."""
+    """Distinct valid asset ids over all sources; duplicates meet on the map side first."""
     ids = [df.select(F.trim(F.col(keys.id).cast("string")).alias(keys.id)) for df in sources]
-    every = reduce(DataFrame.unionByName, [i.filter(is_valid_asset(F.col(keys.id))).distinct() for i in ids])
-    return every.distinct()
+    return reduce(DataFrame.unionByName, ids).filter(is_valid_asset(F.col(keys.id))).distinct()
+
+
+def merge_by_asset(slots: dict[str, DataFrame], newest: dict[str, DataFrame] | None = None, keys: Keys = Keys()) -> DataFrame:
+    """Full outer merge of many tables on the asset id with one shuffle.
+
+    ``slots`` have at most one row per asset; ``newest`` have any number, of
+    which the newest by (ts, tie) is kept.  Every table becomes one struct
+    column of its name (NULL where it lacks the asset).  Rows are stacked and
+    grouped once, so partial results combine before they move; a chain of
+    joins would shuffle once per table.
+    """
+    newest = newest or {}
+    asset = F.trim(F.col(keys.id).cast("string")).alias(keys.id)
+    parts, aggs = [], []
+    for name, df in slots.items():
+        cols = [c for c in df.columns if c != keys.id]
+        parts.append(df.select(asset, F.struct(*cols).alias(name)))
+        aggs.append(F.first(name, ignorenulls=True).alias(name))
+    for name, df in newest.items():
+        cols = [c for c in df.columns if c not in (keys.id, keys.tie)]
+        parts.append(df.select(asset, F.struct(*cols).alias(name), keys.stamp().alias(f"__at_{name}")))
+        aggs.append(F.max_by(name, f"__at_{name}").alias(name))
+    stacked = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    return stacked.filter(is_valid_asset(F.col(keys.id))).groupBy(keys.id).agg(*aggs)
 
 
 def filter_assets(df: DataFrame, chosen, keys: Keys = Keys()) -> DataFrame:

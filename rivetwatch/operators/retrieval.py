@@ -56,9 +56,35 @@ def ngrams(text: Column) -> Column:
     return F.concat(words, pairs)
 
 
-def _term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    return (
-        df.select(key, F.explode(ngrams(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+def _vocabulary(docs: DataFrame, text: str, max_terms: int) -> DataFrame:
+    """The ``max_terms`` most frequent terms with their inverse document frequency.
+
+    A document adds one mark per occurrence and one per distinct term; marks
+    are summed on the map side, so only term totals are shuffled.
+    """
+    marks = docs.select(ngrams(F.col(text)).alias("g")).select(
+        F.explode(
+            F.concat(
+                F.transform("g", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
+                F.transform(F.array_distinct("g"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))),
+            )
+        ).alias("m")
+    )
+    totals = marks.groupBy("m.term").agg(F.sum("m.tf").alias("total"), F.sum("m.df").alias("df"))
+    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    top = totals.orderBy(F.col("total").desc(), "term").limit(max_terms).crossJoin(F.broadcast(n))
+    return top.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def _vectors(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
+    """One row per text: its weighted terms (at most the vocabulary) and their length.
+
+    Words outside the vocabulary leave before anything is grouped.
+    """
+    terms = df.select(key, F.explode(ngrams(F.col(text))).alias("term")).join(F.broadcast(vocab), "term")
+    weights = terms.groupBy(key, "term").agg((F.count(F.lit(1)) * F.first("idf")).alias("w"))
+    return weights.groupBy(key).agg(
+        F.collect_list(F.struct("term", "w")).alias("terms"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
     )
 
 
@@ -68,34 +94,24 @@ def tfidf_top_k(
 ) -> DataFrame:
     """Best ``k`` documents per query by cosine of TF-IDF weights; only positive scores.
 
-    The vocabulary is the ``max_terms`` most frequent terms.  Weights are
-    ``tf * (ln((1 + n) / (1 + df)) + 1)``, length-normalised.  Query postings
-    meet document postings on the term; partial sums combine per document
-    before they move, and the top-k is trimmed before its shuffle.
+    Weights are ``tf * (ln((1 + n) / (1 + df)) + 1)``, length-normalised.
+    Query postings meet document terms map-side, partial sums combine per
+    document before they move, and the top-k is trimmed before its shuffle.
     """
-    counts = _term_counts(docs, doc_key, text)
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    vocab = (
-        counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-        .orderBy(F.col("total").desc(), "term").limit(max_terms)
-        .crossJoin(F.broadcast(n))
-        .select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    )
-    vocab = F.broadcast(vocab)  # at most ``max_terms`` rows
-    d = counts.join(vocab, "term").select(doc_key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    q = _term_counts(queries, query_key, text).join(vocab, "term").select(
-        query_key, "term", (F.col("tf") * F.col("idf")).alias("qw")
+    # At most ``max_terms`` rows, read by both sides.
+    vocab = _vocabulary(docs, text, max_terms).persist()
+    d = _vectors(docs, doc_key, text, vocab)
+    q = _vectors(queries, query_key, text, vocab).persist()
+    postings = q.select(query_key, F.col("norm").alias("qn"), F.explode("terms").alias("t")).select(
+        query_key, "qn", F.col("t.term").alias("term"), F.col("t.w").alias("qw")
     )
-    if q.limit(MAX_BROADCAST_POSTINGS + 1).count() <= MAX_BROADCAST_POSTINGS:
-        q_side = F.broadcast(q)
-    else:
-        q_side = q
-    norms_d = d.groupBy(doc_key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    norms_q = q.groupBy(query_key).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    dots = d.join(q_side, "term").groupBy(query_key, doc_key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    scored = dots.join(norms_d, doc_key).join(norms_q, query_key).select(
-        query_key, doc_key, (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("score")
+    if postings.limit(MAX_BROADCAST_POSTINGS + 1).count() <= MAX_BROADCAST_POSTINGS:
+        postings = F.broadcast(postings)
+    long = d.select(doc_key, F.col("norm").alias("dn"), F.explode("terms").alias("t")).select(
+        doc_key, "dn", F.col("t.term").alias("term"), F.col("t.w").alias("w")
     )
+    dots = long.join(postings, "term").groupBy(query_key, doc_key, "qn", "dn").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    scored = dots.select(query_key, doc_key, (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("score"))
     w = Window.partitionBy(query_key).orderBy(F.round("score", 9).desc(), doc_key)
     return scored.filter("score > 0").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

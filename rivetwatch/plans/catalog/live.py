@@ -26,7 +26,7 @@ def messages(spark, d):
         F.when(k == 7, "BAR").alias("oil_pressure_unit"),
     )
     text = F.when(k == 9, "{broken").otherwise(F.to_json(body))
-    return v.readings(spark, d).select(
+    return v.readings(spark, d, spread=True).select(
         "event_id", F.concat(F.lit("plant/line/"), F.col("machine_id")).alias("topic"), text.alias("value"),
         F.lit(AS_OF).cast("timestamp").alias("arrived"),
     )

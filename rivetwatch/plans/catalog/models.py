@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...operators import charts, iforest, retrieval, rul
+from ...sources.readers import spread_input
 from .. import sensor_view as v
 from .registry import query, sql
 
@@ -12,20 +13,20 @@ from .registry import query, sql
 # ---------------------------------------------------------------- isolation forest
 @query("iforest")
 def forest(spark, d):
-    df = v.readings(spark, d)
+    df = v.readings(spark, d, spread=True)
     scored = iforest.fit_forest(df).annotate(df)
     return scored.select("event_id", F.round("anomaly_score", 9).alias("anomaly_score"), "is_anomaly")
 
 
 @query("iforest_summary")
 def forest_summary(spark, d):
-    df = v.readings(spark, d)
+    df = v.readings(spark, d, spread=True)
     return iforest.anomaly_summary(iforest.fit_forest(df).annotate(df))
 
 
 @query("iforest_timeline")
 def forest_timeline(spark, d):
-    df = v.readings(spark, d)
+    df = v.readings(spark, d, spread=True)
     return charts.anomaly_timeline(iforest.fit_forest(df).annotate(df), "vibration").drop("timestamp")
 
 
@@ -81,7 +82,7 @@ def _grams(source, key):
   dn="SELECT key, sqrt(sum(w * w)) AS n FROM d GROUP BY 1", qn="SELECT key, sqrt(sum(w * w)) AS n FROM q GROUP BY 1"))
 def tfidf_topk(spark, d):
     queries = v.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    out = retrieval.tfidf_top_k(v.table(spark, d, "documents").select("doc_id", "text"), queries)
+    out = retrieval.tfidf_top_k(spread_input(v.table(spark, d, "documents").select("doc_id", "text")), queries)
     return out.withColumn("score", F.round("score", 6))
 
 
@@ -93,7 +94,7 @@ def tfidf_topk(spark, d):
   q="SELECT DISTINCT item_id AS k, unnest(regexp_extract_all(lower(text), '([a-z0-9_.]+)', 1)) AS token FROM benchmark"))
 def keyword(spark, d):
     queries = v.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.keyword_top_k(v.table(spark, d, "documents").select("doc_id", "text"), queries)
+    return retrieval.keyword_top_k(spread_input(v.table(spark, d, "documents").select("doc_id", "text")), queries)
 
 
 @query("row_documents", sql("gaps", """

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.readers import spread_input
+
 READINGS_SQL = """
   SELECT event_id,
          concat('M-', lpad(cast(user_id AS VARCHAR), 4, '0')) AS machine_id,
@@ -27,10 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean sensor readings: one row per event."""
+def readings(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """Clean sensor readings: one row per event; ``spread`` is for CPU-heavy work on few files."""
     k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events")
+    return (spread_input(events) if spread else events).select(
         "event_id",
         F.concat(F.lit("M-"), F.lpad(F.col("user_id").cast("string"), 4, "0")).alias("machine_id"),
         F.col("ts").cast("timestamp").alias("timestamp"),

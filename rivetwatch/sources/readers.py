@@ -57,6 +57,15 @@ def read_table(spark: SparkSession, path: str, limit: int | None = None) -> Data
     return df.limit(int(limit)) if limit and limit > 0 else df
 
 
+def spread_input(df: DataFrame) -> DataFrame:
+    """Spread a freshly read table over all cores when its files give fewer splits than there are cores.
+
+    For CPU-heavy work on few or small files.  A table with enough splits is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def load_with_meta(spark: SparkSession, path: str, limit: int | None = None, count: bool = False) -> tuple[DataFrame, dict]:
     """Table plus what is known about the load; rows are counted only on request."""
     df = read_table(spark, path, limit)

@@ -29,14 +29,17 @@ def _entry(key: Column, value: Column) -> Column:
 
 
 def flatten_payload(payload: Column) -> Column:
-    """One level of nesting: ``{"a": {"b": 1}}`` gives ``a_b`` and ``b``; later keys win."""
+    """Key/value pairs with one level of nesting opened: ``{"a": {"b": 1}}`` gives ``a_b`` and ``b``.
+
+    Pairs come newest first, so the first match for a key is the one that wins.
+    """
     parts = F.transform(
         F.map_entries(payload),
         lambda e: F.when(
             F.ltrim(e["value"]).startswith("{"),
             F.flatten(
                 F.transform(
-                    F.map_entries(F.coalesce(F.from_json(e["value"], _TEXT_MAP), F.create_map().cast(_TEXT_MAP))),
+                    F.map_entries(F.from_json(e["value"], _TEXT_MAP)),
                     lambda x: F.array(
                         _entry(normalize_key(F.concat(e["key"], F.lit("_"), x["key"])), x["value"]),
                         _entry(normalize_key(x["key"]), x["value"]),
@@ -45,16 +48,7 @@ def flatten_payload(payload: Column) -> Column:
             ),
         ).otherwise(F.array(_entry(normalize_key(e["key"]), e["value"]))),
     )
-    every = F.flatten(parts)
-    last = F.filter(
-        every,
-        lambda e, i: ~F.exists(F.slice(every, i + 2, F.greatest(F.size(every) - i - 1, F.lit(0))), lambda x: x["key"] == e["key"]),
-    )
-    return F.map_from_entries(last)
-
-
-def _first_text(maps: list[Column], keys) -> Column:
-    return F.coalesce(*[F.nullif(m[k], F.lit("")) for k in keys for m in maps])
+    return F.reverse(F.flatten(F.filter(parts, lambda x: x.isNotNull())))
 
 
 def canonical_rows(
@@ -77,18 +71,28 @@ def canonical_rows(
     others = [c for c in df.columns if c not in LIVE_FIELDS and c not in (value, "raw", "ts_imputed")]
     rows = df.filter(decodable(F.col(value)))
     rows = rows.withColumn("__p", F.coalesce(F.from_json(F.col(value), _TEXT_MAP), F.create_map().cast(_TEXT_MAP)))
-    rows = rows.withColumn("__f", flatten_payload(F.col("__p")))
-    p, flat = F.col("__p"), F.col("__f")
-    # Raw header names count too when they differ from their normalised form.
-    seen = F.map_zip_with(flat, p, lambda k, a, b: F.coalesce(a, b))
-    aviation = looks_aviation(seen, pack_id)
+    rows = rows.withColumn("__e", flatten_payload(F.col("__p")))
+    # Two plain arrays: a lookup is one position search, with no map to build or de-duplicate.
+    rows = rows.withColumns({"__k": F.col("__e")["key"], "__v": F.col("__e")["value"]})
+    p = F.col("__p")
+
+    def flat(key: str) -> Column:
+        return F.get(F.col("__v"), F.array_position("__k", key).cast("int") - 1)
+
+    def either(key: str) -> Column:
+        return F.coalesce(flat(key), p[key])
+
+    def has_key(key: str) -> Column:
+        return F.array_contains("__k", key) | F.map_contains_key(p, key)
 
+    aviation = looks_aviation(either, has_key, pack_id)
     by_topic = F.element_at(F.split(F.col(topic), "/"), -1) if topic else F.lit(None).cast("string")
     asset = F.coalesce(
-        _first_text([p], [machine_field]), _first_text([p, flat], LIVE_ID_ALIASES),
+        F.nullif(p[machine_field], F.lit("")),
+        *[F.nullif(found, F.lit("")) for a in LIVE_ID_ALIASES for found in (p[a], flat(a))],
         F.nullif(by_topic, F.lit("")), F.lit(fallback),
     )
-    told = F.coalesce(p[ts_field], *[F.nullif(flat[k], F.lit("")) for k in LIVE_TIME_ALIASES])
+    told = F.coalesce(p[ts_field], *[F.nullif(flat(k), F.lit("")) for k in LIVE_TIME_ALIASES])
     parsed = told.try_cast("timestamp")
     arrival = F.col(arrived).cast("timestamp") if arrived else F.date_trunc("second", F.current_timestamp())
 
@@ -97,7 +101,7 @@ def canonical_rows(
         if name == "oil_pressure":
             fields[name] = oil_pressure_psi(flat, aviation)
         else:
-            fields[name] = F.coalesce(*[number(m[a]) for a in aliases for m in (p, flat)])
+            fields[name] = F.coalesce(*[number(found) for a in aliases for found in (p[a], flat(a))])
     out = rows.withColumns({f"__{k}": v for k, v in fields.items()})
     final = {k: F.col(f"__{k}") for k in fields}
     final["temperature"] = F.coalesce(final["temperature"], final["cht"])
