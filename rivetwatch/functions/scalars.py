@@ -191,15 +191,31 @@ def advisory_action(
     def text(c):
         return blank if c is None else F.coalesce(c.cast("string"), blank)
 
-    level = normalize_risk(risk)
     hit = F.lit(FAULT_NONE) if fault is None else F.when(text(fault).isin("", "nan"), FAULT_NONE).otherwise(text(fault))
-    sensor, given = text(driver_sensor), F.trim(text(phrase))
+    given = F.trim(text(phrase))
     region = F.when(text(driver_region) != "", text(driver_region)).when(given != "", given).otherwise(fault_region(hit))
-    named = F.when(given != "", given).otherwise(
+    facts = F.struct(
+        normalize_risk(risk).alias("level"), hit.alias("hit"), text(driver_sensor).alias("sensor"),
+        region.alias("region"), given.alias("given"),
+    )
+    # Bound once per row: the rules below mention each fact many times.
+    return F.get(F.transform(F.transform(F.array(facts), _advisory_words), _advisory_rule), F.lit(0))
+
+
+def _advisory_words(f: Column) -> Column:
+    region = f["region"]
+    named = F.when(f["given"] != "", f["given"]).otherwise(
         F.coalesce(choose(region, REGION_PHRASE), F.trim(F.regexp_replace(region, "_", " ")))
     )
     named = F.when(F.lower(named).isin("", "region", "other", "other / unmapped region"), "").otherwise(named)
-    blob = F.lower(F.concat_ws(" ", hit, sensor, region))
+    return F.struct(
+        f["level"].alias("level"), f["hit"].alias("hit"), named.alias("named"),
+        F.lower(F.concat_ws(" ", f["hit"], f["sensor"], region)).alias("blob"),
+    )
+
+
+def _advisory_rule(f: Column) -> Column:
+    level, hit, named, blob = f["level"], f["hit"], f["named"], f["blob"]
 
     def mentions(*tokens):
         return reduce(lambda a, b: a | b, [blob.contains(t) for t in tokens])

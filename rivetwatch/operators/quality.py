@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..constants import JUMP_NAME_HINTS, QUALITY_CONTAMINATION, RUL_SEED
 from ..functions.columns import Keys, find_col, numeric_columns, string_columns
 from ..functions.quantiles import quantiles
-from .series import SeriesProfile, add_windowed
+from .series import SeriesProfile, add_windowed, spread_rows
 from .stats import duplicate_counts, safe_corr
 
 STAGES = (
@@ -336,7 +336,7 @@ def kmeans_stage(df: DataFrame, keys: Keys = Keys(), seed: int = RUL_SEED) -> Da
         return _info(df, "KMEANS DISTANCE", "need more numeric rows")
     rows = VectorAssembler(inputCols=numbers, outputCol="raw").transform(complete)
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(rows)
-    scaled = scaler.transform(rows).select("features").persist()
+    scaled = spread_rows(scaler.transform(rows).select("features"))
     try:
         model = KMeans(k=3, seed=seed, maxIter=30).fit(scaled)
         centers = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()])

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..constants import CORE_SENSORS, PROXY_NOTE, ROLLING_WINDOW, RUL_SEED
 from ..functions.columns import Keys, sensor_columns
 from ..functions.scalars import is_valid_asset, risk_from_rul
-from .series import SeriesProfile, add_windowed, latest_per_asset, rolling_mean, rolling_std, step
+from .series import SeriesProfile, add_windowed, latest_per_asset, rolling_mean, rolling_std, spread_rows, step
 
 LABEL = "failure_within_days"
 
@@ -93,10 +93,12 @@ def fit_rul(
     names = [c for c in feature_names(featured, keys) if c != "proxy_rul"]
     part = F.pmod(F.xxhash64(keys.id, keys.ts, keys.tie), F.lit(5))
     rows = _assemble(labelled.filter(F.col("label").isNotNull()), names).select("features", "label", part.alias("part"))
-    rows = rows.persist()
+    rows = spread_rows(rows)
     try:
         forest = RandomForestRegressor(
             numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=seed, subsamplingRate=1.0,
+            # Room for the histograms of a whole level of all trees: one pass per level instead of many.
+            maxMemoryInMB=1024,
         )
         model = forest.fit(rows.filter("part > 0"))
         metrics = regression_metrics(model.transform(rows.filter("part = 0")))
@@ -184,7 +186,8 @@ def tune_rul(
     names = feature_names(featured, keys)
     rows = _assemble(featured.filter(F.col(LABEL).isNotNull()), names).select(
         "features", F.col(LABEL).cast("double").alias("label")
-    ).persist()
+    )
+    rows = spread_rows(rows)
     try:
         n = rows.count()
         if n < 30:

@@ -173,3 +173,16 @@ def last_rows(df: DataFrame, n: int, keys: Keys = Keys()) -> DataFrame:
     """Last ``n`` rows per asset.  Spark trims to ``n`` per asset before the shuffle (window group limit)."""
     w = Window.partitionBy(keys.id).orderBy(*[F.col(c).desc() for c in keys.order])
     return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__rn")
+
+
+def spread_rows(df: DataFrame, rows_per_core: int = 250_000) -> DataFrame:
+    """Persist training rows, spread over all cores while they are few.
+
+    Adaptive execution packs small shuffles into one partition, which would
+    train on one core.  A table with work for every core keeps its partitions.
+    """
+    held = df.persist()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if held.count() >= cores * rows_per_core:
+        return held
+    return held.repartition(cores).persist()

@@ -31,17 +31,28 @@ def test_bar_oil_pressure(spark):
 
 
 def test_strings_nesting_and_fallbacks(spark):
-    assert canonical(spark, {"machine_id": "M-9", "temperature": "70.5", "vibration": 2.1})["temperature"] == 70.5
-    nested = canonical(spark, {"Engine": {"RPM": 900, "exhaust_temp": 700}, "tail": "T1", "time": "2026-01-01 10:00:00"})
-    assert (nested["rpm"], nested["egt"], nested["machine_id"], nested["timestamp"].hour) == (900.0, 700.0, "T1", 10)
-    assert canonical(spark, {"temperature": 10})["machine_id"] == "mqtt-asset"
-    assert canonical(spark, {"temperature": 10}, topic="plant/line/M-7")["machine_id"] == "M-7"
-    assert canonical(spark, "5")["machine_id"] == "mqtt-asset"
+    bodies = [
+        ({"machine_id": "M-9", "temperature": "70.5", "vibration": 2.1}, None),
+        ({"Engine": {"RPM": 900, "exhaust_temp": 700}, "tail": "T1", "time": "2026-01-01 10:00:00"}, None),
+        ({"temperature": 10}, None),
+        ({"temperature": 10}, "plant/line/M-7"),
+        ("5", None),
+        ({"machine_id": "M", "oil_pressure": 4.0}, None),
+        ({"ecu_index": 7, "cylinder_head_temperature": 180, "intake_manifold_pressure": 30, "throttle_position": 55}, None),
+        ("{broken", None),
+    ]
+    rows = [(i, b if isinstance(b, str) else json.dumps(b), t, NOW) for i, (b, t) in enumerate(bodies)]
+    df = spark.createDataFrame(rows, "i int, value string, topic string, arrived timestamp")
+    out = {r["i"]: r for r in payload.canonical_rows(df, topic="topic", arrived="arrived").collect()}
+    assert out[0]["temperature"] == 70.5
+    assert (out[1]["rpm"], out[1]["egt"], out[1]["machine_id"], out[1]["timestamp"].hour) == (900.0, 700.0, "T1", 10)
+    assert [out[i]["machine_id"] for i in (2, 3, 4)] == ["mqtt-asset", "M-7", "mqtt-asset"]
     # Small values are bar only where the packet is aviation.
-    assert canonical(spark, {"machine_id": "M", "oil_pressure": 4.0})["oil_pressure"] == 4.0
-    assert canonical(spark, {"machine_id": "M", "oil_pressure": 4.0}, pack="aviation_uav_piston")["oil_pressure"] == pytest.approx(58.015)
-    efi = canonical(spark, {"ecu_index": 7, "cylinder_head_temperature": 180, "intake_manifold_pressure": 30, "throttle_position": 55})
-    assert (efi["machine_id"], efi["cht"], efi["manifold_pressure"], efi["throttle"]) == ("7", 180.0, 30.0, 55.0)
+    assert out[5]["oil_pressure"] == 4.0
+    assert (out[6]["machine_id"], out[6]["cht"], out[6]["manifold_pressure"], out[6]["throttle"]) == ("7", 180.0, 30.0, 55.0)
+    assert 7 not in out and [r["i"] for r in payload.undecodable(df).collect()] == [7]
+    flown = canonical(spark, {"machine_id": "M", "oil_pressure": 4.0}, pack="aviation_uav_piston")
+    assert flown["oil_pressure"] == pytest.approx(58.015)
 
 
 def test_round_trip_json(spark):
