@@ -16,7 +16,7 @@ from ..constants import (
 )
 from ..functions.columns import Keys, as_double, nan_to_null, numeric_columns, string_columns
 from ..functions.quantiles import quantiles
-from .series import SeriesProfile, add_windowed, forward_fill, rolling_mean
+from .series import SeriesProfile, add_windowed, forward_fill, profile_series, rolling_mean, salted_lookup
 
 
 # ---------------------------------------------------------------- shape
@@ -160,13 +160,13 @@ def clean_wide(df: DataFrame, rows: int | None = None) -> DataFrame:
 def regression_impute(df: DataFrame, cols: list[str], keys: Keys = Keys(), min_values: int = 5) -> DataFrame:
     """Missing values from a straight line over event time, fitted per asset.
 
-    Time is measured in hours from the asset's first reading, which keeps the
+    Time is measured in hours from the fleet's first reading, which keeps the
     sums well conditioned.  An asset with fewer than ``min_values`` known
     values (or no spread in time) falls back to the fleet median.
     """
     micros = F.unix_micros(F.col(keys.ts).cast("timestamp"))
-    starts = df.groupBy(keys.id).agg(F.min(micros).alias("__t0"))
-    timed = df.join(starts, keys.id, "left").withColumn("__x", (micros - F.col("__t0")) / 3.6e9)
+    start = df.agg(F.min(micros).alias("__t0"))
+    timed = df.crossJoin(F.broadcast(start)).withColumn("__x", (micros - F.col("__t0")) / 3.6e9)
     fits = timed.groupBy(keys.id).agg(
         *[
             F.when(F.count(c) >= min_values, F.struct(
@@ -282,7 +282,8 @@ def smooth(
     sizes = df.groupBy(keys.id).agg(
         F.least(F.lit(cap), F.greatest(F.lit(floor), F.floor(F.count(F.lit(1)) / div).cast("int"))).alias("__w")
     )
-    sized = df.join(sizes, keys.id)
+    profile = profile or profile_series(df, keys)
+    sized = salted_lookup(df, sizes, keys.id, profile.max_rows)
     # One window column per candidate length: they share the exchange and the sort.
     made = {f"__{c}_{n}": rolling_mean(c, n) for c in cols for n in range(floor, cap + 1)}
     out = add_windowed(sized, made, cap - 1, keys, profile)

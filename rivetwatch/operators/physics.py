@@ -15,7 +15,7 @@ from ..constants import (
     RED_LINES,
 )
 from ..functions.columns import Keys, as_double, find_col
-from ..functions.scalars import ata_label, choose, fault_region, is_valid_asset
+from ..functions.scalars import ata_label, fault_region, is_valid_asset
 
 
 def limits_for(pack_id: str | None) -> dict[str, float]:

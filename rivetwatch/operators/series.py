@@ -93,7 +93,8 @@ def add_windowed(
         w = Window.partitionBy(keys.id).orderBy(*keys.order)
         return df.withColumns({name: make(w) for name, make in exprs.items()})
 
-    cut = df.withColumn(_SLICE, _slice_index(keys, width))
+    # Stated outright: a table already hashed by asset would otherwise keep its hot partition.
+    cut = df.withColumn(_SLICE, _slice_index(keys, width)).repartition(keys.id, _SLICE)
     w = Window.partitionBy(keys.id, _SLICE).orderBy(*keys.order)
     both = cut.withColumn("__context", F.lit(False)).unionByName(
         _context_rows(cut, look_back, keys).withColumn("__context", F.lit(True))
@@ -142,12 +143,27 @@ def forward_fill(
         F.col(keys.id), F.col(_SLICE), *[F.last(c, ignorenulls=True).over(before).alias(f"__{c}") for c in cols]
     )
     w = Window.partitionBy(keys.id, _SLICE).orderBy(*keys.order).rowsBetween(Window.unboundedPreceding, 0)
-    filled = cut.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
+    spread = cut.repartition(keys.id, _SLICE)
+    filled = spread.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
     out = filled.join(carried, [keys.id, _SLICE], "left")
     out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"__{c}")) for c in cols})
     return out.select(*df.columns)
 
 
+def salted_lookup(df: DataFrame, small: DataFrame, key: str, group_rows: int) -> DataFrame:
+    """Inner join of rows with a one-row-per-key table, balanced for a key of ``group_rows`` rows.
+
+    A key above the target size is spread over enough salts; its small row is
+    copied to each.  Ordinary tables join plainly.
+    """
+    salts = -(-group_rows // TARGET_ROWS)
+    if salts <= 1:
+        return df.join(small, key)
+    hashed = F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), F.lit(salts)).cast("int")
+    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn("__salt", hashed).join(copies, [key, "__salt"]).drop("__salt")
+
+
 # ---------------------------------------------------------------- ready-made windows
 def rolling_mean(col: str, window: int):
     return lambda w: F.avg(col).over(w.rowsBetween(1 - window, 0))

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..constants import CORE_SENSORS
 from ..functions.columns import Keys, numeric_columns
-from ..functions.quantiles import quantiles
+from ..functions.quantiles import largest_group, quantiles
+from .series import salted_lookup
 
 
 # ---------------------------------------------------------------- column profile
@@ -205,10 +206,11 @@ def histogram(df: DataFrame, col: str, bins: int = 30, by: str | None = None) ->
 
 def box_summary(df: DataFrame, col: str, keys: Keys = Keys(), group_rows: int | None = None) -> DataFrame:
     """Quartiles, whiskers (furthest value within 1.5 IQR) and outlier count per asset."""
+    group_rows = largest_group(df, [keys.id]) if group_rows is None else group_rows
     q = quantiles(df, [col], [0.25, 0.5, 0.75], [keys.id], group_rows).select(
         keys.id, F.col(col)[0].alias("q1"), F.col(col)[1].alias("median"), F.col(col)[2].alias("q3")
     )
-    rows = df.select(keys.id, col).join(q, keys.id)
+    rows = salted_lookup(df.select(keys.id, keys.tie, col), q, keys.id, group_rows)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col(col) >= F.col("q1") - reach) & (F.col(col) <= F.col("q3") + reach)
     return rows.groupBy(keys.id, "q1", "median", "q3").agg(

@@ -81,3 +81,21 @@ def test_bracket_quantiles_use_the_sketch_on_larger_columns(spark):
     a = quantiles(df, ["x"], [0.1, 0.5, 0.99], method="direct").first()["x"]
     b = quantiles(df, ["x"], [0.1, 0.5, 0.99], method="bracket").first()["x"]
     assert np.allclose(a, b, rtol=1e-12)
+
+
+def test_salted_lookup_equals_a_plain_join(skewed, monkeypatch):
+    small = skewed.groupBy("machine_id").agg(F.max("temperature").alias("top"))
+    monkeypatch.setattr(series, "TARGET_ROWS", 30)
+    salted = series.salted_lookup(skewed, small, "machine_id", 700)
+    plain = skewed.join(small, "machine_id")
+    assert salted.count() == plain.count() == skewed.count()
+    assert salted.select("event_id", "top").exceptAll(plain.select("event_id", "top")).count() == 0
+
+
+def test_sliced_windows_spread_a_table_hashed_by_asset(skewed):
+    """Even when the input is partitioned by asset, the sliced plan moves rows by (asset, slice)."""
+    hashed = skewed.repartition(4, "machine_id")
+    out = series.add_windowed(hashed, {"d": series.step("rpm")}, 1, profile=series.SeriesProfile(0, 0, 0, 600.0))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(machine_id" in line and "__slice" in line]
+    assert moved

@@ -5,7 +5,6 @@ import zipfile
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from rivetwatch.operators import joins, mapping
 from rivetwatch.plans import sensor_view as v
