@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .transducer import encode_decode
+from .wavelet import token_shards
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -15,5 +16,9 @@ def bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {"op4_bpe_transducer": bpe}
+def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+QUERIES = {"op2_wavelet_shards": shards, "op4_bpe_transducer": bpe}
 SQL: dict[str, str] = {}
