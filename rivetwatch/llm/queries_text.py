@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import hosts, langid
 from .common import table
 from .transducer import encode_decode
 from .wavelet import token_shards
@@ -20,5 +21,18 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {"op2_wavelet_shards": shards, "op4_bpe_transducer": bpe}
-SQL: dict[str, str] = {}
+def host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.judge(table(spark, sf_dir, "documents"))
+
+
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op2_wavelet_shards": shards,
+    "op4_bpe_transducer": bpe,
+    "op6_host_rules": host_rules,
+    "op10_cross_parsing": languages,
+}
+SQL: dict[str, str] = {"op6_host_rules": hosts.SQL}
