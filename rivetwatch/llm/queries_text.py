@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hosts, langid
+from . import hosts, langid, mixing
+from . import toxicity as toxic
 from .common import table
 from .transducer import encode_decode
 from .wavelet import token_shards
@@ -29,10 +30,20 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_wavelet_shards": shards,
     "op4_bpe_transducer": bpe,
+    "op5_pareto_mix": mixture,
     "op6_host_rules": host_rules,
+    "op9_toxicity_trees": toxicity,
     "op10_cross_parsing": languages,
 }
-SQL: dict[str, str] = {"op6_host_rules": hosts.SQL}
+SQL: dict[str, str] = {"op5_pareto_mix": mixing.SQL, "op6_host_rules": hosts.SQL}
