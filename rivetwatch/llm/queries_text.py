@@ -1,11 +1,11 @@
-"""Queries over the documents table."""
+"""Queries over the documents and embeddings tables."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hosts, langid, mixing
+from . import hosts, langid, mixing, topk
 from . import toxicity as toxic
 from .common import table
 from .transducer import encode_decode
@@ -38,12 +38,17 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op2_wavelet_shards": shards,
     "op4_bpe_transducer": bpe,
     "op5_pareto_mix": mixture,
     "op6_host_rules": host_rules,
+    "op7_norm_sorted_topk": nearest,
     "op9_toxicity_trees": toxicity,
     "op10_cross_parsing": languages,
 }
-SQL: dict[str, str] = {"op5_pareto_mix": mixing.SQL, "op6_host_rules": hosts.SQL}
+SQL: dict[str, str] = {"op5_pareto_mix": mixing.SQL, "op6_host_rules": hosts.SQL, "op7_norm_sorted_topk": topk.SQL}
