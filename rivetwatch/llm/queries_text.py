@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hosts, langid, mixing, topk
+from . import forest, hosts, langid, mixing, topk
 from . import toxicity as toxic
 from .common import table
 from .transducer import encode_decode
@@ -22,6 +22,10 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 def host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judge(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_wavelet_shards": shards,
+    "op3_minhash_forest": near,
     "op4_bpe_transducer": bpe,
     "op5_pareto_mix": mixture,
     "op6_host_rules": host_rules,
@@ -51,4 +56,4 @@ QUERIES = {
     "op9_toxicity_trees": toxicity,
     "op10_cross_parsing": languages,
 }
-SQL: dict[str, str] = {"op5_pareto_mix": mixing.SQL, "op6_host_rules": hosts.SQL, "op7_norm_sorted_topk": topk.SQL}
+SQL: dict[str, str] = {"op3_minhash_forest": forest.SQL, "op5_pareto_mix": mixing.SQL, "op6_host_rules": hosts.SQL, "op7_norm_sorted_topk": topk.SQL}
