@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import forest, hosts, langid, mixing, topk
+from . import forest, hosts, langid, mixing, passages, topk
 from . import toxicity as toxic
 from .common import table
 from .transducer import encode_decode
@@ -26,6 +26,10 @@ def near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+def substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.digests(table(spark, sf_dir, "documents"))
+
+
 def host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judge(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,8 @@ QUERIES = {
     "op5_pareto_mix": mixture,
     "op6_host_rules": host_rules,
     "op7_norm_sorted_topk": nearest,
+    "op8_fixed_block_anchors": substrings,
     "op9_toxicity_trees": toxicity,
     "op10_cross_parsing": languages,
 }
-SQL: dict[str, str] = {"op3_minhash_forest": forest.SQL, "op5_pareto_mix": mixing.SQL, "op6_host_rules": hosts.SQL, "op7_norm_sorted_topk": topk.SQL}
+SQL: dict[str, str] = {"op3_minhash_forest": forest.SQL, "op5_pareto_mix": mixing.SQL, "op6_host_rules": hosts.SQL, "op7_norm_sorted_topk": topk.SQL, "op8_fixed_block_anchors": passages.SQL}
