@@ -270,11 +270,11 @@ WITH RECURSIVE w AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
 ), links AS (
   SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c.n >= 80 * (x.n + y.n - c.n)
-), both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
 ), reach AS (
   SELECT doc_id AS node, doc_id AS far FROM documents
   UNION
-  SELECT r.node, b.b FROM reach r JOIN both b ON b.a = r.far
+  SELECT r.node, b.b FROM reach r JOIN ways b ON b.a = r.far
 ), least_ AS (SELECT node, min(far) AS c FROM reach GROUP BY 1)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c AS component_id, d.doc_id = c AS kept
 FROM documents d JOIN least_ ON node = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
