@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import forest, hosts, langid, mixing, passages, topk
+from . import forest, hosts, langid, licences, mixing, passages, topk
 from . import toxicity as toxic
 from .common import table
 from .transducer import encode_decode
@@ -18,6 +18,10 @@ def bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -51,6 +55,7 @@ def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_licence_scan": licence_scan,
     "op2_wavelet_shards": shards,
     "op3_minhash_forest": near,
     "op4_bpe_transducer": bpe,
