@@ -24,10 +24,15 @@ SEED = 5
 _BUCKETS = 1024
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and number of words of every whole text (null: 0)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                       F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def _size(text: str):
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def sizes(docs: DataFrame, row: bool = False) -> DataFrame:
+    """doc_id, source, number of words of every whole text (null: 0), whether that is short; the whole row as well."""
+    own = [F.struct(*docs.columns).alias("row")] if row else []
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _size("text").alias("size"), *own)
+    return out.withColumn("short", F.col("size") < SHORT)
 
 
 def water_fill(df: DataFrame, by: list[str], cap: str, weight: str, total, share: str) -> DataFrame:
@@ -89,31 +94,43 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     repeat a doc_id count as documents of their own with equal chances; extra columns are ignored; no rows, no rows.
     The result depends on rows and seed alone.
     """
-    sized = stored(sizes(docs).withColumn("short", F.col("size") < SHORT), "sizes")
-    return _taken(sized, seed).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    sized = stored(sizes(docs), "sizes")
+    return _copied(sized, sized, seed).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
 
+def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """``docs``, all columns, each document as often as the mix takes it."""
+    sized = stored(sizes(docs), "sizes")
+    rows = _copied(sized, sizes(docs, row=True), seed).select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row"))
+    return rows.select("row.*")
 
-def _taken(sized: DataFrame, seed: int) -> DataFrame:
+
+def _copied(sized: DataFrame, rows: DataFrame, seed: int) -> DataFrame:
+    """``rows`` with their source's numbers and ``copies``; what is planned comes from ``sized``, rows of numbers only."""
     plan = stored(_plan(sized), "mix-plan")  # two rows per source
-    rows = sized.join(plan, sized["source"].eqNullSafe(plan["p_source"]) & (sized["short"] == plan["p_short"])).drop("p_source", "p_short")
-    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(str(seed)))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    odds = u / (1 - u) / (F.col("part") / (1 - F.col("part")))
-    rows = rows.withColumn("z", F.when(F.col("part") > 0, odds / (1 + odds)))
-    rows = rows.withColumn("one", F.floor(F.col("z") * _BUCKETS)).withColumn("two", F.floor(F.col("z") * _BUCKETS * _BUCKETS) % _BUCKETS)
-    drawn = rows.filter("z is not null")
+    drawn = _ranked(sized, plan, seed).filter("z is not null")
     first = stored(_crossing(drawn, "one", F.lit(0.0)), "mix-cut")  # one row per source, as is the next
     near = drawn.join(first, F.col("source").eqNullSafe(F.col("s_one"))).filter("one = at_one")
     second = stored(_crossing(near, "two", F.col("before_one")), "mix-cut")
-    all_rows = rows.join(first, rows["source"].eqNullSafe(first["s_one"]), "left").join(second, rows["source"].eqNullSafe(second["s_two"]), "left")
+    rows = _ranked(rows, plan, seed)
+    rows = rows.join(first, rows["source"].eqNullSafe(first["s_one"]), "left").join(second, rows["source"].eqNullSafe(second["s_two"]), "left")
     edge = F.coalesce((F.col("one") == F.col("at_one")) & (F.col("two") == F.col("at_two")), F.lit(False))
     inside = F.col("z").isNotNull() & (F.col("at_one").isNull() | (F.col("one") < F.col("at_one"))
                                        | ((F.col("one") == F.col("at_one")) & (F.col("at_two").isNull() | (F.col("two") < F.col("at_two")))))
-    keep = ["doc_id", "size", "source_size", "target", "certain"]
-    clear = all_rows.filter(~edge).select(*keep, inside.alias("drawn"))
     line = Window.partitionBy("source").orderBy("z", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     earlier = F.col("before_two") + F.coalesce(F.sum("size").over(line), F.lit(0))
-    fine = all_rows.filter(edge).select(*keep, (earlier + F.col("size") / 2 <= F.col("rest")).alias("drawn"))
-    return clear.union(fine).withColumn("copies", F.col("certain") + F.coalesce(F.col("drawn"), F.lit(False)).cast("long"))
+    fine = rows.filter(edge).withColumn("drawn", earlier + F.col("size") / 2 <= F.col("rest"))
+    both = rows.filter(~edge).withColumn("drawn", inside).unionByName(fine)
+    return both.withColumn("copies", F.col("certain") + F.coalesce(F.col("drawn"), F.lit(False)).cast("long"))
+
+
+def _ranked(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """``rows`` with their plan, the ranking value z of Pareto sampling in 0..1 (null without a fraction) and its buckets."""
+    rows = rows.join(plan, rows["source"].eqNullSafe(plan["p_source"]) & (rows["short"] == plan["p_short"])).drop("p_source", "p_short")
+    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(str(seed)))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    odds = u / (1 - u) / (F.col("part") / (1 - F.col("part")))
+    rows = rows.withColumn("z", F.when(F.col("part") > 0, odds / (1 + odds)))
+    return rows.withColumn("one", F.floor(F.col("z") * _BUCKETS)).withColumn("two", F.floor(F.col("z") * _BUCKETS * _BUCKETS) % _BUCKETS)
 
 
 SQL = r"""

@@ -269,6 +269,20 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] | Non
     return base.groupBy("batch").cogroup(earlier.groupBy("batch")).applyInArrow(_cut(window, keep, arrow), out)
 
 
+def trimmed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs``, all columns, with repeated passages cut out of ``text`` (and ``n_chars``, if there, counted anew).
+
+    Documents of which nothing is left go; texts that lose nothing stay as they are.
+    """
+    keep = [c for c in docs.columns if c != "text"]
+    named = docs.select(F.struct(*keep).alias("row"), "doc_id", "text")
+    left = without_repeats(named, window, ["row"]).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    out = left.select("row.*", F.col("kept").cast("string").alias("text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space)."""
 

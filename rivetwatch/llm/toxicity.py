@@ -273,6 +273,20 @@ def score(docs: DataFrame, model: Model, folds: int = FOLDS, test_fold: int = TE
     return own.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """``docs``, all columns, less those whose score reaches ``threshold``; each is judged where it is read."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        flags = _Flags(shared.value.lexicon)
+        for batch in batches:
+            x = np.array([features(t or "", flags) for t in batch.column(at).to_pylist()], float).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(shared.value.scores(x) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, test_fold: int = TEST_FOLD) -> DataFrame:
     """Scores of every document by a model learned from ``labels`` outside the test fold.
 

@@ -236,3 +236,34 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             )
 
     return doc_text(docs).mapInArrow(run, SCHEMA)
+
+
+def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """Per document: doc_id, n_tokens, ids, round_trip (whether decoding the ids gives the text back).
+
+    Same ids, same treatment of null and empty texts and of repeated rows as ``encode_decode``.
+    """
+    with open(tokenizer_path, encoding="utf-8") as f:
+        source = docs.sparkSession.sparkContext.broadcast(f.read())
+
+    def run(batches):
+        vocab, cache = _machines(source.value)
+        for batch in batches:
+            texts, runs, same = batch.column(1).to_pylist(), [], []
+            parts, decoder, at, good = [], Decoder(vocab), 0, True
+            for i, ids, last in encode_texts(texts, cache, vocab):
+                parts.append(ids)
+                for text in [*decoder.feed(ids), *([decoder.end()] if last else [])]:
+                    good &= texts[i][at : at + len(text)] == text
+                    at += len(text)
+                if last:
+                    runs.append(np.concatenate(parts).astype(np.int32))
+                    same.append(good and at == len(texts[i]))
+                    parts, at, good = [], 0, True
+            offsets = np.cumsum([0, *map(len, runs)])
+            flat = np.concatenate(runs) if runs else np.empty(0, np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), pa.array(same, pa.bool_())],
+                ["doc_id", "n_tokens", "ids", "round_trip"])
+
+    return doc_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
