@@ -305,9 +305,9 @@ def smoothable(df: DataFrame) -> list[str]:
 
 
 def industrial_clean(
-    df: DataFrame, keys: Keys = Keys(), profile: SeriesProfile | None = None, bins: int = 6
+    df: DataFrame, keys: Keys = Keys(), profile: SeriesProfile | None = None, bins: int | None = None
 ) -> DataFrame:
-    """The full cleaning chain in the fixed order: shape, types, filling, bins, smoothing."""
+    """The full cleaning chain in the fixed order: shape, types, filling, bins (of all numbers, or the first ``bins``), smoothing."""
     out = nan_to_null(drop_duplicate_rows(drop_empty_rows(trim_names(df))))
     out = fuse_sentinels(out)
     out = apply_types(out, plan_types(out))

@@ -200,8 +200,8 @@ def _labels(p: _Plan) -> Column:
     wild = p.second("label_wild", F.count_if((label == 0) & (F.col(vib) > p.quantile(vib, 0.95))))
     detail = F.concat_ws(
         "; ",
-        F.when(calm > 0, F.concat(_text(calm), F.lit(" rows failure=1 but low vibration"))),
-        F.when(wild > 0, F.concat(_text(wild), F.lit(" rows failure=0 but extreme vibration"))),
+        F.when(calm > 0, F.concat(_text(calm), F.lit(" failures on calm rows"))),
+        F.when(wild > 0, F.concat(_text(wild), F.lit(" rows without failure shake hard"))),
     )
     dirty = calm + wild
     return _row("DIRTY LABELS", F.when(dirty > 0, "WARN").otherwise("PASS"), dirty, F.when(detail == "", "none").otherwise(detail))
@@ -213,20 +213,20 @@ def _domain(p: _Plan) -> Column:
     speed = p.col("speed", "flow", "load", "rpm")
     if t and v:
         stuck = p.second("stuck", F.count_if((F.col(t) > 150) & (F.col(v) < 0.1)))
-        flags.append(F.when(stuck > 0, F.concat(F.lit("Sensor stuck pattern: "), _text(stuck), F.lit(" rows"))))
+        flags.append(F.when(stuck > 0, F.concat(_text(stuck), F.lit(" hot rows without vibration"))))
     if pr and speed:
         leak = p.second("leak", F.count_if((p.delta(pr) < -10) & (F.abs(p.delta(speed)) < 0.5)))
-        flags.append(F.when(leak > 0, F.concat(F.lit("Leak/sensor fault suspect: "), _text(leak), F.lit(" rows"))))
+        flags.append(F.when(leak > 0, F.concat(_text(leak), F.lit(" pressure drops at steady speed"))))
     if p.life:
         rising = p.second("life_up", F.avg((p.delta(p.life) > 0).cast("double")))
-        flags.append(F.when(rising > 0.6, F.lit("RUL trend unusual: RUL increases over time often")))
+        flags.append(F.when(rising > 0.6, F.lit("remaining life mostly grows")))
     if p.label and v:
         spread = F.when(p.std(v).isNull() | (p.std(v) == 0), 1.0).otherwise(p.std(v))
         quiet = F.coalesce(F.col(p.label).cast("double"), F.lit(0.0)) == 0
         missed = p.second("missed", F.count_if(quiet & (F.col(v) > p.mean(v) + 3 * spread)))
-        flags.append(F.when(missed > 0, F.concat(F.lit("Possible missed failures: "), _text(missed), F.lit(" rows"))))
+        flags.append(F.when(missed > 0, F.concat(_text(missed), F.lit(" rows far above usual vibration and no failure"))))
     found = F.array_compact(F.array(*flags)) if flags else F.array().cast("array<string>")
-    detail = F.when(F.size(found) > 0, F.array_join(found, "; ")).otherwise("no domain violations")
+    detail = F.when(F.size(found) > 0, F.array_join(found, "; ")).otherwise("all rules hold")
     return _row("DOMAIN RULES", F.when(F.size(found) > 0, "FAIL").otherwise("PASS"), F.size(found), detail)
 
 
@@ -255,9 +255,10 @@ def duplicates_stage(df: DataFrame, keys: Keys = Keys()) -> DataFrame:
 
 
 def expectations_stage(
-    df: DataFrame, keys: Keys = Keys(), life: str | None = None, profile: SeriesProfile | None = None
+    df: DataFrame, keys: Keys = Keys(), life: str | None = None, profile: SeriesProfile | None = None,
+    max_rows: int | None = None,
 ) -> DataFrame:
-    """Null share per column, temperature range, falling life, unique keys, row count."""
+    """Null share per column, temperature range, falling life, unique keys, row count (up to ``max_rows``, if given)."""
     p = _Plan(df, keys, None, life)
     checks = [(p.n() - p.known(c)) / F.greatest(p.n(), F.lit(1)) < 0.2 for c in p.columns]
     t = p.col("temperature", "temp")
@@ -267,7 +268,7 @@ def expectations_stage(
     if life:
         falling = p.second("life_down", F.avg((p.delta(life) <= 0).cast("double")))
         checks.append(F.when(p.known(life) > 3, F.coalesce(falling >= 0.5, F.lit(False))).otherwise(True))
-    checks.append((p.n() >= 1) & (p.n() <= 5_000_000))
+    checks.append((p.n() >= 1) & (p.n() <= max_rows) if max_rows else p.n() >= 1)
     passed = sum((c.cast("int") for c in checks), F.lit(0))
     row = p.run([F.struct(passed.alias("passed"))], profile)
     dup = duplicate_counts(df, [keys.ts, keys.id])
@@ -405,17 +406,21 @@ def pca_stage(df: DataFrame, keys: Keys = Keys(), rows: int | None = None) -> Da
 
 # ---------------------------------------------------------------- association rules
 def association_baskets(
-    df: DataFrame, keys: Keys = Keys(), tail_rows: int | None = None, rows: int | None = None
+    df: DataFrame, keys: Keys = Keys(), tail_rows: int | None = None, rows: int | None = None,
+    most_texts: int | None = None, most_numbers: int | None = None,
 ) -> DataFrame:
-    """One sorted item array per row: up to four small text columns and six ``=HIGH`` flags."""
+    """One sorted item array per row: every text column of at most twelve values and a ``=HIGH`` flag per number.
+
+    ``most_texts`` and ``most_numbers`` limit the columns, if given.
+    """
     texts = string_columns(df, [keys.tie])
     small: list[str] = []
     if texts:
         rough = df.agg(*[F.approx_count_distinct(c).alias(c) for c in texts]).first()
         near = [c for c in texts if rough[c] <= 24]
         exact = df.agg(*[F.count_distinct(c).alias(c) for c in near]).first() if near else {}
-        small = [c for c in near if exact[c] <= 12][:4]
-    numbers = [c for c in numeric_columns(df) if c != keys.tie][:6]
+        small = [c for c in near if exact[c] <= 12][:most_texts]
+    numbers = [c for c in numeric_columns(df) if c != keys.tie][:most_numbers]
     if tail_rows:
         df = df.orderBy(*[F.col(c).desc() for c in keys.order]).limit(tail_rows)
     bars = quantiles(df, numbers, [0.9], group_rows=rows).select(*[F.col(c)[0].alias(f"__{c}") for c in numbers])
@@ -428,8 +433,8 @@ def association_baskets(
 def association_pairs(baskets: DataFrame, top: int = 30) -> DataFrame:
     """Most frequent item pairs with support and confidence.
 
-    A basket has at most ten items, so a row yields at most 45 pairs; pairs are
-    counted on the map side before they move.
+    A row yields the pairs of its own items, one per column; pairs are counted
+    on the map side before they move.
     """
     pairs = F.flatten(
         F.transform(

@@ -136,7 +136,7 @@ def predictions_table(days: DataFrame, is_proxy: bool, source: str, keys: Keys =
     risk = risk_from_rul(rul)
     if is_proxy:
         text = F.format_string(
-            "%s ranks %s on the remaining-life proxy (~%d days). " + PROXY_NOTE, F.col(keys.id), risk, rul
+            "%s: %s risk, about %d days by wear. " + PROXY_NOTE, F.col(keys.id), risk, rul
         )
     else:
         text = F.format_string(

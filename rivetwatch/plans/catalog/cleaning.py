@@ -170,14 +170,14 @@ def quantile_bin(spark, d):
 
 
 @query("lab_bin", sql("readings", """
-  SELECT temperature_dwdm_bin, count(*) AS n FROM (
-    SELECT '(' || printf('%.3f', edges[i + 1]) || ', ' || printf('%.3f', edges[i + 2]) || ']' AS temperature_dwdm_bin FROM (
+  SELECT temperature_quartile, count(*) AS n FROM (
+    SELECT '(' || printf('%.3f', edges[i + 1]) || ', ' || printf('%.3f', edges[i + 2]) || ']' AS temperature_quartile FROM (
       SELECT edges, CAST(greatest(len(list_filter(edges, lambda e: e < temperature)), 1) - 1 AS INTEGER) AS i
       FROM readings, (SELECT list_sort(list_distinct(quantile_cont(temperature, [0.0, 0.25, 0.5, 0.75, 1.0]))) AS edges FROM readings)))
   GROUP BY 1"""))
 def lab_bin(spark, d):
-    out = clean.quantile_bin(v.readings(spark, d), ["temperature"], q=4, suffix="_dwdm_bin")
-    return out.groupBy("temperature_dwdm_bin").agg(F.count(F.lit(1)).alias("n"))
+    out = clean.quantile_bin(v.readings(spark, d), ["temperature"], q=4, suffix="_quartile")
+    return out.groupBy("temperature_quartile").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("znorm", sql("readings", """
@@ -210,10 +210,10 @@ def smooth_clean(spark, d):
 
 
 @query("smooth_lab", sql("readings", f"""
-  SELECT event_id, round(avg(vibration) OVER ({_SERIES} ROWS 11 PRECEDING), 6) AS vibration_dwdm_smooth FROM readings"""))
+  SELECT event_id, round(avg(vibration) OVER ({_SERIES} ROWS 11 PRECEDING), 6) AS vibration_smoothed FROM readings"""))
 def smooth_lab(spark, d):
-    out = clean.smooth(v.readings(spark, d), ["vibration"], window=12, suffix="_dwdm_smooth")
-    return out.select("event_id", F.round("vibration_dwdm_smooth", 6).alias("vibration_dwdm_smooth"))
+    out = clean.smooth(v.readings(spark, d), ["vibration"], window=12, suffix="_smoothed")
+    return out.select("event_id", F.round("vibration_smoothed", 6).alias("vibration_smoothed"))
 
 
 @query("rul_features", sql("readings", "SELECT event_id, " + ", ".join(

@@ -106,8 +106,8 @@ def proxy_rul(spark, d):
 
 
 @query("rul_proxy_predictions", sql("preds", """
-  SELECT *, machine_id || ' ranks ' || risk_level || ' on the remaining-life proxy (~' || CAST(predicted_rul_days AS VARCHAR)
-    || ' days). This is a risk / degradation proxy, not a confirmed failure date.' AS message FROM preds"""))
+  SELECT *, machine_id || ': ' || risk_level || ' risk, about ' || CAST(predicted_rul_days AS VARCHAR)
+    || ' days by wear. Estimated from wear; no date of failure is known.' AS message FROM preds"""))
 def proxy_predictions(spark, d):
     return _preds(spark, d)
 
@@ -222,8 +222,8 @@ query("kpis_oil", sql("engine preds", _kpi_sql([
 
 
 @query("kpi_narrative", sql("health", """
-  SELECT 'plant_rotating' AS pack_id, 'Plant / rotating machines — weakest asset ' || machine_id || ' health ' || CAST(worst_health AS VARCHAR)
-    || '/100 risk ' || worst_risk || ' — Fleet health index ' || CAST(round_even(fleet, 1) AS VARCHAR) || ' /100, High-risk assets '
+  SELECT 'plant_rotating' AS pack_id, 'Plant / rotating machines | worst health: ' || machine_id || ' with ' || CAST(worst_health AS VARCHAR)
+    || ' of 100, ' || worst_risk || ' risk | Fleet health index ' || CAST(round_even(fleet, 1) AS VARCHAR) || ' /100, High-risk assets '
     || CAST(n_high AS VARCHAR) || ' assets, Worst-asset RUL (' || machine_id || ') ' || CAST(predicted_rul_days AS VARCHAR) || ' days' AS narrative
   FROM one""", one=f"""SELECT *, (SELECT risk_level FROM health h WHERE h.machine_id = w.machine_id) AS worst_risk
   FROM ({_ONE.format('health')}), ({_WORST.format('health')}) w"""))
@@ -235,11 +235,11 @@ def narrative(spark, d):
 
 
 @query("kpi_insights", sql("health", """
-  SELECT 'Plant / rotating machines KPIs' AS title, 'info' AS severity FROM one
+  SELECT 'Key figures: Plant / rotating machines' AS title, 'info' AS severity FROM one
   UNION ALL SELECT 'Fleet health index', CASE WHEN fleet < 55 THEN 'high' WHEN fleet < 75 THEN 'medium' ELSE 'info' END FROM one
   UNION ALL SELECT 'High-risk assets', CASE WHEN n_high > 0 THEN 'high' ELSE 'info' END FROM one
   UNION ALL SELECT 'Worst-asset RUL (' || machine_id || ')', CASE WHEN worst_health < 55 THEN 'high' WHEN worst_health < 75 THEN 'medium' ELSE 'info' END FROM one
-  UNION ALL SELECT 'Inspect ' || machine_id || ' first', 'high' FROM one WHERE (SELECT risk_level FROM health h WHERE h.machine_id = one.machine_id) = 'High'""",
+  UNION ALL SELECT 'Start with ' || machine_id, 'high' FROM one WHERE (SELECT risk_level FROM health h WHERE h.machine_id = one.machine_id) = 'High'""",
   one=f"SELECT * FROM ({_ONE.format('health')}), ({_WORST.format('health')})"))
 def kpi_insights(spark, d):
     run = _Fleet(spark, d)
@@ -317,7 +317,7 @@ def health_events(spark, d):
 
 # ---------------------------------------------------------------- ranking and brief
 @query("rank", sql("ranked", """
-  SELECT machine_id, rank, n_rows, mean_anomaly_score, max_anomaly_score, anomaly_count, anomaly_rate_pct, predicted_rul_days, risk_level FROM ranked"""))
+  SELECT machine_id, rank, n_rows, mean_anomaly_score, max_anomaly_score, anomaly_count, anomaly_rate_pct, predicted_rul_days, risk_level, moved FROM ranked"""))
 def rank(spark, d):
     return _ranked(spark, d).drop("why", "is_proxy")
 
@@ -327,12 +327,12 @@ def why(spark, d):
     return _ranked(spark, d).select("machine_id", F.array_join("why", "; ").alias("why"))
 
 
-_INSPECT = """SELECT rank, 'Inspect ' || machine_id || ' this week' AS title, risk_level AS severity, machine_id,
-  '**' || machine_id || '** should be inspected this week — ' || array_to_string(why, '; ')
-  || '. This is a risk / degradation proxy, not a confirmed failure date.' AS message FROM ranked
+_INSPECT = """SELECT rank, 'Due for inspection: ' || machine_id AS title, risk_level AS severity, machine_id,
+  machine_id || ' is due within the week: ' || array_to_string(why, '; ')
+  || '. Estimated from wear; no date of failure is known.' AS message FROM ranked
   WHERE risk_level = 'High' OR (risk_level = 'Medium' AND (predicted_rul_days <= 14 OR anomaly_rate_pct >= 8))
      OR (mean_anomaly_score > 0 AND anomaly_count > 0)
-     OR (predicted_rul_days <= 21 AND len(list_filter(why, lambda x: contains(x, 'spike') OR contains(x, 'drop'))) > 0)"""
+     OR (predicted_rul_days <= 21 AND moved)"""
 
 
 @query("inspect", sql("ranked", _INSPECT + " ORDER BY rank LIMIT 8"))
@@ -363,13 +363,13 @@ def slow_speed(spark, d):
 
 
 @query("dollars", sql("ranked slow", """
-  SELECT 1 AS section, '$ at risk: ' || machine_id AS title, risk_level AS severity, machine_id, dollars,
-         '**' || machine_id || '** (' || risk_level || ' risk): if it stops for **' || printf('%.1f', h) || ' h**, **$' || format('{:,}', CAST(dollars AS BIGINT))
-         || '** is at risk at $1,500/hour. Assumption uses the hours you entered — not a booked outage.' AS message
+  SELECT 1 AS section, 'Cost of a stop: ' || machine_id AS title, risk_level AS severity, machine_id, dollars,
+         machine_id || ', ' || risk_level || ' risk: a stop of ' || printf('%.1f', h) || ' h costs $' || format('{:,}', CAST(dollars AS BIGINT))
+         || ' at $1,500 an hour. Hours as given, none planned.' AS message
   FROM (SELECT machine_id, risk_level, CASE WHEN risk_level = 'High' THEN 8.0::DOUBLE ELSE 4.0::DOUBLE END AS h, CASE WHEN risk_level = 'High' THEN 12000.0::DOUBLE ELSE 6000.0::DOUBLE END AS dollars
         FROM ranked WHERE risk_level IN ('High', 'Medium'))
   UNION ALL
-  SELECT 2, 'Lost production: ' || machine_id, 'Medium', machine_id, round((fleet_median - mean) * 20 * 8, 6), NULL FROM slow"""))
+  SELECT 2, 'Output missed: ' || machine_id, 'Medium', machine_id, round((fleet_median - mean) * 20 * 8, 6), NULL FROM slow"""))
 def dollars(spark, d):
     slow_rows = insights.slow_running(v.throughput(v.readings(spark, d)))
     out = insights.dollar_impact(_ranked(spark, d), slow_rows, per_hour=1500, per_unit=20)
@@ -387,10 +387,10 @@ def label_honesty(spark, d):
 
 
 @query("brief", sql("ranked", f"""
-  SELECT 1 AS section, 'How to read risk' AS title, 'Info' AS severity FROM (SELECT count(*) FROM ranked)
-  UNION ALL SELECT 2, 'Highest-risk asset', risk_level FROM ranked WHERE rank = 1
+  SELECT 1 AS section, 'About these figures' AS title, 'Info' AS severity FROM (SELECT count(*) FROM ranked)
+  UNION ALL SELECT 2, 'First in the ranking', risk_level FROM ranked WHERE rank = 1
   UNION ALL SELECT 3, title, severity FROM ({_INSPECT} ORDER BY rank LIMIT 5)
-  UNION ALL SELECT 5, '$ at risk: ' || machine_id, risk_level FROM (
+  UNION ALL SELECT 5, 'Cost of a stop: ' || machine_id, risk_level FROM (
     SELECT machine_id, risk_level FROM ranked WHERE risk_level IN ('High', 'Medium') ORDER BY rank LIMIT 6)"""))
 def brief(spark, d):
     run = _Fleet(spark, d)

@@ -106,8 +106,8 @@ def row_documents(spark, d):
 
 @query("brief_documents", sql("ranked preds", """
   SELECT 'RUL_PRED machine_id=' || machine_id || ' predicted_rul_days=' || CAST(predicted_rul_days AS VARCHAR) || ' risk_level=' || risk_level
-    || ' is_proxy=true label_source=synthetic_degradation_proxy message=' || machine_id || ' ranks ' || risk_level || ' on the remaining-life proxy (~'
-    || CAST(predicted_rul_days AS VARCHAR) || ' days). This is a risk / degradation proxy, not a confirmed failure date.' AS text FROM preds
+    || ' is_proxy=true label_source=synthetic_degradation_proxy message=' || machine_id || ': ' || risk_level || ' risk, about '
+    || CAST(predicted_rul_days AS VARCHAR) || ' days by wear. Estimated from wear; no date of failure is known.' AS text FROM preds
   UNION ALL
   SELECT 'ASSET_RANK rank=' || CAST(rank AS VARCHAR) || ' machine_id=' || machine_id || ' risk_level=' || risk_level || ' predicted_rul_days='
     || CAST(predicted_rul_days AS VARCHAR) || ' mean_anomaly_score=' || CAST(mean_anomaly_score AS VARCHAR) || ' anomaly_count='

@@ -83,8 +83,8 @@ query("q_correlation", sql("gaps", _line(
 
 query("q_labels", sql("gaps", _line(
     "DIRTY LABELS", _WARN, "n",
-    "concat_ws('; ', CASE WHEN a > 0 THEN CAST(a AS VARCHAR) || ' rows failure=1 but low vibration' END, "
-    "CASE WHEN b > 0 THEN CAST(b AS VARCHAR) || ' rows failure=0 but extreme vibration' END)",
+    "concat_ws('; ', CASE WHEN a > 0 THEN CAST(a AS VARCHAR) || ' failures on calm rows' END, "
+    "CASE WHEN b > 0 THEN CAST(b AS VARCHAR) || ' rows without failure shake hard' END)",
     """SELECT a, b, a + b AS n FROM (SELECT count(*) FILTER (failure = 1 AND vibration < q20) AS a, count(*) FILTER (failure = 0 AND vibration > q95) AS b
        FROM gaps, (SELECT quantile_cont(vibration, 0.2) AS q20, quantile_cont(vibration, 0.95) AS q95 FROM gaps))""",
 )))(_stage("DIRTY LABELS"))
@@ -92,12 +92,12 @@ query("q_labels", sql("gaps", _line(
 
 @query("q_domain", sql("gaps life", _line(
     "DOMAIN RULES", "CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END", "n",
-    "CASE WHEN n > 0 THEN array_to_string(l, '; ') ELSE 'no domain violations' END",
+    "CASE WHEN n > 0 THEN array_to_string(l, '; ') ELSE 'all rules hold' END",
     f"""SELECT len(l) AS n, l FROM (SELECT list_filter([
-      CASE WHEN stuck > 0 THEN 'Sensor stuck pattern: ' || CAST(stuck AS VARCHAR) || ' rows' END,
-      CASE WHEN leak > 0 THEN 'Leak/sensor fault suspect: ' || CAST(leak AS VARCHAR) || ' rows' END,
-      CASE WHEN up > 0.6 THEN 'RUL trend unusual: RUL increases over time often' END,
-      CASE WHEN missed > 0 THEN 'Possible missed failures: ' || CAST(missed AS VARCHAR) || ' rows' END
+      CASE WHEN stuck > 0 THEN CAST(stuck AS VARCHAR) || ' hot rows without vibration' END,
+      CASE WHEN leak > 0 THEN CAST(leak AS VARCHAR) || ' pressure drops at steady speed' END,
+      CASE WHEN up > 0.6 THEN 'remaining life mostly grows' END,
+      CASE WHEN missed > 0 THEN CAST(missed AS VARCHAR) || ' rows far above usual vibration and no failure' END
       ], lambda x: x IS NOT NULL) AS l
       FROM (SELECT count(*) FILTER (temperature > 150 AND vibration < 0.1) AS stuck, count(*) FILTER (dp < -10 AND abs(dr) < 0.5) AS leak,
                    avg(CASE WHEN dl > 0 THEN 1.0 ELSE 0.0 END) FILTER (dl IS NOT NULL) AS up,

@@ -280,25 +280,27 @@ _WHY = ("temperature", "vibration", "pressure", "rpm", "oil_pressure", "failure"
 
 def _why_sql() -> str:
     parts = [
-        "'mean Isolation Forest score ' || CAST(mean_anomaly_score AS VARCHAR)",
-        "CASE WHEN anomaly_count > 0 THEN CAST(anomaly_count AS VARCHAR) || ' IF flags (' || CAST(anomaly_rate_pct AS VARCHAR) || '% of rows)' END",
-        "'RUL proxy ' || CAST(predicted_rul_days AS VARCHAR) || ' days'",
+        "'mean outlier score ' || CAST(mean_anomaly_score AS VARCHAR)",
+        "CASE WHEN anomaly_count > 0 THEN CAST(anomaly_count AS VARCHAR) || ' outlying rows, ' || CAST(anomaly_rate_pct AS VARCHAR) || '% of all' END",
+        "'days left by wear ' || CAST(predicted_rul_days AS VARCHAR)",
     ]
     for c in _WHY:
         gap = f"(l_{c} - m_{c}) / nullif(abs(m_{c}), 0) * 100"
         parts.append(
-            f"CASE WHEN abs({gap}) >= 12 THEN '`{c}` ' || CASE WHEN {gap} > 0 THEN 'spike' ELSE 'drop' END || ' ' || "
-            f"printf('%.2f', l_{c}) || ' vs fleet median ' || printf('%.2f', m_{c}) || ' (' || "
-            f"printf('%+.0f', {gap}) || '%)' END"
+            f"CASE WHEN abs({gap}) >= 12 THEN '{c} ' || CASE WHEN {gap} > 0 THEN 'up' ELSE 'down' END || ' at ' || "
+            f"printf('%.2f', l_{c}) || ', median ' || printf('%.2f', m_{c}) || ', ' || "
+            f"printf('%+.0f', {gap}) || '%' END"
         )
     return f"list_slice(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL), 1, 6)"
 
 
+_MOVED = "coalesce(" + " OR ".join(f"abs((l_{c} - m_{c}) / nullif(abs(m_{c}), 0) * 100) >= 12" for c in _WHY) + ", false)"
+
 RANKED_SQL = f"""
   SELECT *, CAST(row_number() OVER (ORDER BY CASE risk_level WHEN 'High' THEN 0 WHEN 'Medium' THEN 1 WHEN 'Low' THEN 2 ELSE 3 END,
             predicted_rul_days NULLS LAST, mean_anomaly_score DESC, machine_id) AS INTEGER) AS rank
   FROM (
-    SELECT *, {_why_sql()} AS why FROM (
+    SELECT *, {_why_sql()} AS why, {_MOVED} AS moved FROM (
       SELECT s.*, p.predicted_rul_days, coalesce(p.risk_level, 'Unknown') AS risk_level,
              {', '.join(f'm.m_{c}' for c in _WHY)}
       FROM (SELECT machine_id, count(*) AS n_rows, round_even(avg(anomaly_score), 4) AS mean_anomaly_score,
@@ -415,9 +417,9 @@ THROUGHPUT_SQL = """
 """
 
 SLOW_SQL = """
-  SELECT machine_id, 'Slow running: ' || machine_id AS title, 'Medium' AS severity, 'throughput' AS "column", mean, fleet_median, gap_pct,
-         '**' || machine_id || '** is running slow on `throughput`: mean ' || printf('%.2f', mean) || ' vs fleet median ' ||
-         printf('%.2f', fleet_median) || ' (' || printf('%.0f', gap_pct) || '%). Lost throughput vs the median line.' AS message
+  SELECT machine_id, 'Below pace: ' || machine_id AS title, 'Medium' AS severity, 'throughput' AS "column", mean, fleet_median, gap_pct,
+         machine_id || ' falls short in throughput: mean ' || printf('%.2f', mean) || ', median of the fleet ' ||
+         printf('%.2f', fleet_median) || ', ' || printf('%.0f', gap_pct) || '%.' AS message
   FROM (SELECT machine_id, mean, fleet_median, (mean - fleet_median) / abs(fleet_median) * 100 AS gap_pct
         FROM (SELECT machine_id, avg(throughput) AS mean FROM throughput GROUP BY 1),
              (SELECT quantile_cont(throughput, 0.5) AS fleet_median FROM throughput))

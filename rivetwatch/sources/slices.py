@@ -18,24 +18,24 @@ class Preset(NamedTuple):
 
 # Preset names, domains and default parameters.
 PRESETS = {
-    "last_n_rows": Preset("Last N rows", None, {"n": 50_000}),
+    "last_n_rows": Preset("Last N rows", None, {"n": None}),
     "last_n_days": Preset(
         "Last N days", ("predictive_maintenance", "plant_oee", "energy_utilities"),
-        {"n": 30, "ts_col": "timestamp"},
+        {"n": 30, "ts_col": "timestamp", "limit": None},
     ),
     "filter_machine_id": Preset(
-        "Filter by machine_id", ("predictive_maintenance", "plant_oee"), {"machine_id": "M-001", "n": 100_000}
+        "Filter by machine_id", ("predictive_maintenance", "plant_oee"), {"machine_id": "M-001", "n": 0}
     ),
     "filter_asset_id": Preset(
-        "Filter by asset_id", ("predictive_maintenance", "plant_oee"), {"asset_id": "ASSET-001", "n": 100_000}
+        "Filter by asset_id", ("predictive_maintenance", "plant_oee"), {"asset_id": "ASSET-001", "n": 0}
     ),
     "date_range": Preset(
         "Date range window", None,
-        {"start_date": "2024-01-01", "end_date": "2024-06-01", "ts_col": "timestamp", "n": 200_000},
+        {"start_date": "2024-01-01", "end_date": "2024-06-01", "ts_col": "timestamp", "n": 0},
     ),
     "sample_percent": Preset("Random sample %", None, {"sample_pct": 5.0}),
     "pdm_failure_focus": Preset(
-        "PdM — failures + near-failure window", ("predictive_maintenance",), {"rul_max": 48}
+        "PdM — failures + near-failure window", ("predictive_maintenance",), {"rul_max": 48, "limit": None}
     ),
 }
 
@@ -50,10 +50,6 @@ def _time(df: DataFrame, column: str) -> Column:
     return F.expr(f"try_cast(`{column}` AS TIMESTAMP)") if text else F.col(column)
 
 
-def _capped(df: DataFrame, n: int | None) -> DataFrame:
-    return df.limit(int(n)) if n and int(n) > 0 else df
-
-
 def last_n_rows(df: DataFrame, n: int, keys: Keys = Keys(), mode: str = "newest") -> DataFrame:
     """Newest ``n`` rows (top-k, no full sort); ``mode="any"`` is a plain limit."""
     if mode == "any":
@@ -115,7 +111,7 @@ def page(df: DataFrame, offset: int, n: int, keys: Keys = Keys()) -> DataFrame:
 
 
 def slice_table(df: DataFrame, preset: str, as_of: datetime | None = None, keys: Keys = Keys(), **params) -> DataFrame:
-    """Dispatch by preset name with that preset's default parameters and fixed caps."""
+    """Dispatch by preset name; nothing is cut off unless the caller gives a number of rows."""
     if preset not in PRESETS:
         raise ValueError(f"unknown preset {preset!r}")
     p = dict(PRESETS[preset].params) | params
@@ -123,11 +119,13 @@ def slice_table(df: DataFrame, preset: str, as_of: datetime | None = None, keys:
     if unknown:
         raise ValueError(f"unknown parameters for {preset}: {sorted(unknown)}")
     if preset == "last_n_rows":
+        if not p["n"]:
+            raise ValueError("last_n_rows needs n")
         return last_n_rows(df, int(p["n"]), keys)
     if preset == "last_n_days":
         if as_of is None:
             raise ValueError("last_n_days needs as_of")
-        return last_n_days(df, int(p["n"]), as_of, p["ts_col"], keys.tie, limit=500_000)
+        return last_n_days(df, int(p["n"]), as_of, p["ts_col"], keys.tie, limit=p["limit"])
     if preset == "filter_machine_id":
         return filter_asset(df, str(p["machine_id"]), "machine_id", int(p["n"]), keys)
     if preset == "filter_asset_id":
@@ -135,5 +133,5 @@ def slice_table(df: DataFrame, preset: str, as_of: datetime | None = None, keys:
     if preset == "date_range":
         return date_range(df, str(p["start_date"]), str(p["end_date"]), p["ts_col"], int(p["n"]), keys.tie)
     if preset == "sample_percent":
-        return _capped(sample_percent(df, float(p["sample_pct"])), 500_000)
-    return failure_focus(df, float(p["rul_max"]), keys=keys, limit=200_000)
+        return sample_percent(df, float(p["sample_pct"]))
+    return failure_focus(df, float(p["rul_max"]), keys=keys, limit=p["limit"])

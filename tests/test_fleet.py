@@ -251,6 +251,6 @@ def test_proxy_rul_bounds_and_messages(spark, sf):
     low, high = rul.proxy_rul(df).agg(F.min("proxy_rul"), F.max("proxy_rul")).first()
     assert 1.0 <= low <= high <= 30.0
     row = rul.proxy_predictions(df).first()
-    assert row["is_proxy"] and "not a confirmed failure date" in row["message"]
+    assert row["is_proxy"] and "no date of failure" in row["message"]
     with pytest.raises(ValueError):
         rul.proxy_rul(df.select("event_id"))

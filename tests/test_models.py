@@ -157,4 +157,4 @@ def test_planted_quality_faults(spark):
     out = {r["check"]: r for r in quality.run_stages(df, ["CONSTANT", "IMPOSSIBLE JUMP", "DOMAIN RULES"]).collect()}
     assert "flat" in out["CONSTANT"]["detail"] and out["CONSTANT"]["status"] == "FAIL"
     assert out["IMPOSSIBLE JUMP"]["metric"] == 2 and out["IMPOSSIBLE JUMP"]["status"] == "FAIL"
-    assert "Sensor stuck pattern: 1 rows" in out["DOMAIN RULES"]["detail"]
+    assert "1 hot rows without vibration" in out["DOMAIN RULES"]["detail"]
