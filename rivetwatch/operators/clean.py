@@ -16,6 +16,7 @@ from ..constants import (
 )
 from ..functions.columns import Keys, as_double, nan_to_null, numeric_columns, string_columns
 from ..functions.quantiles import quantiles
+from ..session import kept
 from .series import SeriesProfile, add_windowed, forward_fill, profile_series, rolling_mean, salted_lookup
 
 
@@ -142,7 +143,8 @@ def clean_sensor_data(
     if not sensors:
         return out
     rows = profile.rows if profile else None
-    out = forward_fill(out, sensors, keys, profile)
+    # Medians, quartiles and the result each read the filled table: it is written once, the window runs once.
+    out = kept(forward_fill(out, sensors, keys, profile), "filled")
     out = median_fill(out, sensors, rows)
     return winsorize(out, sensors, guard_zero_iqr, rows)
 

@@ -9,7 +9,7 @@ not bit-equal to another library's forest, whose random numbers differ.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..constants import ANOMALY_CONTAMINATION, FOREST_TREES, RUL_SEED
 from ..functions.columns import Keys, as_double, model_features
 from ..functions.quantiles import quantiles
+from ..session import kept
 
 SAMPLE_ROWS = 256
 _TREE_SCHEMA = "tree int, feature array<int>, cut array<double>, left array<int>, right array<int>, path array<double>"
@@ -109,23 +110,18 @@ def _grow(sample: np.ndarray, rng: np.random.Generator, limit: int):
 
 
 def _draw(df: DataFrame, tie: str, n: int, trees: int, sample: int, seed: int) -> DataFrame:
-    """At most ``sample`` rows per tree.
+    """At most ``sample`` rows per tree, drawn alike whatever the size of the table.
 
-    A large table gives each drawn row to one tree, so rows are never
-    multiplied by trees; a small one draws every tree from all rows.
+    One hash places a row on a circle, the trees stand evenly around it, and a row is drawn by the trees in the arc
+    before it.  The arc's length makes about twice ``sample`` candidates per tree (all rows of a small table), of
+    which a second hash keeps the first ``sample``.  So a row of a large table meets one tree at most.
     """
-    wanted = trees * sample
-    if n >= 4 * wanted:
-        share = min(1.0, 1.5 * wanted / n)
-        drawn = df.filter(F.pmod(F.xxhash64(tie, F.lit(seed)), F.lit(1 << 40)) < int(share * (1 << 40)))
-        drawn = drawn.withColumn("tree", F.pmod(F.xxhash64(tie, F.lit(seed + 1)), F.lit(trees)).cast("int"))
-    else:
-        # Same expected sample per tree by threshold first, so few rows are multiplied and ranked.
-        share = min(1.0, 2.0 * sample / max(n, 1)) if n > 20 * sample else 1.0
-        bar = int(share * (1 << 40))
-        every = F.sequence(F.lit(0), F.lit(trees - 1))
-        chosen = F.filter(every, lambda t: F.pmod(F.xxhash64(F.col(tie), t, F.lit(seed)), F.lit(1 << 40)) < bar)
-        drawn = df.withColumn("tree", F.explode(chosen))
+    share = min(1.0, 2.0 * sample / max(n, 1))
+    place = F.pmod(F.xxhash64(tie, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40)) * trees
+    first = F.ceil(place - share * trees)
+    arc = F.when(F.lit(share >= 1.0), F.sequence(F.lit(0), F.lit(trees - 1))).otherwise(
+        F.when(F.ceil(place) > first, F.transform(F.sequence(first, F.ceil(place) - 1), lambda t: F.pmod(t, F.lit(trees)).cast("int"))))
+    drawn = df.withColumn("tree", F.explode(arc))
     w = Window.partitionBy("tree").orderBy(F.xxhash64(tie, "tree", F.lit(seed)), tie)
     return drawn.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= sample).drop("__rn")
 
@@ -179,9 +175,22 @@ def fit_forest(
     )
     if not with_threshold:
         return model
-    scores = df.select(model.score(df).alias("s"))
-    bar = quantiles(scores, ["s"], [1 - contamination], group_rows=n).first()["s"][0]
-    return ForestModel(**{**model.__dict__, "threshold": float(bar)})
+    return _with_bar(model, kept(df.select(model.score(df).alias("anomaly_score")), "scores"), n)
+
+
+def _with_bar(model: ForestModel, scores: DataFrame, n: int) -> ForestModel:
+    bar = quantiles(scores, ["anomaly_score"], [1 - model.contamination], group_rows=n).first()["anomaly_score"][0]
+    return replace(model, threshold=float(bar))
+
+
+def fit_annotate(
+    df: DataFrame, features: list[str] | None = None, contamination: float = ANOMALY_CONTAMINATION, **options
+) -> tuple[ForestModel, DataFrame]:
+    """``fit_forest`` and ``annotate`` with one pass of the forest: scores are written once, then ranked and flagged."""
+    model = fit_forest(df, features, contamination, with_threshold=False, **options)
+    scored = kept(df.withColumn("anomaly_score", model.score(df)), "scored")
+    model = _with_bar(model, scored, scored.count())
+    return model, scored.withColumn("is_anomaly", F.col("anomaly_score") > F.lit(model.threshold))
 
 
 def anomaly_summary(scored: DataFrame) -> DataFrame:

@@ -306,16 +306,14 @@ def _info(df: DataFrame, check: str, why: str) -> DataFrame:
 
 
 def forest_stage(df: DataFrame, keys: Keys = Keys(), contamination: float = QUALITY_CONTAMINATION) -> DataFrame:
-    from .iforest import fit_forest
+    from .iforest import fit_annotate
 
     numbers = [c for c in numeric_columns(df) if c != keys.tie]
     complete = df.na.drop(subset=numbers)
     if len(numbers) < 2 or complete.limit(15).count() < 15:
         return _info(df, "ISOLATION FOREST", "need >=2 numeric cols & 15 rows")
-    model = fit_forest(complete, numbers, contamination, keys=keys)
-    counted = model.annotate(complete).agg(
-        F.count_if("is_anomaly").alias("a"), F.count(F.lit(1)).alias("n")
-    )
+    _, scored = fit_annotate(complete, numbers, contamination, keys=keys)
+    counted = scored.agg(F.count_if("is_anomaly").alias("a"), F.count(F.lit(1)).alias("n"))
     rate = F.round(100.0 * F.col("a") / F.col("n"), 2)
     made = _row(
         "ISOLATION FOREST", F.when(F.col("a") > 0, "WARN").otherwise("PASS"), F.col("a"),
@@ -331,13 +329,13 @@ def kmeans_stage(df: DataFrame, keys: Keys = Keys(), seed: int = RUL_SEED) -> Da
     from pyspark.ml.functions import vector_to_array
 
     numbers = [c for c in numeric_columns(df) if c != keys.tie]
-    complete = df.select(*[F.col(c).cast("double").alias(c) for c in numbers]).na.drop()
+    complete = df.select(keys.tie, *[F.col(c).cast("double").alias(c) for c in numbers]).na.drop(subset=numbers)
     few = complete.limit(20).count()
     if len(numbers) < 2 or few < 20:
         return _info(df, "KMEANS DISTANCE", "need more numeric rows")
     rows = VectorAssembler(inputCols=numbers, outputCol="raw").transform(complete)
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(rows)
-    scaled = spread_rows(scaler.transform(rows).select("features"))
+    scaled = spread_rows(scaler.transform(rows).select("features", keys.tie), keys.tie)
     try:
         model = KMeans(k=3, seed=seed, maxIter=30).fit(scaled)
         centers = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()])

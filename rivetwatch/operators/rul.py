@@ -92,8 +92,8 @@ def fit_rul(
     labelled = proxy_rul(featured).withColumn("label", F.col("proxy_rul")) if proxy else featured.withColumn("label", F.col(LABEL).cast("double"))
     names = [c for c in feature_names(featured, keys) if c != "proxy_rul"]
     part = F.pmod(F.xxhash64(keys.id, keys.ts, keys.tie), F.lit(5))
-    rows = _assemble(labelled.filter(F.col("label").isNotNull()), names).select("features", "label", part.alias("part"))
-    rows = spread_rows(rows)
+    rows = _assemble(labelled.filter(F.col("label").isNotNull()), names).select("features", "label", part.alias("part"), keys.id, keys.ts, keys.tie)
+    rows = spread_rows(rows, keys.id, keys.ts, keys.tie)
     try:
         forest = RandomForestRegressor(
             numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=seed, subsamplingRate=1.0,
@@ -185,9 +185,9 @@ def tune_rul(
         raise ValueError(f"target {LABEL!r} not found")
     names = feature_names(featured, keys)
     rows = _assemble(featured.filter(F.col(LABEL).isNotNull()), names).select(
-        "features", F.col(LABEL).cast("double").alias("label")
+        "features", F.col(LABEL).cast("double").alias("label"), keys.id, keys.ts, keys.tie
     )
-    rows = spread_rows(rows)
+    rows = spread_rows(rows, keys.id, keys.ts, keys.tie)
     try:
         n = rows.count()
         if n < 30:

@@ -3,7 +3,7 @@
 A window ``PARTITION BY asset ORDER BY ts, tie`` puts a whole asset in one
 task.  That is the best plan while every asset is of ordinary size, and it is
 what runs then.  When one asset holds a large share of all rows, its history
-is cut into time slices and the window runs per ``(asset, slice)``:
+(and no other asset's) is cut into time slices and the window runs per ``(asset, slice)``:
 
 * frames that look back at most ``k`` rows get the last ``k`` rows before the
   slice as *context rows*, which are dropped again afterwards;
@@ -17,22 +17,29 @@ from __future__ import annotations
 
 from typing import Callable, NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 from ..functions.columns import Keys
 
 # An asset above this many rows is cut into slices of about this size.
 TARGET_ROWS = 4_000_000
-_SLICE = "__slice"
+_SLICE, _HOT = "__slice", "__hot"
+_LEAST_WIDTH = 1e-6
+_TRAIN_PARTS = 64
 
 
 class SeriesProfile(NamedTuple):
-    """How rows spread over assets; ``slice_seconds`` is None when no cut is needed."""
+    """How rows spread over assets; ``slice_seconds`` is None when no cut is needed.
+
+    ``hot`` names the assets to cut and their slice widths (at most one per ``target_rows`` rows of the table);
+    without it ``slice_seconds`` cuts every asset.
+    """
 
     rows: int
     assets: int
     max_rows: int
     slice_seconds: float | None = None
+    hot: tuple[tuple[str, float], ...] | None = None
 
 
 def profile_series(df: DataFrame, keys: Keys = Keys(), target_rows: int = TARGET_ROWS) -> SeriesProfile:
@@ -41,28 +48,41 @@ def profile_series(df: DataFrame, keys: Keys = Keys(), target_rows: int = TARGET
     per_asset = df.groupBy(keys.id).agg(
         F.count(F.lit(1)).alias("n"), ((F.max(micros) - F.min(micros)) / 1e6).alias("span")
     )
+    large = F.when(F.col("n") > target_rows, F.struct(F.col(keys.id).alias("id"), (F.col("span") * target_rows / F.col("n")).alias("width")))
     row = per_asset.agg(
         F.sum("n").alias("rows"),
         F.count(F.lit(1)).alias("assets"),
         F.max("n").alias("max_rows"),
-        F.min(F.when(F.col("n") > target_rows, F.col("span") * target_rows / F.col("n"))).alias("width"),
+        F.collect_list(large).alias("hot"),  # one entry per ``target_rows`` rows at most
     ).first()
-    width = None
-    if row["max_rows"] and row["max_rows"] > target_rows:
-        width = _settle_width(df, keys, max(float(row["width"] or 0.0), 1e-6), target_rows)
-    return SeriesProfile(row["rows"] or 0, row["assets"], row["max_rows"] or 0, width)
+    if not row["hot"]:
+        return SeriesProfile(row["rows"] or 0, row["assets"], row["max_rows"] or 0)
+    hot = _settle_widths(df, keys, {h["id"]: max(h["width"] or 0.0, _LEAST_WIDTH) for h in row["hot"]}, target_rows)
+    return SeriesProfile(row["rows"] or 0, row["assets"], row["max_rows"] or 0, min(hot.values()), tuple(sorted(hot.items())))
+
 
+def _settle_widths(df: DataFrame, keys: Keys, widths: dict[str, float], target_rows: int) -> dict[str, float]:
+    """Bursty assets need narrower slices than their mean rate suggests: shrink until each fits.
 
-def _settle_width(df: DataFrame, keys: Keys, width: float, target_rows: int) -> float:
-    """Bursty assets need narrower slices than their mean rate suggests: shrink until they fit."""
-    for _ in range(6):
-        biggest = (
-            df.groupBy(keys.id, _slice_index(keys, width)).count().agg(F.max("count").alias("n")).first()["n"]
-        )
-        if biggest <= 2 * target_rows or width <= 1e-6:
-            break
-        width = max(width * target_rows / biggest, 1e-6)
-    return width
+    Every round at least halves the widths that don't fit, down to a microsecond: rows of one time stay together.
+    """
+    open_ = dict(widths)
+    while open_:
+        counts = _cut(df, keys, tuple(open_.items())).filter(F.col(_HOT)).groupBy(keys.id, _SLICE).count()
+        biggest = {r[0]: r["n"] for r in counts.groupBy(keys.id).agg(F.max("count").alias("n")).collect()}
+        open_ = {a: max(w * target_rows / biggest[a], _LEAST_WIDTH) for a, w in open_.items() if biggest.get(a, 0) > 2 * target_rows and w > _LEAST_WIDTH}
+        widths |= open_
+    return widths
+
+
+def _cut(df: DataFrame, keys: Keys, hot: tuple[tuple[str, float], ...]) -> DataFrame:
+    """Slice number by the width of each hot asset, 0 for all others; and which rows are of a hot asset."""
+    schema = T.StructType([T.StructField("__of", df.schema[keys.id].dataType), T.StructField("__width", T.DoubleType())])
+    widths = df.sparkSession.createDataFrame(list(hot), schema)
+    micros = F.unix_micros(F.col(keys.ts).cast("timestamp"))
+    out = df.join(F.broadcast(widths), F.col(keys.id) == F.col("__of"), "left")
+    number = F.when(F.col("__width").isNotNull(), F.floor(micros / (F.col("__width") * 1e6)).cast("long")).otherwise(F.lit(0).cast("long"))
+    return out.withColumn(_SLICE, number).withColumn(_HOT, F.col("__width").isNotNull()).drop("__of", "__width")
 
 
 def _slice_index(keys: Keys, width: float) -> Column:
@@ -70,10 +90,15 @@ def _slice_index(keys: Keys, width: float) -> Column:
     return F.floor(micros / F.lit(width * 1e6)).cast("long").alias(_SLICE)
 
 
-def _resolve(df: DataFrame, keys: Keys, profile) -> float | None:
+def _slices(df: DataFrame, keys: Keys, profile: SeriesProfile | None) -> DataFrame | None:
+    """``df`` with slice numbers, or None where no asset needs a cut."""
     if profile is None:
         profile = profile_series(df, keys)
-    return profile.slice_seconds
+    if profile.slice_seconds is None:
+        return None
+    if profile.hot is None:
+        return df.withColumn(_SLICE, _slice_index(keys, profile.slice_seconds))
+    return _cut(df, keys, profile.hot).drop(_HOT)
 
 
 def add_windowed(
@@ -88,13 +113,13 @@ def add_windowed(
     Every expression gets the ordered window and may look back at most
     ``look_back`` rows.  All of them share one exchange and one sort.
     """
-    width = _resolve(df, keys, profile)
-    if width is None:
+    cut = _slices(df, keys, profile)
+    if cut is None:
         w = Window.partitionBy(keys.id).orderBy(*keys.order)
         return df.withColumns({name: make(w) for name, make in exprs.items()})
 
     # Stated outright: a table already hashed by asset would otherwise keep its hot partition.
-    cut = df.withColumn(_SLICE, _slice_index(keys, width)).repartition(keys.id, _SLICE)
+    cut = cut.repartition(keys.id, _SLICE)
     w = Window.partitionBy(keys.id, _SLICE).orderBy(*keys.order)
     both = cut.withColumn("__context", F.lit(False)).unionByName(
         _context_rows(cut, look_back, keys).withColumn("__context", F.lit(True))
@@ -128,12 +153,11 @@ def forward_fill(
     df: DataFrame, cols: list[str], keys: Keys = Keys(), profile: SeriesProfile | None = None
 ) -> DataFrame:
     """Last known value per asset and column, in (ts, tie) order."""
-    width = _resolve(df, keys, profile)
-    if width is None:
+    cut = _slices(df, keys, profile)
+    if cut is None:
         w = Window.partitionBy(keys.id).orderBy(*keys.order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
 
-    cut = df.withColumn(_SLICE, _slice_index(keys, width))
     # Last known value of each slice, straight from the scan with map-side combine.
     ends = cut.groupBy(keys.id, _SLICE).agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), keys.stamp())).alias(c) for c in cols]
@@ -153,15 +177,18 @@ def forward_fill(
 def salted_lookup(df: DataFrame, small: DataFrame, key: str, group_rows: int) -> DataFrame:
     """Inner join of rows with a one-row-per-key table, balanced for a key of ``group_rows`` rows.
 
-    A key above the target size is spread over enough salts; its small row is
-    copied to each.  Ordinary tables join plainly.
+    Only keys above the target size are spread over salts, and only their small rows are copied; there is at most one
+    such key per ``TARGET_ROWS`` rows.  Without any, tables join plainly.
     """
-    salts = -(-group_rows // TARGET_ROWS)
-    if salts <= 1:
+    if group_rows <= TARGET_ROWS:
         return df.join(small, key)
-    hashed = F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), F.lit(salts)).cast("int")
-    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return df.withColumn("__salt", hashed).join(copies, [key, "__salt"]).drop("__salt")
+    counts = df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / TARGET_ROWS).cast("int").alias("__salts"))
+    hot = F.broadcast(counts.filter("__salts > 1"))
+    salts = F.coalesce("__salts", F.lit(1))
+    hashed = F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), salts).cast("int")
+    rows = df.join(hot, key, "left").withColumn("__salt", hashed).drop("__salts")
+    copies = small.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    return rows.join(copies, [key, "__salt"]).drop("__salt")
 
 
 # ---------------------------------------------------------------- ready-made windows
@@ -191,14 +218,9 @@ def last_rows(df: DataFrame, n: int, keys: Keys = Keys()) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__rn")
 
 
-def spread_rows(df: DataFrame, rows_per_core: int = 250_000) -> DataFrame:
-    """Persist training rows, spread over all cores while they are few.
+def spread_rows(df: DataFrame, *by: str) -> DataFrame:
+    """Training rows in a fixed number of hash partitions, persisted; the caller releases them.
 
-    Adaptive execution packs small shuffles into one partition, which would
-    train on one core.  A table with work for every core keeps its partitions.
+    A fixed number and a hash of the row keep a trained model the same on any machine and for any input layout.
     """
-    held = df.persist()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if held.count() >= cores * rows_per_core:
-        return held
-    return held.repartition(cores).persist()
+    return df.repartition(_TRAIN_PARTS, *by).persist()

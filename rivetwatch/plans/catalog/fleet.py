@@ -11,6 +11,7 @@ from ...operators import advisory, fleet, insights, physics, rul
 from ...operators.driver import sensor_drivers
 from ...operators.iforest import anomaly_rates, anomaly_summary
 from .. import questions
+from ..pipeline import advice_bundle
 from .. import sensor_view as v
 from .registry import query, sql
 
@@ -250,13 +251,13 @@ def kpi_insights(spark, d):
 
 @query("kpi_bars", sql("health", """
   SELECT 'Fleet health index' AS label, round_even(avg(health_index), 1) AS value FROM health
-  UNION ALL SELECT 'High-risk assets', CAST(count(*) FILTER (risk_level = 'High') AS DOUBLE) FROM health"""))
+  UNION ALL SELECT 'High-risk assets', CAST(count(*) FILTER (risk_level = 'High') AS DOUBLE) FROM health
+  UNION ALL SELECT 'Worst-asset RUL (' || machine_id || ')', CAST(predicted_rul_days AS DOUBLE) FROM one""", one=_WORST.format("health")))
 def kpi_bars(spark, d):
     from ...operators.charts import kpi_bars as bars
 
     run = _Fleet(spark, d)
-    out = bars(fleet.pack_kpis(run.df, run.preds, health=run.health))
-    return out.filter(~F.col("label").startswith("Worst")).select("label", "value")
+    return bars(fleet.pack_kpis(run.df, run.preds, health=run.health)).select("label", "value")
 
 
 @query("health_by_asset", sql("health", "SELECT machine_id, health_index, risk_level FROM health"))
@@ -272,6 +273,12 @@ def advisory_rows(spark, d):
     return _Fleet(spark, d).items
 
 
+@query("advice_bundle", sql("items", "SELECT * FROM items"))
+def advice(spark, d):
+    run = _Fleet(spark, d)
+    return advice_bundle(run.df, run.preds, run.health).items
+
+
 @query("advisory_text", sql("items", """
   SELECT string_agg(machine_id || ': ' || action, ' · ' ORDER BY machine_id) AS advisory FROM items"""))
 def advisory_text(spark, d):
@@ -327,7 +334,7 @@ def why(spark, d):
     return _ranked(spark, d).select("machine_id", F.array_join("why", "; ").alias("why"))
 
 
-_INSPECT = """SELECT rank, 'Due for inspection: ' || machine_id AS title, risk_level AS severity, machine_id,
+INSPECT_SQL = """SELECT rank, 'Due for inspection: ' || machine_id AS title, risk_level AS severity, machine_id,
   machine_id || ' is due within the week: ' || array_to_string(why, '; ')
   || '. Estimated from wear; no date of failure is known.' AS message FROM ranked
   WHERE risk_level = 'High' OR (risk_level = 'Medium' AND (predicted_rul_days <= 14 OR anomaly_rate_pct >= 8))
@@ -335,12 +342,12 @@ _INSPECT = """SELECT rank, 'Due for inspection: ' || machine_id AS title, risk_l
      OR (predicted_rul_days <= 21 AND moved)"""
 
 
-@query("inspect", sql("ranked", _INSPECT + " ORDER BY rank LIMIT 8"))
+@query("inspect", sql("ranked", INSPECT_SQL + " ORDER BY rank LIMIT 8"))
 def inspect(spark, d):
     return insights.inspect_this_week(_ranked(spark, d))
 
 
-@query("inspect_all", sql("ranked", _INSPECT))
+@query("inspect_all", sql("ranked", INSPECT_SQL))
 def inspect_all(spark, d):
     return insights.inspect_this_week(_ranked(spark, d), most=None)
 
@@ -389,7 +396,7 @@ def label_honesty(spark, d):
 @query("brief", sql("ranked", f"""
   SELECT 1 AS section, 'About these figures' AS title, 'Info' AS severity FROM (SELECT count(*) FROM ranked)
   UNION ALL SELECT 2, 'First in the ranking', risk_level FROM ranked WHERE rank = 1
-  UNION ALL SELECT 3, title, severity FROM ({_INSPECT} ORDER BY rank LIMIT 5)
+  UNION ALL SELECT 3, title, severity FROM ({INSPECT_SQL} ORDER BY rank LIMIT 5)
   UNION ALL SELECT 5, 'Cost of a stop: ' || machine_id, risk_level FROM (
     SELECT machine_id, risk_level FROM ranked WHERE risk_level IN ('High', 'Medium') ORDER BY rank LIMIT 6)"""))
 def brief(spark, d):

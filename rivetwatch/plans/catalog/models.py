@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ...operators import charts, iforest, retrieval, rul
+from ...operators import charts, iforest, insights, retrieval, rul
 from ...sources.readers import spread_input
 from .. import sensor_view as v
+from .fleet import INSPECT_SQL
 from .registry import query, sql
 
 
@@ -14,20 +15,20 @@ from .registry import query, sql
 @query("iforest")
 def forest(spark, d):
     df = v.readings(spark, d, spread=True)
-    scored = iforest.fit_forest(df).annotate(df)
+    _, scored = iforest.fit_annotate(df)
     return scored.select("event_id", F.round("anomaly_score", 9).alias("anomaly_score"), "is_anomaly")
 
 
 @query("iforest_summary")
 def forest_summary(spark, d):
     df = v.readings(spark, d, spread=True)
-    return iforest.anomaly_summary(iforest.fit_forest(df).annotate(df))
+    return iforest.anomaly_summary(iforest.fit_annotate(df)[1])
 
 
 @query("iforest_timeline")
 def forest_timeline(spark, d):
     df = v.readings(spark, d, spread=True)
-    return charts.anomaly_timeline(iforest.fit_forest(df).annotate(df), "vibration").drop("timestamp")
+    return charts.anomaly_timeline(iforest.fit_annotate(df)[1], "vibration").drop("timestamp")
 
 
 _CANDIDATES = (0.02, 0.05, 0.08, 0.11, 0.15)
@@ -104,17 +105,18 @@ def row_documents(spark, d):
     return retrieval.row_documents(v.with_gaps(v.readings(spark, d)), "event_id", ["machine_id", "event_type", "temperature", "failure"])
 
 
-@query("brief_documents", sql("ranked preds", """
+@query("brief_documents", sql("ranked preds", f"""
   SELECT 'RUL_PRED machine_id=' || machine_id || ' predicted_rul_days=' || CAST(predicted_rul_days AS VARCHAR) || ' risk_level=' || risk_level
     || ' is_proxy=true label_source=synthetic_degradation_proxy message=' || machine_id || ': ' || risk_level || ' risk, about '
     || CAST(predicted_rul_days AS VARCHAR) || ' days by wear. Estimated from wear; no date of failure is known.' AS text FROM preds
   UNION ALL
   SELECT 'ASSET_RANK rank=' || CAST(rank AS VARCHAR) || ' machine_id=' || machine_id || ' risk_level=' || risk_level || ' predicted_rul_days='
     || CAST(predicted_rul_days AS VARCHAR) || ' mean_anomaly_score=' || CAST(mean_anomaly_score AS VARCHAR) || ' anomaly_count='
-    || CAST(anomaly_count AS VARCHAR) || ' why=' || array_to_string(why, '; ') FROM ranked"""))
+    || CAST(anomaly_count AS VARCHAR) || ' why=' || array_to_string(why, '; ') FROM ranked
+  UNION ALL
+  SELECT 'INSPECT machine_id=' || machine_id || ' ' || message FROM ({INSPECT_SQL})"""))
 def brief_documents(spark, d):
     from .fleet import _Fleet
 
     run = _Fleet(spark, d)
-    nothing = run.ranked.filter(F.lit(False)).select("machine_id", F.lit("").alias("message"))
-    return retrieval.brief_documents(run.ranked, run.preds, nothing)
+    return retrieval.brief_documents(run.ranked, run.preds, insights.inspect_this_week(run.ranked, most=None))

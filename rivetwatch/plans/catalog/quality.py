@@ -210,4 +210,4 @@ def q_pca(spark, d):
 
 @query("quality_report")
 def report(spark, d):
-    return quality.quality_report(_table(spark, d), models=False)
+    return quality.quality_report(_table(spark, d))

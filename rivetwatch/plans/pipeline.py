@@ -75,8 +75,7 @@ def run_reliability(
     profile = profile_series(mapped, keys)
     cleaned = clean.clean_sensor_data(mapped, keys, profile).persist(StorageLevel.MEMORY_AND_DISK)
     annotated = physics.apply_physics_rules(cleaned, pack_id)
-    forest = iforest.fit_forest(annotated, contamination=contamination, trees=trees, keys=keys)
-    scored = forest.annotate(annotated).persist(StorageLevel.MEMORY_AND_DISK)
+    forest, scored = iforest.fit_annotate(annotated, contamination=contamination, trees=trees, keys=keys)
     featured = rul.rul_features(scored, keys, profile=profile)
     model = rul.fit_rul(featured, keys, trees=rul_trees)
     predictions = rul.predict_latest(model, featured, keys).persist(StorageLevel.MEMORY_AND_DISK)

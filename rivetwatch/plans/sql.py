@@ -29,6 +29,11 @@ def check_read_only(spark: SparkSession, query: str) -> str:
         name = node.nodeName()
         if command.isInstance(node) or name.startswith(_WRITES):
             raise ValueError(f"only read-only queries are allowed, not {name}")
+        if name == "UnresolvedRelation":
+            parts = node.multipartIdentifier()
+            # format.`path` would read any file; only names that the session knows are tables.
+            if parts.size() > 1 and not spark.catalog.tableExists(".".join(f"`{parts.apply(i)}`" for i in range(parts.size()))):
+                raise ValueError("only registered tables can be read")
         children = node.children()
         nodes += [children.apply(i) for i in range(children.size())]
     return text

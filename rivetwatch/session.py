@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", partitions: int = 8, name: str = "rivetwatch") -> SparkSession:
@@ -25,11 +26,23 @@ def local_session(cores: str = "8", partitions: int = 8, name: str = "rivetwatch
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a scratch one only where none is set."""
+    """The cluster's shared folder (``spark.checkpoint.dir``); a scratch one only for a local session without it."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current is None:
+        if configured is None and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = configured or tempfile.mkdtemp(prefix="rivetwatch-checkpoint-")
         sc.setCheckpointDir(current)
     return configured or current
+
+
+def kept(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back, for tables that several passes read.
+
+    Unlike a cached table it survives the loss of an executor, and later plans begin at its files.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

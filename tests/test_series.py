@@ -99,3 +99,26 @@ def test_sliced_windows_spread_a_table_hashed_by_asset(skewed):
     plan = out._jdf.queryExecution().executedPlan().toString()
     moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(machine_id" in line and "__slice" in line]
     assert moved
+
+
+def test_only_hot_assets_are_cut(spark):
+    """One asset of 40,000 rows beside 200 of 100: the small ones get no context rows, and results stay the same."""
+    hot = spark.range(40_000).select(F.lit("HOT").alias("machine_id"), F.col("id").alias("event_id"))
+    cold = spark.range(20_000).select(F.concat(F.lit("A"), F.col("id") % 200).alias("machine_id"), (F.col("id") + 40_000).alias("event_id"))
+    df = hot.union(cold).withColumn("timestamp", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id") % 40_000)).withColumn("x", F.sin("event_id"))
+    profile = series.profile_series(df, target_rows=400)
+    assert [a for a, _ in profile.hot] == ["HOT"]
+    cut = series._slices(df, Keys(), profile)
+    context = series._context_rows(cut, 23, Keys())
+    assert context.filter("machine_id <> 'HOT'").count() == 0
+    assert context.count() + df.count() < 1.1 * df.count() + 23 * 200
+    assert cut.filter("machine_id = 'HOT'").groupBy("__slice").count().agg(F.max("count")).first()[0] <= 800
+    exprs = {"m": series.rolling_mean("x", 24)}
+
+    def run(p):
+        return {r.event_id: round(r.m, 9) for r in series.add_windowed(df, exprs, 23, profile=p).collect()}
+
+    assert run(profile) == run(PLAIN)
+    gaps = df.withColumn("x", F.when(F.col("event_id") % 7 == 0, F.col("x")))
+    filled = [{r.event_id: r.x for r in series.forward_fill(gaps, ["x"], profile=p).collect()} for p in (profile, PLAIN)]
+    assert filled[0] == filled[1]
