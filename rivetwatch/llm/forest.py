@@ -203,7 +203,8 @@ def confirmed(docs: DataFrame, groups: DataFrame, width: int, percent: int, bloc
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     members = groups.join(sizes, "component").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     members = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    own = _binary(docs).join(members.withColumnRenamed("node", "doc_id"), "doc_id")
+    # Always a merge join: whether the members of groups could be broadcast depends on the size of the corpus.
+    own = _binary(docs).join(members.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id")
 
     def sets(batches):
         hashes = WordHashes()
