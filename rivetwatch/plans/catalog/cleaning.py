@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ...operators import clean, joins, mapping
 from ...operators.charts import rolling_trend
 from ...operators.rul import rul_features
-from ...operators.series import add_windowed, forward_fill, latest_per_asset, profile_series, step
+from ...operators.series import add_windowed, forward_fill, latest_per_asset, profile_series, rolling_mean, step
 from .. import sensor_view as v
 from .registry import query, sql
 
@@ -209,10 +209,14 @@ def smooth_clean(spark, d):
     return clean.smooth(v.readings(spark, d), ["temperature"]).select("event_id", F.round("temperature_smooth", 6).alias("temperature_smooth"))
 
 
+_WIDTHS = " ".join(f"WHEN {n} THEN avg(vibration) OVER ({_SERIES} ROWS {n - 1} PRECEDING)" for n in range(3, 13))
+
+
 @query("smooth_lab", sql("readings", f"""
-  SELECT event_id, round(avg(vibration) OVER ({_SERIES} ROWS 11 PRECEDING), 6) AS vibration_smoothed FROM readings"""))
+  SELECT event_id, round(CASE w {_WIDTHS} END, 6) AS vibration_smoothed
+  FROM readings JOIN (SELECT machine_id, least(12, greatest(3, count(*) // 20)) AS w FROM readings GROUP BY 1) USING (machine_id)"""))
 def smooth_lab(spark, d):
-    out = clean.smooth(v.readings(spark, d), ["vibration"], window=12, suffix="_smoothed")
+    out = clean.smooth(v.readings(spark, d), ["vibration"], suffix="_smoothed", rule=(12, 3, 20))
     return out.select("event_id", F.round("vibration_smoothed", 6).alias("vibration_smoothed"))
 
 
@@ -231,6 +235,15 @@ def trend_chart(spark, d):
     return rolling_trend(v.readings(spark, d), "vibration").select("event_id", "machine_id", F.round("rolling", 6).alias("rolling"))
 
 
+@query("rolling_sliced", sql("readings", f"""
+  SELECT event_id, round(avg(vibration) OVER ({_SERIES} ROWS 11 PRECEDING), 6) AS rolling, round(rpm - lag(rpm) OVER ({_SERIES}), 6) AS change FROM readings"""))
+def rolling_sliced(spark, d):
+    """Windows by time slices, as for assets too large for one task: here every asset above 60 rows is cut."""
+    df = v.readings(spark, d)
+    out = add_windowed(df, {"rolling": rolling_mean("vibration", 12), "change": step("rpm")}, 11, profile=profile_series(df, target_rows=60))
+    return _rounded(out, "rolling", "change").select("event_id", "rolling", "change")
+
+
 @query("jumps", sql("readings", f"""
   SELECT machine_id, count(*) FILTER (abs(dt) > 50) AS big_jumps, round(max(abs(dt)), 6) AS widest FROM (
     SELECT machine_id, temperature - lag(temperature) OVER ({_SERIES}) AS dt FROM readings) GROUP BY 1"""))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ...functions.quantiles import quantiles
 from ...operators import charts, stats
 from .. import sensor_view as v
 from .registry import query, sql
@@ -130,6 +131,15 @@ def box(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in ("q1", "median", "q3", "whisker_low", "whisker_high")})
 
 
+@query("quartiles_bracket", sql("readings", """
+  SELECT machine_id, round(quantile_cont(vibration, 0.25), 6) AS q1, round(quantile_cont(vibration, 0.5), 6) AS median,
+         round(quantile_cont(vibration, 0.75), 6) AS q3 FROM readings GROUP BY 1"""))
+def quartiles_bracket(spark, d):
+    """The way of large groups (bracket the ranks, count inside the bracket), on every table."""
+    out = quantiles(v.readings(spark, d), ["vibration"], [0.25, 0.5, 0.75], ["machine_id"], method="bracket")
+    return out.select("machine_id", *[F.round(F.col("vibration")[i], 6).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+
+
 @query("box_outliers", sql("readings", f"""
   SELECT event_id FROM readings JOIN b USING (machine_id) WHERE NOT ({_INSIDE})""", b=_BOX))
 def box_outliers(spark, d):

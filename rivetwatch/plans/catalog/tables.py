@@ -48,7 +48,8 @@ def slice_range(spark, d):
     return slices.date_range(v.readings(spark, d), "2024-01-10", "2024-01-12").select("event_id")
 
 
-@query("sample_hash")
+@query("sample_hash", sql("readings", """
+  SELECT event_id FROM readings WHERE ('0x' || substr(md5('42:' || CAST(event_id AS VARCHAR)), 1, 13))::BIGINT % 10000 < 500"""))
 def sample_hash(spark, d):
     return slices.sample_percent(v.readings(spark, d), 5.0, key="event_id").select("event_id")
 

@@ -89,7 +89,9 @@ def sample_percent(df: DataFrame, pct: float, key: str | None = None, seed: int
     """Random share of rows; with ``key`` the same rows are drawn on every run and partitioning."""
     if key is None:
         return df.sample(fraction=pct / 100.0, seed=seed)
-    return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10_000)) < int(pct * 100))
+    # md5 of "seed:key" is the same number in any engine; 13 hexadecimal digits fit a long.
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    return df.filter(F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") % 10_000 < int(pct * 100))
 
 
 def failure_focus(
