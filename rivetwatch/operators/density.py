@@ -21,11 +21,9 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import Keys, numeric_columns
-from ..constants import CORE_SENSORS
 from ..session import checkpoint_dir
 
 _LEVELS = 3
-MAX_DIMENSIONS = 4
 
 
 def _name(level: int, key: str) -> Column:
@@ -52,7 +50,6 @@ class _Grid:
     def __init__(self, df: DataFrame, cols: list[str], eps: float, min_pts: int):
         self.d, self.eps2, self.min_pts = len(cols), eps * eps * (1 + 1e-12), min_pts
         self.side = eps / math.sqrt(self.d)
-        self.reach = math.ceil(math.sqrt(self.d))
         row = df.agg(
             *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]
         ).first()
@@ -96,15 +93,35 @@ class _Grid:
         return out
 
     def _neighbours(self) -> DataFrame:
-        """Ordered pairs (a, b) of occupied cells whose boxes come within eps; a cell is its own neighbour."""
-        shifted = self.cells.select(F.col("id").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"), "c")
-        for i in range(self.d):
-            shifted = shifted.withColumn(f"o{i}", F.explode(F.sequence(F.lit(-self.reach), F.lit(self.reach))))
-        moved = F.expr("array(" + ", ".join(f"c[{i}] + o{i}" for i in range(self.d)) + ")")
-        shifted = shifted.withColumn("n", moved).withColumn("b", _name(0, "n"))
-        steps = F.expr(" + ".join(f"abs(o{i})" for i in range(self.d))).alias("steps")
-        other = self.cells.select(F.col("id").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
-        return shifted.join(other, "b").filter(_near(self.d, "a", "b") <= self.eps2).select("a", "b", steps)
+        """Ordered pairs (a, b) of occupied cells whose boxes come within eps; a cell is its own neighbour.
+
+        Found from coarse to fine: pairs of boxes twice as wide are opened only while they come within eps, so any
+        number of columns works and the effort follows the pairs that are near.  ``steps`` counts how far the cells
+        lie apart on the grid.
+        """
+        widest = self.cells.agg(F.max(F.expr("array_max(transform(c, v -> greatest(v, -v - 1)))"))).first()[0] or 0
+        top = int(widest).bit_length()  # shifted so far, every cell's place is 0 or -1 on each axis
+        bounds = [F.array(*[f(F.expr(f"{n}[{i}]")) for i in range(self.d)]).alias(n) for n, f in (("lo", F.min), ("hi", F.max))]
+
+        def place(shift: int) -> Column:
+            return F.expr(f"array_join(transform(c, v -> cast(shiftright(v, {shift}) as string)), ',')")
+
+        coarse = self.cells.groupBy(place(top).alias("id")).agg(*bounds)  # 2^columns boxes at most
+        sides = [coarse.select(F.col("id").alias(s), F.col("lo").alias(f"{s}lo"), F.col("hi").alias(f"{s}hi")) for s in "ab"]
+        front = sides[0].crossJoin(sides[1]).filter(_near(self.d, "a", "b") <= self.eps2)
+        for shift in range(top - 1, -1, -1):
+            kids = self.cells.groupBy(place(shift + 1).alias("parent"), place(shift).alias("id")).agg(*bounds).persist()
+            for s in "ab":
+                own = kids.select(F.col("parent").alias(s), F.col("id").alias(f"{s}id"), F.col("lo").alias(f"{s}lo"), F.col("hi").alias(f"{s}hi"))
+                front = front.drop(f"{s}lo", f"{s}hi").join(own, s).drop(s).withColumnRenamed(f"{s}id", s)
+                front = front.filter(_near(self.d, "a", "b") <= self.eps2)
+            front = front.checkpoint()
+            kids.unpersist()
+        ends = self.cells.select(place(0).alias("at"), F.col("id").alias("cell"), "c")
+        for s in "ab":
+            front = front.join(ends.select(F.col("at").alias(s), F.col("cell").alias(f"{s}cell"), F.col("c").alias(f"{s}c")), s).drop(s)
+        steps = F.expr("aggregate(zip_with(ac, bc, (x, y) -> abs(x - y)), 0L, (t, v) -> t + v)").alias("steps")
+        return front.select(F.col("acell").alias("a"), F.col("bcell").alias("b"), steps)
 
     def children(self, boxes: DataFrame) -> DataFrame:
         """What is inside each listed box: the next level's boxes, or its points on the last level."""
@@ -203,9 +220,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def dbscan(df: DataFrame, cols: list[str], eps: float = 0.8, min_pts: int = 5) -> DataFrame:
-    """One row ``(n_rows, noise_points, clusters)`` for standardised ``cols`` (at most four)."""
-    if not 1 <= len(cols) <= MAX_DIMENSIONS:
-        raise ValueError(f"the grid supports 1 to {MAX_DIMENSIONS} columns")
+    """One row ``(n_rows, noise_points, clusters)`` for standardised ``cols``, any number of them."""
+    if not cols:
+        raise ValueError("DBSCAN needs a column")
     checkpoint_dir(df.sparkSession)
     g = _Grid(df.na.drop(subset=cols), cols, eps, min_pts)
     thin = _sparse_points(g).checkpoint()
@@ -257,12 +274,10 @@ def dbscan(df: DataFrame, cols: list[str], eps: float = 0.8, min_pts: int = 5) -
 
 
 def dbscan_stage(df: DataFrame, keys: Keys = Keys(), eps: float = 0.8, min_pts: int = 5) -> DataFrame:
-    """Quality stage: noise points and clusters over the core sensors of all complete rows."""
+    """Quality stage: noise points and clusters over all numeric columns of all complete rows."""
     from .quality import _info, _row, _text
 
-    cols = [c for c in CORE_SENSORS if c in df.columns]
-    if len(cols) < 2:
-        cols = [c for c in numeric_columns(df) if c != keys.tie][:MAX_DIMENSIONS]
+    cols = [c for c in numeric_columns(df) if c != keys.tie]
     if len(cols) < 2 or df.na.drop(subset=cols).limit(20).count() < 20:
         return _info(df, "DBSCAN NOISE", "need more numeric rows")
     noise = F.col("noise_points")

@@ -98,7 +98,7 @@ def brute_force(x, eps=0.8, min_pts=5):
     return int((label < 0).sum()), clusters
 
 
-@pytest.mark.parametrize("seed,n,d", [(1, 240, 2), (2, 320, 3), (3, 400, 4)])
+@pytest.mark.parametrize("seed,n,d", [(7, 160, 6), (1, 240, 2), (2, 320, 3), (3, 400, 4)])
 def test_dbscan_equals_brute_force(spark, seed, n, d):
     rng = np.random.default_rng(seed)
     x = np.concatenate([
