@@ -280,17 +280,23 @@ def expectations_stage(
 
 
 def cardinality_stage(df: DataFrame, keys: Keys = Keys(), exact: bool = True) -> DataFrame:
-    """Columns with more distinct values than max(50, half the rows)."""
+    """Columns with more distinct values than max(50, half the rows).
+
+    A sketch of all columns comes first; with ``exact``, columns within five of its standard deviations of the limit
+    are counted value by value, and only those are shuffled.
+    """
     cols = [c for c in df.columns if c != keys.tie]
-    if exact:
-        cells = F.array(*[F.struct(F.lit(c).alias("c"), F.xxhash64(F.col(c)).alias("v"), F.col(c).isNotNull().alias("k")) for c in cols])
-        values = df.select(F.explode(cells).alias("x")).select("x.*").filter("k").select("c", "v").distinct()
-        per = values.groupBy("c").agg(F.count(F.lit(1)).alias("d"))
-    else:
-        per = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).select(
-            F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("d")) for c in cols])).alias("x")
-        ).select("x.*")
-    n = df.agg(F.count(F.lit(1)).alias("n"))
+    rsd = 0.02
+    one = df.agg(F.count(F.lit(1)).alias("n"), F.struct(*[F.approx_count_distinct(c, rsd).alias(c) for c in cols]).alias("d")).first()
+    rough, limit = one["d"].asDict(), max(50, one["n"] // 2)
+    near = [c for c in cols if exact and abs(rough[c] - limit) <= 5 * rsd * limit + 1]
+    spark = df.sparkSession
+    per = spark.createDataFrame([(c, rough[c]) for c in cols if c not in near], "c string, d long")
+    if near:
+        cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in near])
+        values = df.select(F.explode(cells).alias("x")).select("x.*").filter(F.col("v").isNotNull()).distinct()
+        per = per.unionByName(values.groupBy("c").agg(F.count(F.lit(1)).alias("d")))
+    n = spark.createDataFrame([(one["n"],)], "n long")
     high = F.col("d") > F.greatest(F.lit(50), F.floor(0.5 * F.col("n")))
     names = F.sort_array(F.collect_list(F.when(high, F.col("c"))))
     row = per.crossJoin(F.broadcast(n)).agg(names.alias("names"))

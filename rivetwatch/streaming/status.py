@@ -155,55 +155,69 @@ def _trim(tail: int):
     return trim
 
 
+_NO_ROWS = pd.DataFrame({"ts": [], "tie": [], "ok": [], "bad": []})
+
+
 class StatusProcessor(StatefulProcessor):
     """Keeps the flags of the last rows and the newest row of one asset.
 
     Late rows never move the newest row backwards.  A processing-time timer
-    reports an asset that falls silent.
+    reports an asset that falls silent; after ``forget_after`` more seconds of
+    silence its state is dropped, so assets that leave don't stay for ever.
     """
 
-    def __init__(self, tail: int, stale_after: int):
-        self.tail, self.stale_after = tail, stale_after
+    def __init__(self, tail: int, stale_after: int, forget_after: int = 7 * 86_400):
+        self.tail, self.stale_after, self.forget_after = tail, stale_after, forget_after
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.window = handle.getValueState("window", "ts array<long>, tie array<long>, ok array<boolean>, bad array<boolean>, n long")
+        self.silent = handle.getValueState("silent", "flag boolean")
         self.newest = handle.getValueState("newest", f"ts timestamp, tie long, {_SHOWN_SCHEMA}, due long")
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows), ignore_index=True)
-        fresh = pd.DataFrame(
-            {"ts": pdf["timestamp"].astype("datetime64[us]").astype("int64"), "tie": pdf["tie"], "ok": pdf["ok"], "bad": pdf["bad"]}
-        )
-        total = int(pdf["seen"].sum())
+        window, total, stamp, shown, due = _NO_ROWS, 0, None, [], None
         if self.window.exists():
-            ts, tie, ok, bad, n = self.window.get()
-            fresh = pd.concat([pd.DataFrame({"ts": ts, "tie": tie, "ok": ok, "bad": bad}), fresh], ignore_index=True)
-            total += n
-        fresh = fresh.sort_values(["ts", "tie"], kind="stable").tail(self.tail)
-        self.window.update((
-            [int(v) for v in fresh["ts"]], [int(v) for v in fresh["tie"]],
-            [bool(v) for v in fresh["ok"]], [bool(v) for v in fresh["bad"]], total,
-        ))
-        top = pdf.sort_values(["timestamp", "tie"], kind="stable").iloc[-1]
-        stamp = (top["timestamp"].to_pydatetime(), int(top["tie"]))
-        due = None
-        shown = [None if pd.isna(top[c]) else (bool(top[c]) if c == "physics_alert" else top[c]) for c in _SHOWN]
+            ts, tie, ok, bad, total = self.window.get()
+            window = pd.DataFrame({"ts": ts, "tie": tie, "ok": ok, "bad": bad})
         if self.newest.exists():
             held = self.newest.get()
-            due = held[-1]
-            if (held[0], held[1]) > stamp:
-                stamp, shown = (held[0], held[1]), list(held[2:-1])
-        now = timerValues.getCurrentProcessingTimeInMs()
+            stamp, shown, due = (held[0], held[1]), list(held[2:-1]), held[-1]
+        # Batch by batch: no more than the window and one batch is held, whatever the backlog.
+        for pdf in rows:
+            total += int(pdf["seen"].sum())
+            fresh = pd.DataFrame(
+                {"ts": pdf["timestamp"].astype("datetime64[us]").astype("int64"), "tie": pdf["tie"], "ok": pdf["ok"], "bad": pdf["bad"]}
+            )
+            joined = pd.concat([window, fresh], ignore_index=True) if len(window) else fresh
+            window = joined.sort_values(["ts", "tie"], kind="stable").tail(self.tail)
+            top = pdf.sort_values(["timestamp", "tie"], kind="stable").iloc[-1]
+            own = (top["timestamp"].to_pydatetime(), int(top["tie"]))
+            if stamp is None or own >= stamp:
+                stamp = own
+                shown = [None if pd.isna(top[c]) else (bool(top[c]) if c == "physics_alert" else top[c]) for c in _SHOWN]
+        self.window.update((
+            [int(v) for v in window["ts"]], [int(v) for v in window["tie"]],
+            [bool(v) for v in window["ok"]], [bool(v) for v in window["bad"]], total,
+        ))
         if due is not None:
             self.handle.deleteTimer(due)
-        due = now + self.stale_after * 1000
+        due = timerValues.getCurrentProcessingTimeInMs() + self.stale_after * 1000
         self.handle.registerTimer(due)
         self.newest.update((*stamp, *shown, due))
-        yield self._fold(key, stamp[0], shown, fresh["ok"], fresh["bad"], total, False)
+        self.silent.clear()
+        yield self._fold(key, stamp[0], shown, window["ok"], window["bad"], total, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         held = self.newest.get()
+        if self.silent.exists():  # reported before, and silent ever since
+            for state in (self.window, self.newest, self.silent):
+                state.clear()
+            return
+        due = timerValues.getCurrentProcessingTimeInMs() + self.forget_after * 1000
+        self.handle.registerTimer(due)
+        self.newest.update((*held[:-1], due))
+        self.silent.update((True,))
         _, _, ok, bad, n = self.window.get()
         yield self._fold(key, held[0], list(held[2:-1]), pd.Series(ok), pd.Series(bad), n, True)
 
