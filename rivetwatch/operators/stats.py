@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -253,7 +252,3 @@ def flagged_first(df: DataFrame, flag: str, most: int = 400, keys: Keys = Keys()
     flagged = df.filter(F.col(flag)).orderBy(*newest).limit(most // 2).withColumn("__o", F.lit(0))
     rest = df.filter(~F.col(flag)).orderBy(*newest).limit(most).withColumn("__o", F.lit(1))
     return flagged.unionByName(rest).orderBy("__o", *newest).limit(most).drop("__o")
-
-
-def merge_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..constants import ANOMALY_CONTAMINATION
 from ..functions.columns import Keys
 from ..operators import advisory, clean, driver, fleet, iforest, insights, mapping, physics, quality, rul
 from ..operators.series import SeriesProfile, profile_series
+from ..streaming.payload import flight_log
 
 
 class Bundle(NamedTuple):
@@ -43,6 +44,16 @@ def advice_bundle(
     return Bundle(annotated, summary, drivers, items, fleet.worst_asset(health, chosen, keys))
 
 
+def hand_off(log: DataFrame, pack_id: str | None = None, keys: Keys = Keys()) -> DataFrame:
+    """The stream's log as a batch table: raw payload dropped, headers mapped, cleaned; ready for ``run_reliability``."""
+    mapped = mapping.apply_mapping(flight_log(log), mapping.suggest_mapping(log.columns, pack_id))
+    mapping.require_detectable(mapped)
+    if keys.tie not in mapped.columns:
+        # The log has no row number: the whole row's hash orders rows of one time.
+        mapped = mapped.withColumn(keys.tie, F.xxhash64(*mapped.columns))
+    return clean.clean_sensor_data(mapped, keys)
+
+
 class Reliability(NamedTuple):
     scored: DataFrame
     forest: iforest.ForestModel

@@ -31,7 +31,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current is None:
-        if configured is None and not sc.master.startswith("local["):
+        if configured is None and sc.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = configured or tempfile.mkdtemp(prefix="rivetwatch-checkpoint-")
         sc.setCheckpointDir(current)

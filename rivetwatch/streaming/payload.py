@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..constants import LIVE_FIELD_ALIASES, LIVE_FIELDS, LIVE_ID_ALIASES, LIVE_TIME_ALIASES
+from ..constants import EFI_STATUS_FIELDS, LIVE_FIELD_ALIASES, LIVE_FIELDS, LIVE_ID_ALIASES, LIVE_TIME_ALIASES
 from ..functions.scalars import looks_aviation, number, oil_pressure_psi
 
 _TEXT_MAP = "map<string,string>"
@@ -130,3 +130,14 @@ def publisher_json(df: DataFrame) -> DataFrame:
 def flight_log(df: DataFrame) -> DataFrame:
     """Batch view of the stream's log: raw payload dropped."""
     return df.drop("raw", "ts_imputed")
+
+
+def efi_status_rows(df: DataFrame) -> DataFrame:
+    """Decoded EFI_STATUS messages (one column per message field) under the canonical names.
+
+    Where two fields of the message mean one canonical field, the first known value in the map's order wins.
+    """
+    mapped = [f for f in EFI_STATUS_FIELDS if f in df.columns]
+    names = list(dict.fromkeys(EFI_STATUS_FIELDS[f] for f in mapped))
+    fields = [F.coalesce(*[F.col(f) for f in mapped if EFI_STATUS_FIELDS[f] == n]).alias(n) for n in names]
+    return df.select(*[c for c in df.columns if c not in mapped and c not in names], *fields)

@@ -138,3 +138,16 @@ def test_keys_can_be_renamed(spark):
     df = spark.createDataFrame([(1, NOW, "A", 130.0)], ["n", "at", "asset", "temperature"])
     row = status.live_status(df, NOW, keys=Keys("asset", "at", "n")).first()
     assert row["asset"] == "A" and row["physics_fault"] == "Overheating"
+
+
+def test_efi_status_and_hand_off(spark):
+    from rivetwatch.plans.pipeline import hand_off
+
+    df = spark.createDataFrame([("E1", 5100.0, None, 61.0, 40.0)], "ecu_index string, rpm double, engine_load double, throttle_position double, intake_temperature double")
+    row = payload.efi_status_rows(df).first()
+    assert (row["machine_id"], row["rpm"], row["throttle"], row["temperature"]) == ("E1", 5100.0, 61.0, 40.0)
+    log = spark.createDataFrame([(json.dumps({"uav_id": "U1", "temperature": 60 + i, "vibration": None if i == 2 else 1.0 + i, "timestamp": f"2026-01-01T00:0{i}:00Z"}), NOW) for i in range(5)],
+                                "value string, arrived timestamp")
+    rows = hand_off(payload.canonical_rows(log, arrived="arrived")).orderBy("timestamp").collect()
+    assert len(rows) == 5 and "raw" not in rows[0].asDict()
+    assert [r["vibration"] for r in rows][1:3] == [2.0, 2.0]
