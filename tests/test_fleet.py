@@ -163,7 +163,7 @@ def test_kpis_per_pack(spark, pack, columns, good, bad, ids):
     if pack == "automotive_powertrain":
         assert rows[1]["severity"] == "high" and rows[2]["value"] == 4.0
     cards = fleet.kpi_insights(fleet.pack_kpis(df, p, pack), fleet.kpi_narrative(fleet.pack_kpis(df, p, pack), health, pack), pack)
-    assert "Inspect B first" in {r["title"] for r in cards.collect()}
+    assert "Start with B" in {r["title"] for r in cards.collect()}
 
 
 def test_predicted_only_asset_keeps_its_risk_health(spark):
@@ -226,9 +226,9 @@ def test_brief_sections_and_honesty(spark, lines):
     df, p = lines
     brief = insights.industrial_brief(df.withColumn("failure_within_days", F.lit(3.0)), p).collect()
     titles = [r["title"] for r in brief]
-    assert {"How to read risk", "Highest-risk asset", "Slow running: LineB", "Add a rate for $ impact"} <= set(titles)
-    note = next(r["message"] for r in brief if r["title"] == "How to read risk")
-    assert note.startswith("RUL used `failure_within_days`")
+    assert {"About these figures", "First in the ranking", "Below pace: LineB", "No money figures"} <= set(titles)
+    note = next(r["message"] for r in brief if r["title"] == "About these figures")
+    assert note.startswith("Days left were learned from the table")
     proxy = p.withColumn("is_proxy", F.lit(True))
     assert tuple(insights.label_honesty(df, proxy).first()) == (False, True)
 
