@@ -97,7 +97,7 @@ class Vocabulary:
 class PieceCache:
     """Ids of distinct pretokens, filled by ``encode_new(pieces) -> (flat ids, lengths)``; bounded by ``most`` pieces."""
 
-    def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1_000_000):
+    def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 300_000):
         self.encode_new, self.most = encode_new, most
         self._clear()
 

@@ -23,7 +23,7 @@ def shared_path(spark: SparkSession, what: str) -> str:
     """A new folder below ``spark.checkpoint.dir``; a scratch one only for a local session without that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="rivetwatch-llm-")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -50,7 +50,7 @@ def fold(doc_id, parts: int):
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash; forgets all when it has grown to ``most`` words, so memory stays bounded."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

@@ -61,8 +61,8 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
         hashes = WordHashes()
         for batch in batches:
             n, keys, signatures = [], [], []
-            for text in batch.column(1).to_pylist():
-                own = shingles(text, width, hashes)
+            for text in batch.column(1):
+                own = shingles(text.as_py(), width, hashes)
                 n.append(len(own))
                 keys.append(xxhash.xxh3_128_digest(own.tobytes()))
                 signatures.append(signature(own).tobytes() if len(own) else None)
@@ -209,7 +209,7 @@ def confirmed(docs: DataFrame, groups: DataFrame, width: int, percent: int, bloc
     def sets(batches):
         hashes = WordHashes()
         for batch in batches:
-            packed = [shingles(t, width, hashes).tobytes() for t in batch.column(1).to_pylist()]
+            packed = [shingles(t.as_py(), width, hashes).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), *batch.columns[2:]], ["node", "shingles", "component", "blocks", "own"])
 
     rows = own.select("doc_id", "text", "component", "blocks", "own").mapInArrow(sets, "node long, shingles binary, component long, blocks int, own int")

@@ -50,7 +50,8 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
         hashes = WordHashes()
         for batch in batches:
             rows = []
-            for text in batch.column(2).to_pylist():
+            for value in batch.column(2):
+                text = value.as_py()
                 words = text.split()
                 lines = [x for x in text.split(b"\n") if x.strip(SPACES)]
                 chars = len(text.translate(None, SPACES).decode()) if words else 0

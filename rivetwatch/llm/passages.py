@@ -41,11 +41,15 @@ def _from_five(data: bytes) -> np.ndarray:
     return raw.view("<u8").ravel()
 
 
-def _documents(table: pa.Table, hashes: WordHashes) -> list[tuple[int, np.ndarray]]:
+# One per worker process: the same words come again in every batch.
+_HASHES = WordHashes()
+
+
+def _documents(table: pa.Table) -> list[tuple[int, np.ndarray]]:
     """(doc_id, word hashes) in ascending order of doc_id; rows without doc_id take no part."""
     ids, texts = table["doc_id"].to_pylist(), table["text"]
     order = sorted((d, i) for i, d in enumerate(ids) if d is not None)
-    return [(d, hashes.of(texts[i].as_py().split())) for d, i in order]
+    return [(d, _HASHES.of(texts[i].as_py().split())) for d, i in order]
 
 
 def _runs(sorted_values: np.ndarray) -> np.ndarray:
@@ -66,7 +70,7 @@ def _anchors_of(bits: int, block: int):
 
     def work(key, table):
         probes, owner, aligned = [], [], []
-        for d, h in _documents(table, WordHashes()):
+        for d, h in _documents(table):
             p = rolling(h, block)
             probes.append(p >> np.uint64(64 - bits - _REST))
             owner.append(np.full(len(p), d, np.int64))
@@ -130,7 +134,7 @@ def _windows_of(bits: int, window: int, block: int):
         if anchors and table.num_rows:
             known = np.sort(np.concatenate(anchors))
             windows, owner = [], []
-            for d, h in _documents(table, WordHashes()):
+            for d, h in _documents(table):
                 if len(h) < window:
                     continue
                 p = rolling(h, block) >> np.uint64(64 - bits - _REST)
@@ -194,14 +198,14 @@ def _cut(window: int, keep: list[str], schema: pa.Schema):
         words = np.zeros(n, np.int64)
         removed, kept = np.zeros(n, np.int64), [b""] * n
         outside = np.sort(np.concatenate([np.frombuffer(x, "<u8") for x in found["data"].to_pylist()])) if found.num_rows else np.empty(0, np.uint64)
-        hashes, own, first, places = WordHashes(), [], [], []
+        own, first, places = [], [], []
         order = sorted(range(n), key=lambda i: (ids[i] is None, ids[i] or 0, i))
         for i in order:
             kept[i] = texts[i].as_py()
             parts = kept[i].split()
             words[i] = len(parts)
             if ids[i] is not None and len(parts) >= window:
-                w = rolling(hashes.of(parts), window)
+                w = rolling(_HASHES.of(parts), window)
                 own.append(w)
                 first.append(np.full(len(w), ids[i], np.int64))
                 places.append((i, len(w)))

@@ -55,7 +55,7 @@ class _Flags(dict):
     def __missing__(self, word: str) -> float:
         strength = max((self.lexicon.get(t, 0.0) for t in terms(word)), default=0.0)
         value = strength + (1000.0 if word in SECOND_PERSON else 0.0)
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = value
         return value
@@ -263,7 +263,7 @@ def score(docs: DataFrame, model: Model, folds: int = FOLDS, test_fold: int = TE
     def run(batches):
         flags = _Flags(shared.value.lexicon)
         for batch in batches:
-            x = np.array([features(t, flags) for t in batch.column(2).to_pylist()], float).reshape(-1, len(FEATURES))
+            x = np.array([features(t.as_py(), flags) for t in batch.column(2)], float).reshape(-1, len(FEATURES))
             s = shared.value.scores(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -281,7 +281,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
     def run(batches):
         flags = _Flags(shared.value.lexicon)
         for batch in batches:
-            x = np.array([features(t or "", flags) for t in batch.column(at).to_pylist()], float).reshape(-1, len(FEATURES))
+            x = np.array([features(t.as_py() or "", flags) for t in batch.column(at)], float).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(shared.value.scores(x) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
