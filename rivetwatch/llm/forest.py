@@ -1,11 +1,13 @@
 """Near-duplicate documents by an LSH forest of MinHash signatures, confirmed on full shingle sets.
 
 Documents with equal sets are one node.  Each tree of the forest orders the nodes by their signature, read from another
-place on; nodes next to each other in an order share a long prefix.  A *region* of a tree is what shares a prefix: at
-least ``DEPTH`` values, and where more than ``REGION`` nodes do, as many more as it takes.  Inside a region, nodes whose
-whole signatures agree in a share of ``HINT`` are candidates; a spanning forest of them goes on, so nothing grows with
-the square of a region.  Candidates' components are then compared exactly: the full sets of a component meet block by
-block, every pair in it is decided on the sets, and again only a spanning forest of true links leaves a task.
+place on; nodes next to each other in an order share a long prefix.  A *region* of a tree is what shares its first
+``DEPTH`` values.  Nodes of a region whose whole signatures agree in a share of ``HINT`` are candidates; a spanning forest
+of them goes on.  Where more than ``REGION`` nodes share a prefix, those that share a longer one meet first; then every
+node of the region that this hasn't joined to the region's largest group meets all others, block by block, so no pair
+goes uncompared unless its nodes are joined already.  Candidates' components are then compared exactly: the full sets of
+a component meet block by block, every pair in it is decided on the sets, and again only a spanning forest of true links
+leaves a task.
 
 With 24 trees and depth 4, a pair of similarity 0.8 shares a region with probability 1 - (1 - 0.8^4)^24 > 0.99999, and
 the hint (0.65 of 96 values) is four deviations below it; more similar pairs are safer, and a pair also meets in the
@@ -133,15 +135,35 @@ def _alike(sig: np.ndarray, least: int) -> list[tuple[int, int]]:
     return [(int(r), i) for i, r in enumerate(roots) if r != i]
 
 
+def _between(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    """For the rows of ``a`` and then those of ``b``: the first row that pairs of a row of each, alike in ``least`` values, join it to."""
+    agree = np.empty((len(a), len(b)), bool)
+    columns = np.ascontiguousarray(b.T)
+    for at in range(0, len(a), 64):
+        part = a[at : at + 64]
+        number = np.zeros((len(part), len(b)), np.uint8)
+        for k in range(VALUES):
+            number += part[:, k, None] == columns[k]
+        agree[at : at + 64] = number >= least
+    none = len(a) + len(b)
+    left, right = np.arange(len(a)), np.arange(len(a), none)
+    while True:
+        low = np.minimum(left, np.where(agree, right, none).min(axis=1, initial=none))
+        high = np.minimum(right, np.where(agree, low[:, None], none).min(axis=0, initial=none))
+        if (low == left).all() and (high == right).all():
+            return np.concatenate([low, high])
+        left, right = low, high
+
+
 def candidates(nodes: DataFrame, region: int = REGION, hint: float = HINT) -> DataFrame:
-    """Edges (a, b) between nodes (node, signature) that lie close in some tree: a spanning forest of each region."""
+    """Edges (a, b) that join nodes (node, signature) of some region that agree in a share of ``hint``, and no others."""
     trees = F.array(*[F.struct(F.lit(t).alias("tree"), _values(F.lit(t), 0).alias("p")) for t in range(TREES)])
     places = nodes.select("node", F.explode(trees).alias("t")).select("node", "t.tree", "t.p")
     places = stored(places, "forest")
     shared = places.groupBy("tree", "p").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     near = places.join(shared, ["tree", "p"])
-    # Fuller regions go deeper: eight values, then sixteen; what shares even those is cut by a hash, all parts keeping
-    # the smallest node, which joins them.
+    # Fuller regions go deeper first: eight values, then sixteen; what shares even those is dealt by a hash, all parts
+    # keeping the smallest node.  ``_across`` compares what this leaves apart.
     rows = near.join(nodes, "node")
     deeper = [_values(F.col("tree"), i) for i in (1, 2, 3)]
     small = rows.filter(F.col("n") <= region).select("tree", "p", F.lit(0).cast("long").alias("q"), F.lit(0).alias("part"), "node", "signature")
@@ -167,7 +189,49 @@ def candidates(nodes: DataFrame, region: int = REGION, hint: float = HINT) -> Da
     keys = ["tree", "p", "q", "part"]
     # Bounded regions, dealt by their keys: no region is larger than ``region`` nodes or a hashed part of one.
     dealt = small.unionByName(deep).repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(grouped(work, keys, _EDGES), "a long, b long").distinct()
+    edges = dealt.mapInArrow(grouped(work, keys, _EDGES), "a long, b long").distinct()
+    crowded = stored(near.filter(F.col("n") > region).select("tree", "p", "node"), "crowded")
+    if crowded.isEmpty():
+        return edges
+    edges = stored(edges, "close")
+    return edges.unionByName(_across(crowded, nodes, stored(connected(edges), "joined"), max(1, region // 2), least))
+
+
+def _across(crowded: DataFrame, nodes: DataFrame, joined: DataFrame, block: int, least: int) -> DataFrame:
+    """Edges that candidates of the full regions (tree, p, node) add to the components (node, component) found so far.
+
+    The nodes of a region's largest component are joined to each other already; every other node of the region meets
+    all of its nodes, in pairs of blocks of some ``block`` nodes.
+    """
+    rows = crowded.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = rows.groupBy("tree", "p", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = F.max(F.struct("n", (-F.col("component")).alias("first")))
+    regions = sizes.groupBy("tree", "p").agg(largest.alias("m"), F.sum("n").alias("n")).filter(F.col("n") > F.col("m.n"))
+    count = [F.ceil(n / block).cast("int").alias(name) for n, name in ((F.col("n") - F.col("m.n"), "apart"), (F.col("m.n"), "core"))]
+    rows = rows.join(regions.select("tree", "p", (-F.col("m.first")).alias("first"), *count), ["tree", "p"])
+    # Blocks 0 to apart - 1 hold the nodes that are apart; pairs with one of these are compared.
+    inside = F.col("component") == F.col("first")
+    rows = rows.withColumn("own", F.when(inside, F.col("apart") + F.pmod(F.xxhash64("node"), F.col("core"))).otherwise(F.pmod(F.xxhash64("node"), F.col("apart"))).cast("int"))
+    others = F.sequence(F.lit(0), F.when(inside, F.col("apart")).otherwise(F.col("apart") + F.col("core")) - 1)
+    pair = F.explode(F.transform(others, lambda o: F.struct(F.least("own", o).alias("x"), F.greatest("own", o).alias("y"))))
+    rows = rows.join(nodes, "node").select("tree", "p", "own", "component", "signature", pair.alias("pair"))
+    rows = rows.select("tree", "p", "pair.x", "pair.y", "own", "component", "signature")
+
+    def work(key, t: pa.Table) -> pa.Table | None:
+        own, names = t["own"].to_numpy(), t["component"].to_numpy()
+        order = np.argsort(own, kind="stable")
+        own, names = own[order], names[order]
+        sig = np.frombuffer(b"".join(t["signature"].to_pylist()), "<u2").reshape(-1, VALUES)[order]
+        x, y = key[2:]
+        cut = int(np.searchsorted(own, y)) if x < y else len(own)
+        to = _between(sig[:cut], sig[cut:] if x < y else sig, least)
+        names = names if x < y else np.concatenate([names, names])
+        found = np.unique(np.sort(np.stack([names[to], names], axis=1), axis=1), axis=0)
+        found = found[found[:, 0] != found[:, 1]]
+        return pa.table({"a": found[:, 0], "b": found[:, 1]}, schema=_EDGES)
+
+    keys = ["tree", "p", "x", "y"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(grouped(work, keys, _EDGES), "a long, b long").distinct()
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:

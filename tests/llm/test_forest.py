@@ -108,3 +108,31 @@ def test_components_of_paths_and_stars(spark):
     out = {r.node: r.component for r in connected(spark.createDataFrame(path, "a long, b long")).collect()}
     assert out == {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(40)} | {5000 - i: 4971 for i in range(30)}
     assert connected(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_full_regions_lose_no_link(spark):
+    # 3,000 distinct near copies, pairs at about 0.8: each ends in words of its own, so what differs in a signature is shared by none.
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = []
+    for d in range(3000):
+        rows.append((d, " ".join(base + [f"x{rng.randrange(10**9)}" for _ in range(rng.randint(45, 54))])))
+    h = WordHashes()
+    sets = [shingles(t.encode(), 5, h) for _, t in rows]
+    values, count = np.unique(np.concatenate(sets), return_counts=True)
+    shared = values[count > 1]
+    held = np.zeros((len(rows), len(shared)), np.float32)
+    for i, s in enumerate(sets):
+        own = s[np.isin(s, shared)]
+        held[i, np.searchsorted(shared, own)] = 1
+    common, n = held @ held.T, np.array([len(s) for s in sets])
+    link = 100 * common >= 80 * (n[:, None] + n[None, :] - common)
+    least = np.arange(len(rows))
+    while True:
+        now = np.where(link, least[None, :], len(rows)).min(axis=1)
+        if (now == least).all():
+            break
+        least = now
+    assert 0.3 < link.mean() < 0.9
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert as_set(got(df)) == {(d, int(n[d]), int(least[d])) for d in range(len(rows))}
