@@ -4,8 +4,9 @@ For each language a suffix automaton of a bounded sample of labelled text recogn
 A document is parsed greedily into the longest phrases the automaton accepts; phrases times the bits that name a place
 in the reference, per character, estimate the cross entropy.  The language with the fewest wins.
 
-The automata are dense transition tables, so a batch of documents is parsed in step: one table look-up per character
-and language.  Documents are parsed in stretches of ``STRETCH`` characters, which adds at most one phrase to each.
+The automata are dense transition tables over the most frequent letters, so a batch of documents is parsed in step: one
+table look-up per character and language.  Transitions by all other letters of the samples are sorted keys, searched
+where such a letter stands.  Documents are parsed in stretches of ``STRETCH`` characters, which adds at most one phrase to each.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .common import fold
 
 # Bounds of what is learned from, per language: documents, characters of one document, characters in all.
 SAMPLE_DOCS, DOC_CHARS, SAMPLE_CHARS = 48, 2_000, 32_000
-LETTERS = 94  # most frequent letters told apart; all others are one symbol that no reference accepts
+LETTERS = 94  # most frequent letters, which have a column of the dense table; letters of no sample are one symbol
 STRETCH = 256
 FOLDS, TEST_FOLD = 4, 2
 UNKNOWN = "und"
@@ -33,10 +34,13 @@ _BLANK, _ODD, _BREAK, _PAD = 0, 1, 2, 3  # symbols; letters follow
 class Model(NamedTuple):
     languages: list[str]
     symbol: np.ndarray  # code point -> symbol
-    n_symbols: int
+    n_symbols: int  # symbols with a column of the table
     table: np.ndarray  # state * n_symbols + symbol -> state, with the top bit set where a new phrase begins
     starts: np.ndarray  # per language: the state before any phrase
     bits: np.ndarray  # per language: bits that name a place in the reference
+    roots: np.ndarray  # per language: the state of the empty phrase
+    keys: np.ndarray  # state << 32 | symbol of the transitions by symbols without a column, in order
+    targets: np.ndarray  # their states
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -79,13 +83,15 @@ def learn(samples: dict[str, list[str]]) -> Model:
     letters = classes() == 0
     cut = {lang: [t[:DOC_CHARS] for t in texts] for lang, texts in sorted(samples.items())}
     seen = Counter(_lower(ord(c)) for texts in cut.values() for t in texts for c in t if letters[ord(c)])
-    known = {c: i + _PAD + 1 for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])}
-    symbol = np.where(letters, _ODD, _BLANK).astype(np.uint8)
+    known = {c: i + _PAD + 1 for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0])))}
+    symbol = np.where(letters, _ODD, _BLANK).astype(np.min_scalar_type(_PAD + len(known)))
     for c in range(0x110000):
         if letters[c] and (s := known.get(_lower(c))):
             symbol[c] = s
-    n = _PAD + 1 + len(known)
+    n = _PAD + 1 + min(LETTERS, len(known))
     tables, starts, bits, states = [], [], [], 0
+    roots: list[int] = []
+    other: dict[int, int] = {}
     for lang, texts in cut.items():
         flow: list[int] = []
         for t in texts:
@@ -96,7 +102,10 @@ def learn(samples: dict[str, list[str]]) -> Model:
         table = np.full((len(nexts) + 1, n), -1, np.int64)
         for state, to in enumerate(nexts):
             for c, target in to.items():
-                table[state, c] = target
+                if c < n:
+                    table[state, c] = target
+                else:
+                    other[(states + state) << 32 | c] = states + target
         dead = len(nexts)  # no phrase is open: any symbol begins one
         table[:, _ODD] = -1
         again = np.where(table[0] >= 0, table[0], dead)
@@ -106,10 +115,13 @@ def learn(samples: dict[str, list[str]]) -> Model:
         out[:, _PAD] = np.arange(len(table), dtype=np.uint32) + np.uint32(states)
         tables.append(out)
         starts.append(states + dead)
+        roots.append(states)
         bits.append(np.log2(max(2, len(flow))))
         states += len(table)
     table = np.concatenate(tables).ravel() if tables else np.empty(0, np.uint32)
-    return Model(list(cut), symbol, n, table, np.array(starts, np.uint32), np.array(bits))
+    keys = np.array(sorted(other), np.int64)
+    targets = np.array([other[k] for k in keys.tolist()], np.uint32)
+    return Model(list(cut), symbol, n, table, np.array(starts, np.uint32), np.array(bits), np.array(roots, np.int64), keys, targets)
 
 
 def symbols_of(text: str, symbol: np.ndarray) -> np.ndarray:
@@ -120,10 +132,20 @@ def symbols_of(text: str, symbol: np.ndarray) -> np.ndarray:
     return s[keep]
 
 
+def _by_key(model: Model, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """States (languages x places) after symbols that have no column, with the top bit as in the table."""
+    def to(before: np.ndarray, none: np.ndarray) -> np.ndarray:
+        key = before.astype(np.int64) << 32 | symbols
+        at = np.minimum(np.searchsorted(model.keys, key), len(model.keys) - 1)
+        return np.where(model.keys[at] == key, model.targets[at], none)
+
+    return to(state, to(model.roots[:, None], model.starts[:, None]) | _FAILS)
+
+
 def phrases(model: Model, flows: list[np.ndarray]) -> np.ndarray:
     """Number of phrases of each flow of symbols (rows) in each language's reference (columns)."""
     counts = np.array([max(1, -(-len(f) // STRETCH)) for f in flows])
-    padded = np.full(int(counts.sum()) * STRETCH, _PAD, np.uint8)
+    padded = np.full(int(counts.sum()) * STRETCH, _PAD, model.symbol.dtype)
     at = np.cumsum(counts) - counts
     for f, a in zip(flows, at.tolist()):
         padded[a * STRETCH : a * STRETCH + len(f)] = f
@@ -135,9 +157,15 @@ def phrases(model: Model, flows: list[np.ndarray]) -> np.ndarray:
         state = np.repeat(model.starts[:, None], part.shape[1], axis=1)
         number = total[:, a : a + 4096]
         for column in part:
+            apart = np.flatnonzero(column >= width) if len(model.keys) else ()
+            if len(apart):
+                after = _by_key(model, state[:, apart], column[apart].astype(np.int64))
+                column = np.where(column < width, column, _ODD).astype(column.dtype)
             state *= width
             state += column
             state = model.table.take(state)
+            if len(apart):
+                state[:, apart] = after
             number += state >> np.uint32(31)
             state &= ~_FAILS
     return np.add.reduceat(total, at, axis=1).T

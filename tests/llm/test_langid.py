@@ -62,3 +62,27 @@ def test_learning_sample_is_bounded_and_leaves_the_test_fold_out(spark):
     texts = langid.sample(docs)["en"]
     held = {f"doc {r.doc_id}" for r in docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2).collect()}
     assert len(texts) == langid.SAMPLE_DOCS and not held & {*texts}
+
+
+def test_all_letters_of_many_scripts_are_told_apart(spark):
+    rng = random.Random(3)
+    # 600 letters for each of two languages out of the same 900 ideographs, syllables, kana and Cyrillic.
+    words = {"zh": (0x4E00, 900, 600), "zy": (0x4E00, 900, 600), "ko": (0xAC00, 800, 800), "ja": (0x3041, 80, 80), "ru": (0x430, 32, 32)}
+    vocabulary = {}
+    for lang, (first, span, n) in words.items():
+        letters = rng.sample(range(first, first + span), n)
+        vocabulary[lang] = ["".join(chr(c) for c in rng.choices(letters, k=rng.randint(2, 5))) for _ in range(400)]
+    texts = {lang: [" ".join(rng.choices(own, k=200)) for _ in range(60)] for lang, own in vocabulary.items()}
+    model = learn({lang: own[:40] for lang, own in texts.items()})
+    samples = {lang: own[:1] for lang, own in texts.items()}
+    small = learn(samples)
+    flows = [symbols_of(own[50], small.symbol) for own in texts.values()]
+    got = phrases(small, [f[:200] for f in flows])
+    for k, lang in enumerate(small.languages):
+        reference = "".join(map(chr, symbols_of(samples[lang][0][: langid.DOC_CHARS], small.symbol)))
+        assert got[:, k].tolist() == [greedy("".join(map(chr, f[:200])), reference) for f in flows]
+    assert len(model.keys) and model.n_symbols == 4 + langid.LETTERS
+    rows = [(d, t, lang) for d, (lang, t) in enumerate((lang, t) for lang, own in texts.items() for t in own)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = identify(df).join(df.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert len(out) > 50 and all(r.lang == r.lang_pred for r in out)
