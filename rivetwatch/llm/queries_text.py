@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import forest, hosts, langid, licences, mixing, passages, topk
+from . import forest, hosts, infilling, langid, licences, manifest, mixing, passages, topk, winnowing
 from . import toxicity as toxic
 from .common import table
 from .transducer import encode_decode
@@ -54,6 +54,18 @@ def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified(table(spark, sf_dir, "documents"))
+
+
+def infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infilling.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_licence_scan": licence_scan,
     "op2_wavelet_shards": shards,
@@ -65,5 +77,17 @@ QUERIES = {
     "op8_fixed_block_anchors": substrings,
     "op9_toxicity_trees": toxicity,
     "op10_cross_parsing": languages,
+    "op11_winnowing": decontamination,
+    "op12_merkle_witnesses": witnesses,
+    "op13_fill_in_middle": infill,
+}
+SQL: dict[str, str] = {
+    "op3_minhash_forest": forest.SQL,
+    "op5_pareto_mix": mixing.SQL,
+    "op6_host_rules": hosts.SQL,
+    "op7_norm_sorted_topk": topk.SQL,
+    "op8_fixed_block_anchors": passages.SQL,
+    "op11_winnowing": winnowing.SQL,
+    "op12_merkle_witnesses": manifest.SQL,
+    "op13_fill_in_middle": infilling.SQL,
 }
-SQL: dict[str, str] = {"op3_minhash_forest": forest.SQL, "op5_pareto_mix": mixing.SQL, "op6_host_rules": hosts.SQL, "op7_norm_sorted_topk": topk.SQL, "op8_fixed_block_anchors": passages.SQL}
