@@ -3,7 +3,7 @@
 A text's fingerprints are the smallest k-gram hashes of its sliding windows.  With k words a gram and w grams a window,
 two texts that share k + w - 1 words share a fingerprint, whatever stands around; here k + w - 1 is the length of the
 spans asked for (ten words, or all of an item that has fewer), so no span is missed.  Fingerprints of documents and of
-items are joined by hash; around each hit every span that covers it is compared word by word with the items' spans.
+items are joined by hash; every span around a hit is then compared word by word with the items' spans.
 
 Documents are cut into blocks of words that overlap by a span, so a very long text is many rows, and what is built from
 a row stays small.  Only documents' fingerprints are joined (some two of seven words), first with the distinct hashes
@@ -48,27 +48,30 @@ def grams(words: str, k: int) -> Column:
     return F.when(F.size(w) >= k, each).otherwise(F.array().cast("array<bigint>"))
 
 
-def _chosen(g: str, m: str, w: int) -> Column:
-    """Expression: (at, hash) of every gram that is the smallest of a window; ``m``: smallest hash of each window."""
-    grams_, least = F.col(g), F.col(m)
-    places = F.filter(
-        F.sequence(F.lit(0), F.size(grams_) - 1),
-        lambda p: F.array_contains(F.slice(least, F.greatest(p - (w - 2), F.lit(1)), F.lit(w) + F.least(p - (w - 1), F.lit(0))), F.get(grams_, p)),
-    )
-    out = F.transform(places, lambda p: F.struct(p.alias("at"), F.get(grams_, p).alias("h")))
-    return F.when(F.size(least) > 0, out).otherwise(F.array().cast("array<struct<at:int,h:bigint>>"))
+def _runs(m: str) -> Column:
+    """Expression: (first, last, h) of every run of windows whose smallest hash is the same; ``m``: the smallest hashes."""
+    least = F.col(m)
+    starts = F.filter(F.sequence(F.lit(0), F.size(least) - 1), lambda i: (i == 0) | (F.get(least, i) != F.get(least, i - 1)))
+    # A lambda over one element binds the starts, so that they are found once.
+    runs = F.transform(F.array(starts), lambda c: F.transform(c, lambda s, i: F.struct(
+        s.alias("first"), F.coalesce(F.get(c, i + 1), F.size(least)).cast("int").alias("to"), F.get(least, s).alias("h"),
+    )))
+    return F.when(F.size(least) > 0, F.get(runs, F.lit(0))).otherwise(F.array().cast("array<struct<first:int,to:int,h:bigint>>"))
 
 
 def fingerprints(blocks: DataFrame, n: int) -> DataFrame:
-    """row, block, n, at (first word of the gram, in the block), h: the winnowed grams of blocks with column ``norm``."""
+    """row, block, n, h, and the windows (from ``first``, before ``to``, counted in the block) of which h is the smallest hash.
+
+    ``blocks`` have a column ``norm``.  A gram that is the smallest of several windows in a row gives one fingerprint.
+    """
     k = gram(n)
     w = n - k + 1
     hashed = blocks.select("row", "block", F.transform(words_of("norm"), lambda x: F.xxhash64(x)).alias("w"))
     hashed = hashed.select("row", "block", grams("w", k).alias("g"))
-    least = F.transform(F.sequence(F.lit(1), F.size("g") - (w - 1)), lambda i: F.array_min(F.slice("g", i, w)))
+    smallest = (lambda i: F.least(*[F.get("g", i + j) for j in range(w)])) if w > 1 else (lambda i: F.get("g", i))
+    least = F.transform(F.sequence(F.lit(0), F.size("g") - w), smallest)
     least = F.when(F.size("g") >= w, least).otherwise(F.array().cast("array<bigint>"))
-    marked = hashed.select("row", "block", "g", least.alias("m"))
-    return marked.select("row", "block", F.lit(n).alias("n"), F.inline(_chosen("g", "m", w)))
+    return hashed.select("row", "block", least.alias("m")).select("row", "block", F.lit(n).alias("n"), F.inline(_runs("m")))
 
 
 def in_blocks(norms: DataFrame, keep: list[str], span: int) -> DataFrame:
@@ -125,12 +128,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFr
 
     hits = looked.join(hashes.distinct(), ["n", "h"], "left_semi")
     # A block's hits at most; the texts come back by row and block.
-    hits = hits.groupBy("row", "block").agg(F.collect_list(F.struct("n", "at")).alias("hits"))
+    hits = hits.groupBy("row", "block").agg(F.collect_list(F.struct("n", "first", "to")).alias("hits"))
     around = hits.join(blocks.select("row", "block", "norm"), ["row", "block"])
-    around = around.select("row", "block", words_of("norm").alias("words"), F.array_distinct(F.flatten(F.transform("hits", _covering))).alias("s"))
+    around = around.select("row", "block", words_of("norm").alias("words"), F.flatten(F.transform("hits", _windows)).alias("s"))
     around = around.select("row", "block", "words", F.explode("s").alias("s")).select(
         "row", (F.col("block").cast("long") * BLOCK + F.col("s.at")).alias("at"), F.col("s.n").alias("n"),
-        F.when(F.col("s.at") + F.col("s.n") <= F.size("words"), F.array_join(F.slice("words", F.col("s.at") + 1, F.col("s.n")), " ")).alias("span"),
+        F.array_join(F.slice("words", F.col("s.at") + 1, F.col("s.n")), " ").alias("span"),
     )
     found = around.join(spans, ["n", "span"]).select("row", "at", "n", "id")
     per_doc = stored(found.groupBy("row").agg(_covered(F.array_sort(F.collect_list(F.struct("at", (F.col("at") + F.col("n")).alias("to"))))).alias("n_hit"), F.array_sort(F.collect_set("id")).alias("ids")), "winnow-hits")
@@ -147,11 +150,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFr
     )
 
 
-def _covering(hit: Column) -> Column:
-    """Expression: (n, at) of the spans that cover a hit's gram."""
-    n = hit["n"]
-    first = F.greatest(hit["at"] - (n - F.floor((n + 1) / 2).cast("int")), F.lit(0))
-    return F.transform(F.sequence(first, hit["at"]), lambda s: F.struct(n.alias("n"), s.alias("at")))
+def _windows(hit: Column) -> Column:
+    """Expression: (n, at) of the spans that share a fingerprint."""
+    return F.transform(F.sequence(hit["first"], hit["to"] - 1), lambda s: F.struct(hit["n"].alias("n"), s.alias("at")))
 
 
 def _covered(spans: Column) -> Column:
