@@ -1,11 +1,12 @@
 """Licence scan: a trained n-gram classifier over paragraphs, confirmed by comparison with templates.
 
 All work on the corpus is DataFrame functions.  Training rows are notices made from names and phrases of each licence
-family (known), fixed sentences that only sound like licences, and a bounded sample of corpus paragraphs without any
+family (known), fixed sentences and notices with other names that only sound like licences, and a bounded sample of corpus paragraphs without any
 phrase of the templates (unknown).  A multinomial logistic regression on the presence of word n-grams gives sparse
 weights; a second, one-dimensional regression on rows that the first didn't see turns the margin over the unknown class
-into a probability.  Only n-grams with at least one word that is rare in the corpus sample are features, so a paragraph
-without such a word can be nothing but unknown and is passed by at the price of a set look-up per word.
+into a probability.  Only n-grams with at least one word that tells licences from other text are features: words of the
+templates less those that are common in corpus lines without any phrase of a template; words of licences' names always
+stay.  A paragraph without such a word can be nothing but unknown and is passed by at the price of a set look-up per word.
 """
 
 from __future__ import annotations
@@ -66,12 +67,16 @@ SENTENCES = {
 }
 FRAMES = ("{}", "{}.", "License: {}", "Licensed under {}.", "Released under {}.", "This work is licensed under {}.", "Distributed under {}", "This project is released under {}.",
           "This software is made available under the terms of {}.", "Published under {}", "The code is covered by {}", "Dedicated to {}.", "All files here are under {}.")
+# Words by which names tell a family; they stay features however common they are.
+KEPT = frozenset("affero agpl apache attribution bsd cc cc0 commons copyleft creative gpl lesser lgpl mit mozilla mpl noncommercial sharealike unlicense domain gnu".split())
 # Sentences about licences and rights that name no family.
 OTHERS = ("All rights reserved.", "Copyright by the author. All rights reserved.", "See the license file for details.", "A driving licence is required.", "The license fee is due every year.",
           "Used with permission of the publisher.", "This document is confidential and proprietary.", "Licensed to the city for public use.", "No part of this publication may be reproduced without written permission.",
           "The general public was invited.", "Software is provided by the vendor.", "The apache helicopter landed.", "A student at MIT wrote the version.", "They modified the program in the public interest.",
           "Subject to change without notice.", "This work was released last year.", "The warranty is limited to two years.", "Published under the name of the author.", "Terms and conditions apply.",
           "The source code was distributed under seal.", "A free copy of the software was given to any person.", "Version 2.0 was released.", "Version 3 of the documentation is free.")
+# What the frames also stand before without naming a licence, so that names decide and not the frames.
+OTHER_NAMES = ("pressure", "the new law", "the city council", "a different name", "review", "the terms of sale", "supervision", "the old rules", "drive", "a permit of the office", "number 1234", "the driver")
 
 
 class Model(NamedTuple):
@@ -125,23 +130,24 @@ def learn(docs: DataFrame) -> Model:
     """Train on the templates and on at most SAMPLE_PARAGRAPHS paragraphs of SAMPLE_DOCS documents chosen by a hash."""
     spark = docs.sparkSession
     known = _pieces(spark)
-    phrases = known.select(F.explode(ngrams(F.col("words"), 3)).alias("t")).distinct()
+    phrases = known.select(F.explode(_short_runs(F.col("words"))).alias("t")).distinct()
     template_words = sorted(r[0] for r in known.select(F.explode("words")).distinct().collect())  # of the fixed values
     # Documents are chosen by id alone; their texts are fetched then.
     ids = [r[0] for r in docs.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64(F.col("doc_id").cast("long"), F.lit(1)), "doc_id").limit(SAMPLE_DOCS).collect()]
     sample = paragraphs(docs.select("doc_id", "text").filter(F.col("doc_id").isin(ids))) if ids else paragraphs(docs.select("doc_id", "text").limit(0))
     sample = sample.withColumn("words", F.slice("words", 1, 400)).orderBy(F.xxhash64("doc_id", "paragraph", "words")).limit(SAMPLE_PARAGRAPHS)
     sample = stored(sample.withColumn("row", F.xxhash64("doc_id", "paragraph", "words")), "licence-sample")
-    like = sample.select("row", F.explode(ngrams(F.col("words"), 3)).alias("t")).join(F.broadcast(phrases), "t").select("row").distinct()
+    like = sample.select("row", F.explode(_short_runs(F.col("words"))).alias("t")).join(F.broadcast(phrases), "t").select("row").distinct()
     unknown = sample.join(F.broadcast(like), "row", "left_anti").select(F.lit(UNKNOWN).alias("family"), "words")
-    n = max(1, sample.count())
-    often = sample.select(F.explode(F.array_distinct(F.filter("words", lambda w: w.isin(template_words)))).alias("w")).groupBy("w").count()
-    common = {r[0] for r in often.filter(F.col("count") > RARE * n + 1).collect()}
+    # Only lines that hold no phrase of a licence say which words are common, however many notices there are.
+    n = max(1, unknown.count())
+    often = unknown.select(F.explode(F.array_distinct(F.filter("words", lambda w: w.isin(template_words)))).alias("w")).groupBy("w").count()
+    common = {r[0] for r in often.filter(F.col("count") > RARE * n + 1).collect() if r[0] not in KEPT and not r[0].startswith("licen")}
     # Words of the smallest kind carry no licence by themselves, whatever the corpus' language.
     small = {w for w in template_words if len(w) < 3 and not w.startswith("cc")} | {"the", "and", "this", "any", "you", "may", "not", "for", "that", "with", "are", "its"}
     rare = [w for w in template_words if w not in common and w not in small]
 
-    others = spark.createDataFrame([(UNKNOWN, o) for o in OTHERS], "family string, line string").select("family", words_of(F.col("line")).alias("words"))
+    others = spark.createDataFrame([(UNKNOWN, o) for o in [*OTHERS, *(f.format(n) for f, n in product(FRAMES, OTHER_NAMES))]], "family string, line string").select("family", words_of(F.col("line")).alias("words"))
     rows = known.union(others).union(unknown).withColumn("terms", terms_of(F.col("words"), rare))
     families = [*sorted(NAMES), UNKNOWN]
     label = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1
