@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -47,6 +49,23 @@ def fold(doc_id, parts: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts
 
 
+def release() -> None:
+    """Give memory that a worker no longer uses back to the system; workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def by_bytes(batches, most: int = 1 << 23):
+    """Arrow batches cut to some ``most`` bytes each; at least one row."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * most / max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash; forgets all when it has grown to ``most`` words, so memory stays bounded."""
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SPACES, fold, stored
+from .common import SPACES, by_bytes, fold, release, stored
 
 SAMPLE_ROWS = 12_000  # labelled rows learned from, at most
 LEXICON = 4_000  # entries kept, strongest first
@@ -33,7 +33,8 @@ SECOND_PERSON = frozenset(
 _SIGNS = str.maketrans("01345@$!|", "oieasasil")
 
 _WORDS = re.compile(r"[^\W\d_]+")
-_MASKED = re.compile(r"[^\W\d_]+(?:[0-9@$!|*]+[^\W\d_]+)+|[@$][^\W\d_]+")
+# Tried at the first letter of a run only and without going back, so the time grows with the length of the text.
+_MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[0-9@$!|*]++[^\W\d_]++)++|[@$][^\W\d_]++")
 _CAPS = re.compile(rb"(?<![A-Za-z])[A-Z]{2,}(?![A-Za-z])")
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 
@@ -57,7 +58,8 @@ class _Flags(dict):
         value = strength + (1000.0 if word in SECOND_PERSON else 0.0)
         if len(self) > 200_000:
             self.clear()
-        self[word] = value
+        if len(word) <= 64:
+            self[word] = value
         return value
 
 
@@ -262,10 +264,11 @@ def score(docs: DataFrame, model: Model, folds: int = FOLDS, test_fold: int = TE
 
     def run(batches):
         flags = _Flags(shared.value.lexicon)
-        for batch in batches:
+        for batch in by_bytes(batches):
             x = np.array([features(t.as_py(), flags) for t in batch.column(2)], float).reshape(-1, len(FEATURES))
             s = shared.value.scores(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        release()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                       F.coalesce(fold("doc_id", folds) == test_fold, F.lit(False)).alias("held_out"),
@@ -280,9 +283,10 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
 
     def run(batches):
         flags = _Flags(shared.value.lexicon)
-        for batch in batches:
+        for batch in by_bytes(batches):
             x = np.array([features(t.as_py() or "", flags) for t in batch.column(at)], float).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(shared.value.scores(x) < threshold))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -59,3 +59,20 @@ def test_sample_is_bounded_and_leaves_the_test_fold_out(spark):
     labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 2).cast("int").alias("toxic"))
     got = labelled(docs, labels, 5, 0, rows=500)
     assert got.count() == 500 and got.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).count() == 0
+
+
+def test_masked_words_in_time_that_grows_with_the_text():
+    import re
+    import time
+
+    from rivetwatch.llm import toxicity as t
+
+    plain = re.compile(r"[^\W\d_]+(?:[0-9@$!|*]+[^\W\d_]+)+|[@$][^\W\d_]+")
+    rng = __import__("random").Random(4)
+    for _ in range(4000):
+        text = "".join(rng.choices("ab1@$*! é_.", k=rng.randrange(0, 25)))
+        assert t._MASKED.findall(text) == plain.findall(text)
+    for text in ("a" * 1_000_000 + " 1", "中" * 1_000_000 + "1", "A" * 1_000_000 + "1a", "a1" * 500_000, "$" * 1_000_000 + "a", "a" + "1" * 1_000_000):
+        start = time.perf_counter()
+        t.features(text, t._Flags({}))
+        assert time.perf_counter() - start < 5
