@@ -7,6 +7,7 @@ of numbers or of other characters, white space); tests hold them against the tok
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -95,30 +96,67 @@ class Vocabulary:
 
 
 class PieceCache:
-    """Ids of distinct pretokens, filled by ``encode_new(pieces) -> (flat ids, lengths)``; bounded by ``most`` pieces."""
+    """Ids of distinct pretokens, filled by ``encode_new(pieces) -> (flat ids, lengths)``; forgets all beyond ``most``.
 
-    def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 300_000):
+    Pieces are found by a hash in a table that is probed for all of them at once, and each is then compared with the
+    characters of the piece it was taken for.  Those that differ, and pieces of more than LONG characters, are encoded
+    by themselves and not kept, so the cache is bounded in bytes as well.
+    """
+
+    LONG = 64
+
+    def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 200_000):
         self.encode_new, self.most = encode_new, most
-        self._clear()
+        self.bits = max(10, (3 * most - 1).bit_length())
+        self.clear()
 
-    def _clear(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
-        self.offset, self.length = np.empty(1 << 15, np.int64), np.empty(1 << 15, np.int64)
+    def clear(self) -> None:
+        self.held = self.used = self.letters = 0
+        self.ids, self.pool = np.empty(1 << 16, np.uint32), np.empty(1 << 18, np.uint32)
+        self.offset, self.length, self.place, self.size = (np.empty(1 << 15, np.int64) for _ in range(4))
+        self.keys, self.slots = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
 
-    def _add(self, pieces: list[str]) -> None:
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """Slot of each key, -1 where there is none."""
+        out = np.full(len(key), -1, np.int64)
+        todo, at = np.arange(len(key)), (key >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(todo):
+            slot = self.slots[at]
+            found = (slot >= 0) & (self.keys[at] == key[todo])
+            out[todo[found]] = slot[found]
+            on = (slot >= 0) & ~found
+            todo, at = todo[on], (at[on] + 1) & (len(self.slots) - 1)
+        return out
+
+    def _add(self, keys: np.ndarray, pieces: list[str]) -> None:
         ids, lengths = self.encode_new(pieces)
-        n, m = len(self.slot), len(pieces)
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while n + m > len(self.offset):
-            self.offset = np.concatenate([self.offset, np.empty_like(self.offset)])
-            self.length = np.concatenate([self.length, np.empty_like(self.length)])
+        letters = code_points("".join(pieces))
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        n, m = self.held, len(pieces)
+        self.ids, self.pool = _room(self.ids, self.used + len(ids)), _room(self.pool, self.letters + len(letters))
+        self.offset, self.length, self.place, self.size = (_room(x, n + m) for x in (self.offset, self.length, self.place, self.size))
         self.ids[self.used : self.used + len(ids)] = ids
-        self.offset[n : n + m] = self.used + np.cumsum(lengths) - lengths
-        self.length[n : n + m] = lengths
-        self.used += len(ids)
-        self.slot.update(zip(pieces, range(n, n + m)))
+        self.pool[self.letters : self.letters + len(letters)] = letters
+        self.offset[n : n + m], self.length[n : n + m] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.place[n : n + m], self.size[n : n + m] = self.letters + np.cumsum(sizes) - sizes, sizes
+        self.held, self.used, self.letters = n + m, self.used + len(ids), self.letters + len(letters)
+        mask = len(self.slots) - 1
+        for slot, (key, at) in enumerate(zip(keys.tolist(), (keys >> np.uint64(64 - self.bits)).tolist()), n):
+            while self.slots[at] >= 0:
+                at = (at + 1) & mask
+            self.keys[at], self.slots[at] = key, slot
+
+    def _differ(self, slot: np.ndarray, cps: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether each piece isn't, letter by letter, the one of its slot."""
+        other = self.size[slot] != size
+        same = np.flatnonzero(~other)
+        sizes = size[same]
+        if len(same):
+            first = np.cumsum(sizes) - sizes
+            within = np.arange(first[-1] + sizes[-1]) - np.repeat(first, sizes)
+            unequal = cps[np.repeat(start[same], sizes) + within] != self.pool[np.repeat(self.place[slot[same]], sizes) + within]
+            other[same] = np.logical_or.reduceat(unequal, first)
+        return other
 
     def encode(self, text: str, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts joined in ``text`` and the number of ids of each; ``at``: where each text starts."""
@@ -131,39 +169,78 @@ class PieceCache:
         first[at[at < n]] = True
         start = pretoken_starts(cps, first)
         end = np.append(start[1:], n)
+        size = end - start
         up, down = powers(n)
         total = np.empty(n + 1, np.uint64)
         total[0] = 0
         np.cumsum((cps + np.uint32(1)) * up, out=total[1:])
-        key = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-        _, where, back = np.unique(key, return_index=True, return_inverse=True)
-        pieces = [text[a:b] for a, b in zip(start[where].tolist(), end[where].tolist())]
-        if len(self.slot) > self.most:
-            self._clear()
-        slots = [self.slot.get(p, -1) for p in pieces]
-        new = [p for p, s in zip(pieces, slots) if s < 0]
-        if new:
-            self._add(new)
-            slots = [self.slot[p] for p in pieces]
-        each = np.array(slots, np.int64)[back]
-        length = self.length[each]
+        key = mix((total[end] - total[start]) * down[start] + size.astype(np.uint64))
+        if self.held > self.most:
+            self.clear()
+        short = size <= self.LONG
+        slot = np.full(len(start), -1, np.int64)
+        slot[short] = self._find(key[short])
+        new = np.flatnonzero(short & (slot < 0))
+        if len(new):
+            fresh, where = np.unique(key[new], return_index=True)
+            where = new[where]
+            # More than fit the table are left to the way of long pieces.
+            fits = max(0, len(self.slots) // 2 - self.held)
+            fresh, where = fresh[:fits], where[:fits]
+            if len(fresh):
+                self._add(fresh, [text[a:b] for a, b in zip(start[where].tolist(), end[where].tolist())])
+                slot[new] = self._find(key[new])
+        held = np.flatnonzero(slot >= 0)
+        slot[held[self._differ(slot[held], cps, start[held], size[held])]] = -1
+        offset, length, ids = self.offset, self.length, self.ids
+        alone = np.flatnonzero(slot < 0)
+        if len(alone):
+            pieces = [text[a:b] for a, b in zip(start[alone].tolist(), end[alone].tolist())]
+            place = {p: i for i, p in enumerate(dict.fromkeys(pieces))}
+            own, lengths = self.encode_new(list(place))
+            offset = np.append(offset[: self.held], self.used + np.cumsum(lengths) - lengths)
+            length = np.append(length[: self.held], lengths)
+            ids = np.append(ids[: self.used], own)
+            slot[alone] = self.held + np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
+        length = length[slot]
         ends = np.cumsum(length)
-        ids = self.ids[np.repeat(self.offset[each] - (ends - length), length) + np.arange(ends[-1])]
+        out = ids[np.repeat(offset[slot] - (ends - length), length) + np.arange(ends[-1])]
         before = np.append(0, ends)
         marks = before[np.searchsorted(start, at)]
-        return ids, np.append(marks[1:], ends[-1]) - marks
+        return out, np.append(marks[1:], ends[-1]) - marks
+
+
+def _room(values: np.ndarray, n: int) -> np.ndarray:
+    """``values`` with place for ``n`` entries."""
+    while len(values) < n:
+        values = np.concatenate([values, np.empty_like(values)])
+    return values
+
+
+def _last_boundary(cps: np.ndarray) -> int:
+    """The last position inside ``cps`` where a pretoken starts whatever stands on both sides; 0 if there is none.
+
+    That is white space after something else, or another class of characters with no apostrophe in the three before it.
+    """
+    kind = np.minimum(classes()[cps], _BLANK)
+    change = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[:-1] != _BLANK)) + 1
+    quote = np.append(0, np.cumsum(cps == 39))
+    good = (kind[change] == _BLANK) | (quote[change] == quote[np.maximum(change - 3, 0)])
+    change = change[good]
+    return int(change[-1]) if len(change) else 0
 
 
 def _cuts(text: str, most: int) -> Iterator[str]:
-    """``text`` in blocks of about ``most`` characters, cut before a space that stands alone between other characters."""
-    kind, at = classes(), 0
+    """``text`` in blocks of about ``most`` characters, cut where a pretoken surely starts."""
+    at = 0
     while len(text) - at > most:
-        cut, reach = 0, most
-        while not cut and at + reach < len(text):
-            k = kind[code_points(text[at : at + reach + 1])]
-            good = np.flatnonzero((k[1:-1] == _SPACE) & (k[:-2] < _BLANK) & (k[2:] < _BLANK))
-            cut = int(good[-1]) + 1 if len(good) else 0
-            reach *= 2
+        cut, reach, seen = 0, most, 0
+        while not cut and at + seen < len(text):
+            # Each look starts where the last one ended, four characters of context included.
+            back = max(0, seen - 4)
+            cut = _last_boundary(code_points(text[at + back : at + reach]))
+            cut += back if cut else 0
+            seen, reach = reach, reach * 2
         if not cut:
             break
         yield text[at : at + cut]
@@ -171,7 +248,7 @@ def _cuts(text: str, most: int) -> Iterator[str]:
     yield text[at:]
 
 
-def encode_texts(texts: list[str], cache: PieceCache, vocab: Vocabulary, block: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, bool]]:
+def encode_texts(texts: list[str], cache: PieceCache, vocab: Vocabulary, block: int = 1 << 17) -> Iterator[tuple[int, np.ndarray, bool]]:
     """(index of the text, ids, whether the text ends here) in order; a text comes in several parts if it is long.
 
     Special tokens that occur in a text become their id, as the library does.  Work is on blocks of at most about
@@ -195,9 +272,10 @@ def encode_texts(texts: list[str], cache: PieceCache, vocab: Vocabulary, block:
 
     for i, text in enumerate(texts):
         for segment, special, last in _segments(text, vocab.special):
-            blocks = list(_cuts(segment, block)) if len(segment) > block else [segment]
-            for j, part in enumerate(blocks):
-                end = j == len(blocks) - 1
+            done = 0
+            for part in _cuts(segment, block):
+                done += len(part)
+                end = done == len(segment)
                 held.append((i, part, special if end else None, last and end))
                 size += len(part)
                 if size >= block:
@@ -208,10 +286,9 @@ def encode_texts(texts: list[str], cache: PieceCache, vocab: Vocabulary, block:
 
 def _segments(text: str, special: dict[str, int]) -> Iterator[tuple[str, int | None, bool]]:
     """Parts of ``text`` between special tokens, each with the token that follows it."""
-    while True:
-        found = min(((p, name) for name in special if (p := text.find(name)) >= 0), default=None)
-        if found is None:
-            yield text, None, True
-            return
-        yield text[: found[0]], special[found[1]], False
-        text = text[found[0] + len(found[1]) :]
+    at = 0
+    if special:
+        for found in re.finditer("|".join(map(re.escape, sorted(special, key=len, reverse=True))), text):
+            yield text[at : found.start()], special[found.group()], False
+            at = found.end()
+    yield text[at:] if at else text, None, True

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordHashes, rolling, stored
+from .common import WordHashes, by_bytes, release, rolling, stored
 from .components import Union, connected
 
 TREES, DEPTH = 24, 4
@@ -61,7 +61,7 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         hashes = WordHashes()
-        for batch in batches:
+        for batch in by_bytes(batches):
             n, keys, signatures = [], [], []
             for text in batch.column(1):
                 own = shingles(text.as_py(), width, hashes)
@@ -72,6 +72,7 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(signatures, pa.binary())],
                 ["doc_id", "n_shingles", "k1", "k2", "signature"])
+        release()
 
     return _binary(docs).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, signature binary")
 
@@ -272,9 +273,10 @@ def confirmed(docs: DataFrame, groups: DataFrame, width: int, percent: int, bloc
 
     def sets(batches):
         hashes = WordHashes()
-        for batch in batches:
+        for batch in by_bytes(batches):
             packed = [shingles(t.as_py(), width, hashes).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), *batch.columns[2:]], ["node", "shingles", "component", "blocks", "own"])
+        release()
 
     rows = own.select("doc_id", "text", "component", "blocks", "own").mapInArrow(sets, "node long, shingles binary, component long, blocks int, own int")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("x"), F.greatest("own", o).alias("y"))))

@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import WordHashes, rolling
+from .common import WordHashes, release, rolling
 
 WINDOW = 50
 BATCH_DOCS = 1024
-BUCKET_WINDOWS = 1 << 21
+BUCKET_WINDOWS = 1 << 20
 _REST = 38  # bits of an anchor's hash below its bucket's; with two flags they make five bytes
 
 _WORDS = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
@@ -111,6 +111,7 @@ def _shared_anchors(key, table):
     count = np.diff(np.append(starts, len(rest)))
     flags = np.bitwise_or.reduceat(values & np.uint64(3), starts)
     good = np.repeat((flags >= 2) & ((count > 1) | (flags & np.uint64(1) > 0)), count)
+    release()
     return _answers(key, table, rest[good], row[good], _five)
 
 

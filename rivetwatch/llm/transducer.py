@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bytebpe import PieceCache, Vocabulary, encode_texts
-from .common import doc_text
+from .common import by_bytes, doc_text, release
 
 _NONE = 1 << 30
 
@@ -216,7 +216,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches):
         vocab, cache = _machines(source.value)
-        for batch in batches:
+        for batch in by_bytes(batches):
             keys, rows = batch.column(0).to_pylist(), []
             texts = batch.column(1).to_pylist()
             n, ids_hash, text_hash, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(vocab)
@@ -234,6 +234,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()))],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        release()
 
     return doc_text(docs).mapInArrow(run, SCHEMA)
 
@@ -248,7 +249,7 @@ def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches):
         vocab, cache = _machines(source.value)
-        for batch in batches:
+        for batch in by_bytes(batches):
             texts, runs, same = batch.column(1).to_pylist(), [], []
             parts, decoder, at, good = [], Decoder(vocab), 0, True
             for i, ids, last in encode_texts(texts, cache, vocab):
@@ -265,5 +266,6 @@ def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), pa.array(same, pa.bool_())],
                 ["doc_id", "n_tokens", "ids", "round_trip"])
+        release()
 
     return doc_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")

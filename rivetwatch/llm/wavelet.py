@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bytebpe import PieceCache, Vocabulary, encode_texts
-from .common import doc_text, shared_path
+from .common import by_bytes, doc_text, release, shared_path
 
 SEGMENT = 1 << 20
 _MAGIC, _HEAD = b"WMX1", struct.Struct("<4sIBI")
@@ -197,7 +197,7 @@ def token_runs(docs: DataFrame, tokenizer_path: str, end_id: int, cuts: np.ndarr
 
     def run(batches):
         vocab, cache = _encoder(source.value)
-        for batch in batches:
+        for batch in by_bytes(batches):
             keys, packed, parts = batch.column(0), [], []
             for _, ids, last in encode_texts(batch.column(1).to_pylist(), cache, vocab):
                 parts.append(ids)
@@ -206,6 +206,7 @@ def token_runs(docs: DataFrame, tokenizer_path: str, end_id: int, cuts: np.ndarr
                     parts = []
             shard = np.searchsorted(cuts, keys.fill_null(_NO_ID).to_numpy(zero_copy_only=False), "right").astype(np.int32)
             yield pa.RecordBatch.from_arrays([keys, pa.array(shard), pa.array(packed, pa.binary())], ["doc_id", "shard", "ids"])
+        release()
 
     return doc_text(docs).mapInArrow(run, "doc_id long, shard int, ids binary")
 

@@ -85,3 +85,53 @@ def test_frame(spark, library):
 
     assert got == sorted((want(*r) for r in rows), key=str)
     assert encode_decode(df.limit(0), PATH).count() == 0
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("n", [32, 64, 256, 1024, 2048, 4096])
+def test_words_whose_hashes_collide(vocab, library, n):
+    # These two have the same polynomial hash modulo 2^64 from 1,024 letters on, whatever the (odd) multiplier.
+    own = [thue_morse(n), thue_morse(n, "b", "a"), f"x {thue_morse(n)} {thue_morse(n, 'b', 'a')}"]
+    got: list[list[int]] = [[] for _ in own]
+    for i, ids, _ in encode_texts(own, PieceCache(Transducer(vocab).pieces), vocab):
+        got[i] += ids.tolist()
+    assert got == [w.ids for w in library.encode_batch(own, add_special_tokens=False)]
+
+
+def test_a_key_held_by_another_piece(vocab, library, monkeypatch):
+    # All keys of equal length collide: only the comparison of letters tells pieces apart.
+    from rivetwatch.llm import bytebpe
+
+    monkeypatch.setattr(bytebpe, "mix", lambda x: np.full(len(x), 7, np.uint64))
+    got: list[list[int]] = [[] for _ in texts()[:200]]
+    for i, ids, _ in encode_texts(texts()[:200], PieceCache(Transducer(vocab).pieces), vocab, 500):
+        got[i] += ids.tolist()
+    assert got == [w.ids for w in library.encode_batch(texts()[:200], add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("text", ["ab\n" * 60_000, "中文。" * 60_000, "a1" * 60_000, "it's\t'll''re" * 9_000, "ab<|endoftext|>" * 20_000, "x" * 100_000])
+def test_long_texts_are_cut_at_sure_boundaries(vocab, library, text):
+    seen = []
+
+    class Watched(PieceCache):
+        def encode(self, text, at):
+            seen.append(len(text))
+            return super().encode(text, at)
+
+    got = []
+    for _, ids, _ in encode_texts([text], Watched(Transducer(vocab).pieces), vocab, 1 << 12):
+        got += ids.tolist()
+    assert got == library.encode(text, add_special_tokens=False).ids
+    assert max(seen) <= 1 << 13 or "x" * 9 in text
+
+
+def test_cache_forgets_and_goes_on(vocab, library):
+    cache = PieceCache(Transducer(vocab).pieces, most=50)
+    got: list[list[int]] = [[] for _ in texts()]
+    for i, ids, _ in encode_texts(texts(), cache, vocab, 300):
+        got[i] += ids.tolist()
+    assert got == [w.ids for w in library.encode_batch(texts(), add_special_tokens=False)]
+    assert cache.held <= 600
