@@ -15,6 +15,7 @@ from ..constants import CORE_SENSORS, PROXY_NOTE, ROLLING_WINDOW, RUL_SEED
 from ..functions.columns import Keys, sensor_columns
 from ..functions.scalars import is_valid_asset, risk_from_rul
 from .series import SeriesProfile, add_windowed, latest_per_asset, rolling_mean, rolling_std, spread_rows, step
+from .whole import add_windowed_whole
 
 LABEL = "failure_within_days"
 
@@ -22,13 +23,18 @@ LABEL = "failure_within_days"
 def rul_features(
     df: DataFrame, keys: Keys = Keys(), window: int = ROLLING_WINDOW, profile: SeriesProfile | None = None
 ) -> DataFrame:
-    """Rolling mean, rolling deviation and first difference per sensor: one exchange, one sort."""
+    """Rolling mean, rolling deviation and first difference per sensor: one exchange, one sort.
+
+    A table without the asset column is one series: its windows run over all rows by time.
+    """
     sensors = [c for c in CORE_SENSORS if c in df.columns] or sensor_columns(df, keys)
     exprs = {}
     for c in sensors:
         exprs[f"{c}_roll_mean"] = rolling_mean(c, window)
         exprs[f"{c}_roll_std"] = rolling_std(c, window)
         exprs[f"{c}_trend"] = lambda w, c=c: F.coalesce(step(c)(w), F.lit(0.0))
+    if keys.id not in df.columns:
+        return add_windowed_whole(df, exprs, window - 1, [c for c in keys.order if c in df.columns])
     return add_windowed(df, exprs, window - 1, keys, profile)
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ...operators import clean, joins, mapping
 from ...operators.charts import rolling_trend
 from ...operators.rul import rul_features
-from ...operators.series import add_windowed, forward_fill, latest_per_asset, profile_series, rolling_mean, step
+from ...operators.series import add_windowed, forward_fill, latest_per_asset, profile_series, rolling_mean, rolling_std, step
+from ...operators.whole import add_windowed_whole, forward_fill_whole, running_whole
 from .. import sensor_view as v
 from .registry import query, sql
 
@@ -244,6 +245,29 @@ def rolling_sliced(spark, d):
     return _rounded(out, "rolling", "change").select("event_id", "rolling", "change")
 
 
+@query("rolling_whole_table", sql("gaps", """
+  SELECT event_id, round(avg(vibration) OVER (w ROWS 23 PRECEDING), 6) AS vibration_roll_mean,
+         round(coalesce(stddev_samp(vibration) OVER (w ROWS 23 PRECEDING), 0), 6) AS vibration_roll_std,
+         round(coalesce(rpm - lag(rpm) OVER w, 0), 6) AS rpm_trend FROM gaps WINDOW w AS (ORDER BY "timestamp", event_id)"""))
+def rolling_whole_table(spark, d):
+    """Window features of a table without an asset column, in slices of 512 rows."""
+    out = add_windowed_whole(v.with_gaps(v.readings(spark, d)).drop("machine_id"), {
+        "vibration_roll_mean": rolling_mean("vibration", 24), "vibration_roll_std": rolling_std("vibration", 24),
+        "rpm_trend": lambda w: F.coalesce(step("rpm")(w), F.lit(0.0)),
+    }, 23, ["timestamp", "event_id"], rows_per_slice=512)
+    return _rounded(out, "vibration_roll_mean", "vibration_roll_std", "rpm_trend").select("event_id", "vibration_roll_mean", "vibration_roll_std", "rpm_trend")
+
+
+@query("ffill_whole_table", sql("gaps", """
+  SELECT event_id, last_value(vibration IGNORE NULLS) OVER w AS vibration, count(vibration) OVER w AS known
+  FROM gaps WINDOW w AS (ORDER BY "timestamp", event_id ROWS UNBOUNDED PRECEDING)"""))
+def ffill_whole_table(spark, d):
+    """Last known value and a running count over all rows, carried from slice to slice of 512 rows."""
+    df = v.with_gaps(v.readings(spark, d)).drop("machine_id").withColumn("one", F.col("vibration").isNotNull().cast("long"))
+    counted = running_whole(df, {"known": "one"}, ["timestamp", "event_id"], rows_per_slice=512)
+    return forward_fill_whole(counted, ["vibration"], ["timestamp", "event_id"], rows_per_slice=512).select("event_id", "vibration", "known")
+
+
 @query("jumps", sql("readings", f"""
   SELECT machine_id, count(*) FILTER (abs(dt) > 50) AS big_jumps, round(max(abs(dt)), 6) AS widest FROM (
     SELECT machine_id, temperature - lag(temperature) OVER ({_SERIES}) AS dt FROM readings) GROUP BY 1"""))

@@ -6,7 +6,8 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from ...streaming import payload, status
+from ...operators import rul
+from ...streaming import life, payload, status
 from .. import sensor_view as v
 from .registry import query, sql
 
@@ -101,3 +102,27 @@ def keep_last_rows(spark, d):
     from ...operators.series import last_rows
 
     return last_rows(v.readings(spark, d), 20).select("event_id")
+
+
+_LIFE = ("temperature", "vibration", "rpm")
+
+
+@query("live_rul_features", sql("gaps", "SELECT machine_id, max(\"timestamp\") AS last_ts, " + ", ".join(f"""
+  coalesce(max({c}) FILTER (rn = 1), 0) AS {c}, round(coalesce(avg({c}), 0), 6) AS {c}_roll_mean, round(coalesce(stddev_samp({c}), 0), 6) AS {c}_roll_std,
+  round(coalesce(max({c}) FILTER (rn = 1) - max({c}) FILTER (rn = 2), 0), 6) AS {c}_trend""" for c in _LIFE) + """
+  FROM (SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY "timestamp" DESC, event_id DESC) AS rn FROM gaps) WHERE rn <= 24 GROUP BY 1"""))
+def live_rul_features(spark, d):
+    """What the live model looks at: each asset's newest row and the windows that end there."""
+    out = life.newest_features(v.with_gaps(v.readings(spark, d)), list(_LIFE))
+    return out.withColumns({f"{c}{k}": F.round(f"{c}{k}", 6) for c in _LIFE for k in ("_roll_mean", "_roll_std", "_trend")})
+
+
+@query("live_rul")
+def live_rul(spark, d):
+    """Live status of every asset with the remaining life of a fitted forest in place of the proxy."""
+    df = v.readings(spark, d)
+    sensors = life.sensors_of(df)
+    featured = rul.rul_features(v.with_life(df).select("machine_id", "timestamp", "event_id", rul.LABEL, *sensors))
+    model = rul.fit_rul(featured, trees=40, depth=8)
+    days = life.live_life(df, model)
+    return status.live_status(v.scored(df), AS_OF, predictions=days).select("machine_id", "risk_level", "predicted_rul_days", "predicted_rul_hours", "health_index", "go_nogo")
