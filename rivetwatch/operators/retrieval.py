@@ -1,13 +1,26 @@
-"""Row documents and batch retrieval: a query table against a document table."""
+"""Row documents and batch retrieval: a query table against a document table.
+
+Retrieval is exact and never makes a row per pair of query and document.  Documents lie in blocks; of each block the
+largest weight of every term is known, so what a query can reach in a block is bounded by a sum over the query's terms
+(one row per term and block, however many documents of the block hold it).  Each query first scores the block with the
+highest bound; its k-th score there rules out all blocks with a lower bound, and the others are scored.  Scoring takes a
+block of documents and a batch of queries as sparse arrays and gives back at most k rows per query and block.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.columns import Keys
+from ..session import kept
 
-# Query-side postings up to this many rows travel to every executor.
-MAX_BROADCAST_POSTINGS = 200_000
+BLOCK_DOCS, BATCH_QUERIES = 1024, 64
+# Scores are compared to this many digits; ties go to the smaller document key.
+_DIGITS, _SLACK = 9, 1e-8
 
 
 # ---------------------------------------------------------------- documents
@@ -77,15 +90,14 @@ def _vocabulary(docs: DataFrame, text: str, max_terms: int) -> DataFrame:
 
 
 def _vectors(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
-    """One row per text: its weighted terms (at most the vocabulary) and their length.
+    """One row per text: its terms of the vocabulary with weights of length one together.
 
     Words outside the vocabulary leave before anything is grouped.
     """
     terms = df.select(key, F.explode(ngrams(F.col(text))).alias("term")).join(F.broadcast(vocab), "term")
     weights = terms.groupBy(key, "term").agg((F.count(F.lit(1)) * F.first("idf")).alias("w"))
-    return weights.groupBy(key).agg(
-        F.collect_list(F.struct("term", "w")).alias("terms"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
-    )
+    grouped = weights.groupBy(key).agg(F.collect_list(F.struct("term", "w")).alias("terms"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return grouped.select(key, F.transform("terms", lambda t: F.struct(t["term"].alias("term"), (t["w"] / F.col("norm")).alias("w"))).alias("terms"))
 
 
 def tfidf_top_k(
@@ -95,25 +107,87 @@ def tfidf_top_k(
     """Best ``k`` documents per query by cosine of TF-IDF weights; only positive scores.
 
     Weights are ``tf * (ln((1 + n) / (1 + df)) + 1)``, length-normalised.
-    Query postings meet document terms map-side, partial sums combine per
-    document before they move, and the top-k is trimmed before its shuffle.
     """
-    # At most ``max_terms`` rows, read by both sides.
-    vocab = _vocabulary(docs, text, max_terms).persist()
-    d = _vectors(docs, doc_key, text, vocab)
-    q = _vectors(queries, query_key, text, vocab).persist()
-    postings = q.select(query_key, F.col("norm").alias("qn"), F.explode("terms").alias("t")).select(
-        query_key, "qn", F.col("t.term").alias("term"), F.col("t.w").alias("qw")
-    )
-    if postings.limit(MAX_BROADCAST_POSTINGS + 1).count() <= MAX_BROADCAST_POSTINGS:
-        postings = F.broadcast(postings)
-    long = d.select(doc_key, F.col("norm").alias("dn"), F.explode("terms").alias("t")).select(
-        doc_key, "dn", F.col("t.term").alias("term"), F.col("t.w").alias("w")
-    )
-    dots = long.join(postings, "term").groupBy(query_key, doc_key, "qn", "dn").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    scored = dots.select(query_key, doc_key, (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("score"))
-    w = Window.partitionBy(query_key).orderBy(F.round("score", 9).desc(), doc_key)
-    return scored.filter("score > 0").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    vocab = kept(_vocabulary(docs, text, max_terms), "terms")  # at most ``max_terms`` rows, read by both sides
+    best = top_k(_vectors(docs, doc_key, text, vocab), _vectors(queries, query_key, text, vocab), k, doc_key, query_key)
+    return best.select(query_key, doc_key, "score", "rank")
+
+
+# ---------------------------------------------------------------- exact top-k over blocks
+def _bounds(d: DataFrame, q: DataFrame, query_key: str) -> DataFrame:
+    """(query, batch, block, bound): what a query can score at most in each block that holds one of its terms."""
+    peaks = d.select("block", F.explode("terms").alias("t")).groupBy("block", "t.term").agg(F.max("t.w").alias("peak"))
+    asked = q.select(query_key, "batch", F.explode("terms").alias("t")).select(query_key, "batch", "t.term", "t.w")
+    return asked.join(peaks, "term").groupBy(query_key, "batch", "block").agg(F.sum(F.col("w") * F.col("peak")).alias("bound"))
+
+
+def _flat(terms: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(row of each posting, its term, its weight) of a column of term lists."""
+    lists = terms.combine_chunks() if isinstance(terms, pa.ChunkedArray) else terms
+    sizes = np.diff(lists.offsets.to_numpy())
+    inner = lists.flatten()
+    return np.repeat(np.arange(len(lists)), sizes), inner.field("term"), inner.field("w").to_numpy(zero_copy_only=False)
+
+
+def _scorer(k: int, doc_key: str, query_key: str, schema: pa.Schema, chunk: int = 64):
+    """Of one block and one batch of queries: each query's k best documents."""
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        left = left.sort_by(doc_key)
+        q_row, q_term, q_w = _flat(right["terms"])
+        coded = q_term.dictionary_encode() if not isinstance(q_term, pa.ChunkedArray) else q_term.combine_chunks().dictionary_encode()
+        weights = np.zeros((len(coded.dictionary), right.num_rows))
+        np.add.at(weights, (coded.indices.to_numpy(), q_row), q_w)
+        d_row, d_term, d_w = _flat(left["terms"])
+        code = pa.compute.index_in(d_term, coded.dictionary)
+        met = code.is_valid().to_numpy(zero_copy_only=False)
+        d_row, d_w, code = d_row[met], d_w[met], code.drop_null().to_numpy()
+        scores = np.zeros((left.num_rows, right.num_rows))
+        # A few documents at a time, so that what is multiplied stays small.
+        for a in range(0, left.num_rows, chunk):
+            i, j = np.searchsorted(d_row, [a, a + chunk])
+            if j > i:
+                starts = np.flatnonzero(np.append(True, np.diff(d_row[i:j]) > 0))
+                scores[d_row[i:j][starts]] = np.add.reduceat(weights[code[i:j]] * d_w[i:j, None], starts, axis=0)
+        rounded = np.round(scores, _DIGITS)
+        order = np.argsort(-rounded, axis=0, kind="stable")[:k]
+        doc, query = order.ravel(), np.tile(np.arange(right.num_rows), len(order))
+        good = scores[doc, query] > 0
+        doc, query = doc[good], query[good]
+        return pa.table({query_key: right[query_key].take(query), doc_key: left[doc_key].take(doc), "score": scores[doc, query]}, schema=schema)
+
+    return score
+
+
+def _scored(pairs: DataFrame, d: DataFrame, q: DataFrame, k: int, doc_key: str, query_key: str) -> DataFrame:
+    """Best ``k`` of each stated (query, block), as (query, document, score)."""
+    blocks = d.join(pairs.select("block", "batch").distinct(), "block").select("block", "batch", doc_key, "terms")
+    asked = pairs.select(query_key, "block").join(q, query_key).select("block", "batch", query_key, "terms")
+    out = T.StructType([q.schema[query_key], d.schema[doc_key], T.StructField("score", T.DoubleType())])
+    return blocks.groupBy("block", "batch").cogroup(asked.groupBy("block", "batch")).applyInArrow(_scorer(k, doc_key, query_key, to_arrow_schema(out)), out)
+
+
+def top_k(docs: DataFrame, queries: DataFrame, k: int, doc_key: str, query_key: str) -> DataFrame:
+    """(query, document, score, rank) of the ``k`` documents with the highest positive sum of products of weights.
+
+    Both tables hold a key and ``terms`` (array of term and positive weight), one row per key.  Equal scores go to the
+    smaller document key.  Exact; queries without any shared term give no rows.
+    """
+    d, q = kept(docs.select(doc_key, "terms"), "top-docs"), kept(queries.select(query_key, "terms"), "top-queries")
+    blocks, batches = (max(1, -(-df.count() // size)) for df, size in ((d, BLOCK_DOCS), (q, BATCH_QUERIES)))
+    d = d.withColumn("block", F.pmod(F.xxhash64(doc_key), F.lit(blocks)))
+    q = q.withColumn("batch", F.pmod(F.xxhash64(query_key), F.lit(batches)))
+    bounds = kept(_bounds(d, q, query_key), "top-bounds")
+    first = bounds.groupBy(query_key, "batch").agg(F.max_by("block", F.struct("bound", "block")).alias("block"))
+    found = kept(_scored(first, d, q, k, doc_key, query_key), "top-first")
+    floor = found.groupBy(query_key).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
+    rest = bounds.join(first.select(query_key, "block"), [query_key, "block"], "left_anti").join(floor, query_key, "left")
+    rest = rest.filter(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - _SLACK))
+    every = found.unionByName(_scored(rest, d, q, k, doc_key, query_key))
+    w = Window.partitionBy(query_key).orderBy(F.round("score", _DIGITS).desc(), doc_key)
+    return every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 # ---------------------------------------------------------------- keyword overlap
@@ -123,20 +197,13 @@ def keyword_top_k(
     """Documents by number of shared distinct tokens; a query without hits gets the first three documents."""
     def tokens(df, key):
         found = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([a-z0-9_.]+)"), F.lit(1)))
-        return df.select(key, F.explode(found).alias("token"))
+        return df.select(key, F.transform(found, lambda t: F.struct(t.alias("term"), F.lit(1.0).alias("w"))).alias("terms"))
 
-    wanted = tokens(queries, query_key)
-    if wanted.limit(MAX_BROADCAST_POSTINGS + 1).count() <= MAX_BROADCAST_POSTINGS:
-        wanted = F.broadcast(wanted)
-    hits = tokens(docs, doc_key).join(wanted, "token").groupBy(query_key, doc_key).agg(
-        F.count(F.lit(1)).cast("double").alias("score")
-    )
-    w = Window.partitionBy(query_key).orderBy(F.col("score").desc(), doc_key)
-    best = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    best = kept(top_k(tokens(docs, doc_key), tokens(queries, query_key), k, doc_key, query_key), "keyword")
     best = best.select(query_key, doc_key, "score", "rank", F.lit("keyword").alias("source"))
     first = docs.select(doc_key).orderBy(doc_key).limit(3)
     numbered = first.agg(F.sort_array(F.collect_list(doc_key)).alias("ids"))
-    silent = queries.select(query_key).join(hits.select(query_key).distinct(), query_key, "left_anti")
+    silent = queries.select(query_key).join(best.select(query_key).distinct(), query_key, "left_anti")
     fallback = silent.crossJoin(F.broadcast(numbered)).select(
         query_key, F.posexplode("ids").alias("p", doc_key)
     ).select(query_key, doc_key, F.lit(0.0).alias("score"), (F.col("p") + 1).alias("rank"), F.lit("fallback").alias("source"))

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from rivetwatch.operators import retrieval, stats
 
@@ -18,10 +21,37 @@ def test_tfidf_ranks_and_drops_zero_scores(corpus):
     assert all(0 < r["score"] <= 1 + 1e-9 for r in out)
 
 
-def test_tfidf_shuffled_side_gives_the_same(corpus, monkeypatch):
-    want = {(r["query_id"], r["doc_id"], round(r["score"], 9)) for r in retrieval.tfidf_top_k(*corpus).collect()}
-    monkeypatch.setattr(retrieval, "MAX_BROADCAST_POSTINGS", 0)
-    assert want == {(r["query_id"], r["doc_id"], round(r["score"], 9)) for r in retrieval.tfidf_top_k(*corpus).collect()}
+@pytest.mark.parametrize("block,batch", [(1024, 64), (3, 2), (1, 1)])
+def test_blocks_and_batches_give_what_brute_force_gives(spark, monkeypatch, block, batch):
+    monkeypatch.setattr(retrieval, "BLOCK_DOCS", block)
+    monkeypatch.setattr(retrieval, "BATCH_QUERIES", batch)
+    rng = random.Random(block)
+
+    def some(n, whole):
+        return [(f"k{i}", [(f"t{t}", 1.0 if whole else rng.choice((0.25, 0.5, 2.0))) for t in sorted(rng.sample(range(12), rng.randrange(0, 7)))]) for i in range(n)]
+
+    for whole in (True, False):  # whole weights: many equal scores
+        docs, asks = some(40, whole), some(9, whole)
+        ddl = "{} string, terms array<struct<term string, w double>>"
+        got = retrieval.top_k(spark.createDataFrame(docs, ddl.format("d")), spark.createDataFrame(asks, ddl.format("q")), 4, "d", "q")
+        want = set()
+        for q, terms in asks:
+            own = dict(terms)
+            scores = sorted((-sum(w * own.get(t, 0) for t, w in ts), d) for d, ts in docs)
+            want |= {(q, d, -s, i + 1) for i, (s, d) in enumerate(scores[:4]) if s < 0}
+        assert {(r["q"], r["d"], r["score"], r["rank"]) for r in got.collect()} == want
+
+
+def test_no_rows_per_pair(spark, monkeypatch):
+    """A term that every document holds costs one row per block and query, and hopeless blocks aren't scored."""
+    monkeypatch.setattr(retrieval, "BLOCK_DOCS", 50)
+    docs = spark.range(2000).select(F.col("id").alias("d"), F.array(F.struct(F.lit("all").alias("term"), (F.lit(1.0) / (1 + F.pmod(F.xxhash64("id"), F.lit(40)))).alias("w"))).alias("terms"))
+    asks = spark.range(3).select(F.col("id").alias("q"), F.array(F.struct(F.lit("all").alias("term"), F.lit(1.0).alias("w"))).alias("terms"))
+    d, q = docs.withColumn("block", F.pmod(F.xxhash64("d"), F.lit(40))), asks.withColumn("batch", F.lit(0))
+    assert retrieval._bounds(d, q, "q").count() == 3 * 40
+    best = sorted(r["d"] for r in docs.filter("terms[0].w = 1").collect())[:6]
+    got = retrieval.top_k(docs, asks, 6, "d", "q").orderBy("q", "rank").collect()
+    assert [r["d"] for r in got] == best * 3
 
 
 def test_keyword_and_fallback(corpus):
