@@ -157,10 +157,11 @@ def library_pieces(source: str, vocab: Vocabulary):
     library.no_padding()
 
     def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not pieces:
+            return np.empty(0, np.uint32), np.zeros(0, np.int64)
         words = [i for i, p in enumerate(pieces) if p[0] == " " and p[1:].isalpha()]
-        lengths = np.zeros(len(pieces), np.int64)
-        out: dict[int, np.ndarray] = {}
         alone = sorted({*range(len(pieces))} - {*words})
+        order, parts, sizes = [], [], []
         groups = [words[i : i + 512] for i in range(0, len(words), 512)]
         for group, e in zip(groups, library.encode_batch_fast(["".join([pieces[i] for i in g]) for g in groups], add_special_tokens=False)):
             ids = np.array(e.ids, np.uint32)
@@ -168,13 +169,19 @@ def library_pieces(source: str, vocab: Vocabulary):
             if len(marks) != len(group):  # a letter that the library takes for none
                 alone += group
                 continue
-            for i, part in zip(group, np.split(ids, marks[1:])):
-                out[i] = part
-        for i, e in zip(alone, library.encode_batch_fast([pieces[i] for i in alone], add_special_tokens=False)):
-            out[i] = np.array(e.ids, np.uint32)
-        for i, part in out.items():
-            lengths[i] = len(part)
-        return np.concatenate([out[i] for i in range(len(pieces))]) if pieces else np.empty(0, np.uint32), lengths
+            order += group
+            parts.append(ids)
+            sizes.append(np.diff(np.append(marks, len(ids))))
+        each = [e.ids for e in library.encode_batch_fast([pieces[i] for i in alone], add_special_tokens=False)]
+        order += alone
+        parts += [np.array(ids, np.uint32) for ids in each]
+        sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
+        # From the order they were encoded in to the order of the pieces.
+        flat, size = np.concatenate(parts), np.concatenate(sizes)
+        lengths, start = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        lengths[order], start[order] = size, np.cumsum(size) - size
+        ends = np.cumsum(lengths)
+        return flat[np.repeat(start - (ends - lengths), lengths) + np.arange(ends[-1])], lengths
 
     return encode
 
@@ -186,7 +193,7 @@ def _encoder(source: str) -> tuple[Vocabulary, PieceCache]:
     if source not in _CACHE:
         _CACHE.clear()
         vocab = Vocabulary(source)
-        _CACHE[source] = vocab, PieceCache(library_pieces(source, vocab))
+        _CACHE[source] = vocab, PieceCache(library_pieces(source, vocab), most=1 << 19)  # some 80 MB at most
     return _CACHE[source]
 
 
