@@ -24,6 +24,7 @@ from ..functions.columns import Keys, numeric_columns
 from ..session import checkpoint_dir
 
 _LEVELS = 3
+_AXES = 6  # axes cut in one step of the search for neighbouring cells
 
 
 def _name(level: int, key: str) -> Column:
@@ -54,7 +55,7 @@ class _Grid:
             *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]
         ).first()
         x = F.array(*[
-            (F.col(c).cast("double") - F.lit(float(row[f"m{i}"]))) / F.lit(float(row[f"s{i}"] or 1.0)) for i, c in enumerate(cols)
+            (F.col(c).cast("double") - F.lit(float(row[f"m{i}"] or 0.0))) / F.lit(float(row[f"s{i}"] or 1.0)) for i, c in enumerate(cols)
         ])
         fine = self.side / 2**_LEVELS
         # Identical points become one weighted point as early as the map side.
@@ -95,31 +96,40 @@ class _Grid:
     def _neighbours(self) -> DataFrame:
         """Ordered pairs (a, b) of occupied cells whose boxes come within eps; a cell is its own neighbour.
 
-        Found from coarse to fine: pairs of boxes twice as wide are opened only while they come within eps, so any
-        number of columns works and the effort follows the pairs that are near.  ``steps`` counts how far the cells
-        lie apart on the grid.
+        Found by halving, a few axes at a time: both boxes of a pair are cut in two along at most six axes, and
+        only pieces that still come within eps go on.  The descent starts from the one box around everything, so
+        no step makes more than 4,096 pairs of one pair, whatever the number of columns, and the effort follows the
+        pairs that are near.  Axes too short to be cut at a width are passed over.  ``steps`` counts how far the
+        cells lie apart on the grid.
         """
-        widest = self.cells.agg(F.max(F.expr("array_max(transform(c, v -> greatest(v, -v - 1)))"))).first()[0] or 0
-        top = int(widest).bit_length()  # shifted so far, every cell's place is 0 or -1 on each axis
+        ends = self.cells.agg(*[f(F.expr(f"c[{i}]")).alias(f"{n}{i}") for i in range(self.d) for n, f in (("a", F.min), ("z", F.max))]).first()
+        first = [ends[f"a{i}"] or 0 for i in range(self.d)]
+        bits = [((ends[f"z{i}"] or 0) - first[i]).bit_length() for i in range(self.d)]  # shifted so far, an axis has one place
         bounds = [F.array(*[f(F.expr(f"{n}[{i}]")) for i in range(self.d)]).alias(n) for n, f in (("lo", F.min), ("hi", F.max))]
 
-        def place(shift: int) -> Column:
-            return F.expr(f"array_join(transform(c, v -> cast(shiftright(v, {shift}) as string)), ',')")
-
-        coarse = self.cells.groupBy(place(top).alias("id")).agg(*bounds)  # 2^columns boxes at most
-        sides = [coarse.select(F.col("id").alias(s), F.col("lo").alias(f"{s}lo"), F.col("hi").alias(f"{s}hi")) for s in "ab"]
-        front = sides[0].crossJoin(sides[1]).filter(_near(self.d, "a", "b") <= self.eps2)
-        for shift in range(top - 1, -1, -1):
-            kids = self.cells.groupBy(place(shift + 1).alias("parent"), place(shift).alias("id")).agg(*bounds).persist()
-            for s in "ab":
-                own = kids.select(F.col("parent").alias(s), F.col("id").alias(f"{s}id"), F.col("lo").alias(f"{s}lo"), F.col("hi").alias(f"{s}hi"))
-                front = front.drop(f"{s}lo", f"{s}hi").join(own, s).drop(s).withColumnRenamed(f"{s}id", s)
-                front = front.filter(_near(self.d, "a", "b") <= self.eps2)
-            front = front.checkpoint()
-            kids.unpersist()
-        ends = self.cells.select(place(0).alias("at"), F.col("id").alias("cell"), "c")
+        def place(shifts: list[int]) -> Column:
+            return F.concat_ws(",", *[F.expr(f"shiftright(c[{i}] - {first[i]}L, {s})") for i, s in enumerate(shifts)])
+
+        shifts = list(bits)
+        root = self.cells.select(place(shifts).alias("a")).distinct()
+        front = root.withColumn("b", F.col("a"))
+        for shift in range(max(bits) - 1, -1, -1):
+            cut = [i for i in range(self.d) if bits[i] > shift]
+            for at in range(0, len(cut), _AXES):
+                before = place(shifts)
+                for i in cut[at:at + _AXES]:
+                    shifts[i] = shift
+                kids = self.cells.groupBy(before.alias("parent"), place(shifts).alias("id")).agg(*bounds).persist()
+                for s in "ab":
+                    own = kids.select(F.col("parent").alias(s), F.col("id").alias(f"{s}id"), F.col("lo").alias(f"{s}lo"), F.col("hi").alias(f"{s}hi"))
+                    front = front.drop(f"{s}lo", f"{s}hi").join(own, s).drop(s).withColumnRenamed(f"{s}id", s)
+                    if f"{'b' if s == 'a' else 'a'}lo" in front.columns:
+                        front = front.filter(_near(self.d, "a", "b") <= self.eps2)
+                front = (front.select("a", "b") if shifts == [0] * self.d else front).checkpoint()
+                kids.unpersist()
+        names = self.cells.select(place(shifts).alias("at"), F.col("id").alias("cell"), "c")
         for s in "ab":
-            front = front.join(ends.select(F.col("at").alias(s), F.col("cell").alias(f"{s}cell"), F.col("c").alias(f"{s}c")), s).drop(s)
+            front = front.join(names.select(F.col("at").alias(s), F.col("cell").alias(f"{s}cell"), F.col("c").alias(f"{s}c")), s).drop(s)
         steps = F.expr("aggregate(zip_with(ac, bc, (x, y) -> abs(x - y)), 0L, (t, v) -> t + v)").alias("steps")
         return front.select(F.col("acell").alias("a"), F.col("bcell").alias("b"), steps)
 
@@ -161,7 +171,9 @@ def _count_neighbours(g: _Grid, thin: DataFrame) -> DataFrame:
     seen = thin.select("pid", F.lit(0).cast("long").alias("got"), F.lit(False).alias("by_dense"))
     for level in range(_LEVELS + 2):
         near, far = _near(g.d, "a", "b"), _far(g.d, "a", "b")
-        front = front.filter(near <= g.eps2).withColumn("inside", far <= g.eps2).checkpoint()
+        front = front.filter(near <= g.eps2).withColumn("inside", far <= g.eps2)
+        # Bounds are needed again only where a box has to be opened.
+        front = front.withColumns({c: F.when(~F.col("inside"), F.col(c)) for c in ("alo", "ahi", "blo", "bhi")}).checkpoint()
         sure = front.filter("inside").groupBy("pid").agg(F.sum("bw").alias("more"), F.bool_or("dense").alias("touch"))
         seen = seen.join(sure, "pid", "left").select(
             "pid", (F.col("got") + F.coalesce("more", F.lit(0))).alias("got"),
@@ -220,7 +232,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def dbscan(df: DataFrame, cols: list[str], eps: float = 0.8, min_pts: int = 5) -> DataFrame:
-    """One row ``(n_rows, noise_points, clusters)`` for standardised ``cols``, any number of them."""
+    """One row ``(n_rows, noise_points, core_points, clusters)`` for standardised ``cols``, any number of them."""
     if not cols:
         raise ValueError("DBSCAN needs a column")
     checkpoint_dir(df.sparkSession)
@@ -269,8 +281,10 @@ def dbscan(df: DataFrame, cols: list[str], eps: float = 0.8, min_pts: int = 5) -
 
     total = df.na.drop(subset=cols).agg(F.count(F.lit(1)).alias("n_rows"))
     lost = noise.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("noise_points"))
+    heavy = g.cells.filter("dense").select("w").unionByName(judged.filter("core").select("w"))
+    inner = heavy.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("core_points"))
     groups = final.select("label").distinct().agg(F.count(F.lit(1)).alias("clusters"))
-    return total.crossJoin(F.broadcast(lost)).crossJoin(F.broadcast(groups))
+    return total.crossJoin(F.broadcast(lost)).crossJoin(F.broadcast(inner)).crossJoin(F.broadcast(groups))
 
 
 def dbscan_stage(df: DataFrame, keys: Keys = Keys(), eps: float = 0.8, min_pts: int = 5) -> DataFrame:

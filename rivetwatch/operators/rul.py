@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import random
 from dataclasses import dataclass
 
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, functions as F
+from pyspark.util import inheritable_thread_target
 
 from ..constants import CORE_SENSORS, PROXY_NOTE, ROLLING_WINDOW, RUL_SEED
 from ..functions.columns import Keys, sensor_columns
 from ..functions.scalars import is_valid_asset, risk_from_rul
+from .search import Axis, search, winner
 from .series import SeriesProfile, add_windowed, latest_per_asset, rolling_mean, rolling_std, spread_rows, step
 from .whole import add_windowed_whole
 
@@ -177,6 +176,27 @@ def label_predictions(df: DataFrame, keys: Keys = Keys()) -> DataFrame:
 
 
 # ---------------------------------------------------------------- search
+def rul_space(max_trees: int = 250) -> dict:
+    """Settings of random forests and boosted trees that are searched."""
+    return {
+        "RandomForest": {
+            "trees": Axis(min(50, max_trees), max_trees, whole=True), "depth": Axis(3, 20, whole=True), "leaf": Axis(1, 6, whole=True),
+        },
+        "GradientBoosting": {
+            "trees": Axis(min(50, max_trees), min(200, max_trees), whole=True), "depth": Axis(2, 8, whole=True), "rate": Axis(0.01, 0.3, log=True),
+        },
+    }
+
+
+def _regressor(model: str, settings: dict, share: float, seed: int):
+    trees = max(1, round(settings["trees"] * share))
+    if model == "RandomForest":
+        return RandomForestRegressor(
+            numTrees=trees, maxDepth=settings["depth"], minInstancesPerNode=settings["leaf"], seed=seed, maxMemoryInMB=1024,
+        )
+    return GBTRegressor(maxIter=trees, maxDepth=settings["depth"], stepSize=settings["rate"], seed=seed)
+
+
 def tune_rul(
     featured: DataFrame,
     trials: int = 20,
@@ -186,12 +206,18 @@ def tune_rul(
     parallelism: int = 4,
     max_trees: int = 250,
 ) -> dict:
-    """Seeded random search over forests and boosted trees by cross-validated RMSE."""
+    """Best of ``trials`` settings by cross-validated RMSE, with its error on a held-out fifth and all evaluations.
+
+    Proposals and early stopping are those of ``search``; a trial's share of effort is its share of trees.  Folds and
+    the held-out fifth are by row hash, so they don't move with partitioning.
+    """
     if LABEL not in featured.columns:
         raise ValueError(f"target {LABEL!r} not found")
+    spark = featured.sparkSession
     names = feature_names(featured, keys)
+    place = F.xxhash64(keys.id, keys.ts, keys.tie)
     rows = _assemble(featured.filter(F.col(LABEL).isNotNull()), names).select(
-        "features", F.col(LABEL).cast("double").alias("label"), keys.id, keys.ts, keys.tie
+        "features", F.col(LABEL).cast("double").alias("label"), place.alias("place"), keys.id, keys.ts, keys.tie
     )
     rows = spread_rows(rows, keys.id, keys.ts, keys.tie)
     try:
@@ -199,37 +225,38 @@ def tune_rul(
         if n < 30:
             raise ValueError("need at least 30 labelled rows")
         folds = folds or min(5, max(2, n // 20))
-        rng = random.Random(seed)
-        forest, boosted = RandomForestRegressor(seed=seed), GBTRegressor(seed=seed)
-        plans = {"RandomForest": (forest, []), "GradientBoosting": (boosted, [])}
-        for _ in range(trials):
-            if rng.random() < 0.5:
-                plans["RandomForest"][1].append({
-                    forest.numTrees: rng.randint(min(50, max_trees), max_trees),
-                    forest.maxDepth: rng.randint(3, 20),
-                    forest.minInstancesPerNode: rng.randint(1, 6),
-                })
-            else:
-                plans["GradientBoosting"][1].append({
-                    boosted.maxIter: rng.randint(min(50, max_trees), min(200, max_trees)),
-                    boosted.maxDepth: rng.randint(2, 8),
-                    boosted.stepSize: 10 ** rng.uniform(-2, -0.523),
-                })
-        evaluator = RegressionEvaluator(metricName="rmse")
-        best = None
-        for name, (estimator, grid) in plans.items():
-            if not grid:
-                continue
-            cv = CrossValidator(
-                estimator=estimator, estimatorParamMaps=grid, evaluator=evaluator, numFolds=folds,
-                parallelism=parallelism, seed=seed,
-            ).fit(rows)
-            i = min(range(len(grid)), key=lambda j: cv.avgMetrics[j])
-            if best is None or cv.avgMetrics[i] < best["rmse_cv"]:
-                best = {
-                    "best_model": name, "rmse_cv": cv.avgMetrics[i], "trials": trials, "features": names,
-                    "best_params": {p.name: v for p, v in grid[i].items()}, "model": cv.bestModel,
-                }
-        return best
+        fold = F.pmod(F.col("place"), F.lit(folds))
+
+        def error(model: str, settings: dict, share: float) -> float:
+            total = 0.0
+            for k in range(folds):
+                fitted = _regressor(model, settings, share, seed).fit(rows.filter(fold != k))
+                total += regression_metrics(fitted.transform(rows.filter(fold == k)), digits=12)["rmse"]
+            return total / folds
+
+        history = search(
+            rul_space(max_trees), error, trials, seed, side_by_side=parallelism, wrap=inheritable_thread_target(spark)
+        )
+        best = winner(history)
+        part = F.pmod(F.shiftright("place", 8), F.lit(5))
+        model = _regressor(best.model, best.settings, 1.0, seed).fit(rows.filter(part > 0))
+        metrics = regression_metrics(model.transform(rows.filter(part == 0)), digits=4)
+        return {
+            "best_model": best.model, "best_params": best.settings, "rmse_cv": best.loss, "trials": trials, "features": names,
+            "model": model, "history": history, **metrics,
+        }
     finally:
         rows.unpersist()
+
+
+def search_rows(spark, found: dict) -> DataFrame:
+    """One row per evaluation: trial, model, settings, rung, RMSE, and whether it won."""
+    top = winner(found["history"])
+    rows = [
+        (t.number, t.model, t.rung, t.settings["trees"], t.settings["depth"], t.settings.get("leaf"), t.settings.get("rate"),
+         t.loss, t is top)
+        for t in found["history"]
+    ]
+    return spark.createDataFrame(
+        rows, "trial int, model string, rung int, trees int, depth int, leaf int, rate double, rmse_cv double, best boolean"
+    )

@@ -60,6 +60,21 @@ def rul_importance(spark, d):
     return model.importances(spark).limit(10)
 
 
+@query("rul_metrics")
+def rul_metrics(spark, d):
+    _, model = _rul(spark, d)
+    return spark.createDataFrame(
+        [(model.label_source, *[model.metrics[m] for m in ("mae", "rmse", "r2")])], "label_source string, mae double, rmse double, r2 double"
+    )
+
+
+@query("tune_rul")
+def tune_rul(spark, d):
+    """Nine trials with few trees, so that the check stays short; the defaults are 20 trials with up to 250 trees."""
+    featured = rul.rul_features(v.with_life(v.readings(spark, d)))
+    return rul.search_rows(spark, rul.tune_rul(featured, trials=9, folds=2, max_trees=18))
+
+
 # ---------------------------------------------------------------- retrieval
 _WORDS = r"regexp_extract_all(lower(text), '([\p{L}\p{N}_]{2,})', 1)"
 

@@ -198,6 +198,31 @@ def q_dbscan(spark, d):
     return dbscan_stage(_table(spark, d))
 
 
+# Twelve indicators from five sensors; the SQL standardises them as the operator does.
+_INDICATORS = {
+    "temperature": "temperature", "vibration": "vibration", "pressure": "pressure", "rpm": "rpm", "oil_pressure": "oil_pressure",
+    "shake_power": "vibration * vibration", "heat_load": "temperature * vibration", "slip": "pressure - oil_pressure",
+    "specific_heat": "temperature / pressure", "speed_load": "rpm * pressure / 1000", "oil_margin": "oil_pressure / temperature",
+    "shake_per_turn": "vibration * 1000 / rpm",
+}
+
+
+@query("dbscan_twelve_columns", sql("readings",
+    "SELECT count(*) AS n_rows, count(*) FILTER (reach = 0) AS noise_points, count(*) FILTER (core) AS core_points FROM ("
+    "SELECT a.i, any_value(a.core) AS core, count(b.i) FILTER (b.core) AS reach FROM cores a JOIN cores b ON " + " + ".join(
+        f"pow(a.{c} - b.{c}, 2)" for c in _INDICATORS) + " <= 0.64 GROUP BY a.i)",
+    named="SELECT event_id AS i, " + ", ".join(f"{e} AS {c}" for c, e in _INDICATORS.items()) + " FROM readings",
+    z="SELECT i, " + ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}" for c in _INDICATORS) + " FROM named "
+      "WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _INDICATORS),
+    cores="SELECT z.*, n >= 5 AS core FROM z JOIN (SELECT a.i, count(*) AS n FROM z a JOIN z b ON " + " + ".join(
+        f"pow(a.{c} - b.{c}, 2)" for c in _INDICATORS) + " <= 0.64 GROUP BY a.i) USING (i)"))
+def dbscan_twelve_columns(spark, d):
+    from ...operators.density import dbscan
+
+    table = v.readings(spark, d).selectExpr(*[f"{e} AS {c}" for c, e in _INDICATORS.items()])
+    return dbscan(table, list(_INDICATORS)).drop("clusters")
+
+
 @query("q_kmeans")
 def q_kmeans(spark, d):
     return quality.kmeans_stage(_table(spark, d))

@@ -75,6 +75,9 @@ def test_rul_search_picks_a_model(spark, sf):
     featured = rul.rul_features(v.with_life(v.readings(spark, sf)))
     best = rul.tune_rul(featured, trials=2, folds=2, max_trees=5, seed=3)
     assert best["best_model"] in {"RandomForest", "GradientBoosting"} and best["rmse_cv"] > 0
+    assert best["mae"] <= best["rmse"] and best["r2"] <= 1
+    rows = rul.search_rows(spark, best).collect()
+    assert [r["rung"] for r in rows] == [0, 0, 1, 2] and [r["best"] for r in rows] == [False, False, False, True]
     with pytest.raises(ValueError):
         rul.tune_rul(featured.drop("failure_within_days"))
 
@@ -95,10 +98,10 @@ def brute_force(x, eps=0.8, min_pts=5):
                         if core[k]:
                             stack.append(k)
             clusters += 1
-    return int((label < 0).sum()), clusters
+    return int((label < 0).sum()), int(core.sum()), clusters
 
 
-@pytest.mark.parametrize("seed,n,d", [(7, 160, 6), (1, 240, 2), (2, 320, 3), (3, 400, 4)])
+@pytest.mark.parametrize("seed,n,d", [(7, 160, 6), (1, 240, 2), (2, 320, 3), (3, 400, 4), (5, 240, 12)])
 def test_dbscan_equals_brute_force(spark, seed, n, d):
     rng = np.random.default_rng(seed)
     x = np.concatenate([
@@ -107,7 +110,13 @@ def test_dbscan_equals_brute_force(spark, seed, n, d):
     ])
     df = spark.createDataFrame(pd.DataFrame(x, columns=[f"c{i}" for i in range(d)]))
     row = dbscan(df, list(df.columns)).first()
-    assert (row["noise_points"], row["clusters"]) == brute_force(x)
+    assert (row["noise_points"], row["core_points"], row["clusters"]) == brute_force(x)
+
+
+def test_dbscan_of_one_point_and_of_no_row(spark):
+    same = spark.createDataFrame([(1.0, -2.0)] * 7, "a double, b double")
+    assert tuple(dbscan(same, ["a", "b"]).first()) == (7, 0, 7, 1)
+    assert tuple(dbscan(same.filter("a > 5"), ["a", "b"]).first()) == (0, 0, 0, 0)
 
 
 def test_components(spark):
