@@ -70,9 +70,9 @@ def rul_metrics(spark, d):
 
 @query("tune_rul")
 def tune_rul(spark, d):
-    """Nine trials with few trees, so that the check stays short; the defaults are 20 trials with up to 250 trees."""
+    """Six trials with few trees, so that the check stays short; the defaults are 20 trials with up to 250 trees."""
     featured = rul.rul_features(v.with_life(v.readings(spark, d)))
-    return rul.search_rows(spark, rul.tune_rul(featured, trials=9, folds=2, max_trees=18))
+    return rul.search_rows(spark, rul.tune_rul(featured, trials=6, folds=2, max_trees=9))
 
 
 # ---------------------------------------------------------------- retrieval
