@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..constants import CORE_SENSORS
 from ..functions.columns import Keys, numeric_columns
 from ..functions.quantiles import largest_group, quantiles
+from .distinct import distinct_counts
 from .series import salted_lookup
 
 
@@ -32,7 +33,7 @@ def column_profile(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
             aggs += [F.min(c).cast("string").alias(f"{c}__from"), F.max(c).cast("string").alias(f"{c}__to")]
     row = df.agg(*aggs)
     if exact_distinct:
-        row = row.crossJoin(F.broadcast(_distinct_counts(df)))
+        row = row.crossJoin(F.broadcast(distinct_counts(df)))
     if numbers:
         medians = quantiles(df, numbers, [0.5]).select(*[F.col(c)[0].alias(f"{c}__median") for c in numbers])
         row = row.crossJoin(F.broadcast(medians))
@@ -65,16 +66,6 @@ def column_profile(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
     return row.select(F.explode(F.array(*[line(f) for f in fields])).alias("r")).select("r.*")
 
 
-def _distinct_counts(df: DataFrame) -> DataFrame:
-    """Exact distinct values per column: (column, value) pairs are de-duplicated before they are counted."""
-    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in df.columns])
-    pairs = df.select(F.explode(cells).alias("x")).select("x.*").filter(F.col("v").isNotNull()).distinct()
-    per = pairs.groupBy("c").count()
-    return per.agg(
-        *[F.coalesce(F.max(F.when(F.col("c") == c, F.col("count"))), F.lit(0)).alias(f"{c}__distinct") for c in df.columns]
-    )
-
-
 def table_score(profile: DataFrame) -> DataFrame:
     return profile.agg(F.round(F.avg(100 - F.col("null_pct")), 1).alias("quality_score"))
 
