@@ -25,6 +25,15 @@ def _stage(name):
     return run
 
 
+# SQL of the stages that are plain statistics over ``gaps``, for other tables of that shape.
+SQL_STAGES: dict[str, str] = {}
+
+
+def _statistic(name, check, body):
+    SQL_STAGES[check] = body
+    query(name, sql("gaps", body))(_stage(check))
+
+
 def _line(check, status, metric, detail, source):
     return f"SELECT '{check}' AS \"check\", {status} AS status, CAST({metric} AS DOUBLE) AS metric, {detail} AS detail FROM ({source})"
 
@@ -33,61 +42,57 @@ _HITS = "CAST(n AS VARCHAR) || ' hits'"
 _WARN = "CASE WHEN n > 0 THEN 'WARN' ELSE 'PASS' END"
 
 _missing = " + ".join(f'count(*) FILTER ("{c}" IS NULL)' for c in COLUMNS)
-query("q_nulls", sql("gaps", _line(
+_statistic("q_nulls", "NULLS", _line(
     "NULLS", "CASE WHEN s > 0.2 THEN 'FAIL' WHEN s > 0.05 THEN 'WARN' ELSE 'PASS' END", "round(s, 6)",
     "printf('%.2f', s * 100) || '% missing'", f"SELECT ({_missing}) / (count(*) * {len(COLUMNS)}::DOUBLE) AS s FROM gaps",
-)))(_stage("NULLS"))
+))
 
-query("q_constant", sql("gaps", _line(
+_statistic("q_constant", "CONSTANT", _line(
     "CONSTANT", "CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END", "n", "CASE WHEN n > 0 THEN names ELSE 'none' END",
     "SELECT len(l) AS n, array_to_string(l, ', ') AS names FROM (SELECT list_filter(["
     + ", ".join(f"CASE WHEN count(DISTINCT \"{c}\") <= 1 THEN '{c}' END" for c in COLUMNS)
     + "], lambda x: x IS NOT NULL) AS l FROM gaps)",
-)))(_stage("CONSTANT"))
+))
 
 _zero = " + ".join(f"count(*) FILTER ({c} = 0)" for c in NUMBERS)
-query("q_zeros", sql("gaps", _line(
+_statistic("q_zeros", "ZEROS", _line(
     "ZEROS", "CASE WHEN s > 0.3 THEN 'WARN' ELSE 'PASS' END", "round(s, 6)", "printf('%.1f', s * 100) || '% zeros'",
     f"SELECT ({_zero}) / (count(*) * {len(NUMBERS)}::DOUBLE) AS s FROM gaps",
-)))(_stage("ZEROS"))
+))
 
 _z = " + ".join(f"count(*) FILTER (abs({c} - m_{c}) / (s_{c} + 1e-9) > 3)" for c in NUMBERS)
 _zs = ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in NUMBERS)
-query("q_zscore", sql("gaps", _line("Z-SCORE", _WARN, "n", _HITS, f"SELECT {_z} AS n FROM gaps, (SELECT {_zs} FROM gaps)")))(
-    _stage("Z-SCORE")
-)
+_statistic("q_zscore", "Z-SCORE", _line("Z-SCORE", _WARN, "n", _HITS, f"SELECT {_z} AS n FROM gaps, (SELECT {_zs} FROM gaps)"))
 
 _o = " + ".join(f"count(*) FILTER (b_{c} <> a_{c} AND ({c} < a_{c} - 1.5 * (b_{c} - a_{c}) OR {c} > b_{c} + 1.5 * (b_{c} - a_{c})))" for c in NUMBERS)
 _os = ", ".join(f"CAST(quantile_cont({c}, 0.25) AS DOUBLE) AS a_{c}, CAST(quantile_cont({c}, 0.75) AS DOUBLE) AS b_{c}" for c in NUMBERS)
-query("q_iqr", sql("gaps", _line("IQR", _WARN, "n", _HITS, f"SELECT {_o} AS n FROM gaps, (SELECT {_os} FROM gaps)")))(
-    _stage("IQR")
-)
+_statistic("q_iqr", "IQR", _line("IQR", _WARN, "n", _HITS, f"SELECT {_o} AS n FROM gaps, (SELECT {_os} FROM gaps)"))
 
 _JUMPING = (("temperature", "50"), ("vibration", "5"), ("pressure", "30"), ("rpm", "4 * (SELECT stddev_samp(rpm) FROM gaps)"), ("oil_pressure", "30"))
 _steps = ", ".join(f"{c} - lag({c}) OVER ({_SERIES}) AS d_{c}" for c, _ in _JUMPING)
 _counts = ", ".join(f"count(*) FILTER (abs(d_{c}) > {limit}) AS j_{c}" for c, limit in _JUMPING)
 _listed = "array_to_string(list_filter([" + ", ".join(
     f"CASE WHEN j_{c} > 0 THEN '{c}:' || CAST(j_{c} AS VARCHAR) END" for c, _ in _JUMPING) + "], lambda x: x IS NOT NULL), ', ')"
-query("q_jump", sql("gaps", _line(
+_statistic("q_jump", "IMPOSSIBLE JUMP", _line(
     "IMPOSSIBLE JUMP", "CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END", "n", "CASE WHEN n > 0 THEN t ELSE 'none' END",
     f"SELECT {' + '.join(f'j_{c}' for c, _ in _JUMPING)} AS n, {_listed} AS t FROM (SELECT {_counts} FROM (SELECT *, {_steps} FROM gaps))",
-)))(_stage("IMPOSSIBLE JUMP"))
+))
 
 _pairs = (("temperature", "pressure"), ("temperature", "vibration"), ("pressure", "vibration"))
-query("q_correlation", sql("gaps", _line(
+_statistic("q_correlation", "SENSOR CORRELATION", _line(
     "SENSOR CORRELATION", _WARN, "n", "CASE WHEN n > 0 THEN t ELSE 'none' END",
     "SELECT len(l) AS n, array_to_string(l, ', ') AS t FROM (SELECT list_filter(["
     + ", ".join(f"CASE WHEN abs(round(corr({a}, {b}), 3)) < 0.05 THEN '{a}|{b}' END" for a, b in _pairs)
     + "], lambda x: x IS NOT NULL) AS l FROM gaps)",
-)))(_stage("SENSOR CORRELATION"))
+))
 
-query("q_labels", sql("gaps", _line(
+_statistic("q_labels", "DIRTY LABELS", _line(
     "DIRTY LABELS", _WARN, "n",
     "concat_ws('; ', CASE WHEN a > 0 THEN CAST(a AS VARCHAR) || ' failures on calm rows' END, "
     "CASE WHEN b > 0 THEN CAST(b AS VARCHAR) || ' rows without failure shake hard' END)",
     """SELECT a, b, a + b AS n FROM (SELECT count(*) FILTER (failure = 1 AND vibration < q20) AS a, count(*) FILTER (failure = 0 AND vibration > q95) AS b
        FROM gaps, (SELECT quantile_cont(vibration, 0.2) AS q20, quantile_cont(vibration, 0.95) AS q95 FROM gaps))""",
-)))(_stage("DIRTY LABELS"))
+))
 
 
 @query("q_domain", sql("gaps life", _line(
@@ -111,14 +116,12 @@ def q_domain(spark, d):
     return quality.run_stages(v.with_life(_table(spark, d)), ["DOMAIN RULES"])
 
 
-query("q_rowcount", sql("gaps", _line(
+_statistic("q_rowcount", "SCHEMA / ROWCOUNT", _line(
     "SCHEMA / ROWCOUNT", "CASE WHEN n > 0 THEN 'PASS' ELSE 'FAIL' END", "n", f"CAST(n AS VARCHAR) || ' rows × {len(COLUMNS)} cols'",
     "SELECT count(*) AS n FROM gaps",
-)))(_stage("SCHEMA / ROWCOUNT"))
+))
 
-query("q_timestamp", sql("gaps", _line("TIMESTAMP PRESENT", "'PASS'", "least(n, 1)", "'timestamp'", "SELECT count(*) AS n FROM gaps")))(
-    _stage("TIMESTAMP PRESENT")
-)
+_statistic("q_timestamp", "TIMESTAMP PRESENT", _line("TIMESTAMP PRESENT", "'PASS'", "least(n, 1)", "'timestamp'", "SELECT count(*) AS n FROM gaps"))
 
 
 @query("q_duplicates", sql("gaps", _line(

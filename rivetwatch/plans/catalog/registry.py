@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import sensor_view as v
 
-_TOPICS = ("cleaning", "tables", "statistics", "quality", "models", "fleet", "live")
+_TOPICS = ("cleaning", "tables", "statistics", "quality", "models", "fleet", "live", "runs")
 _QUERIES: dict[str, "Query"] = {}
 
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from ..constants import ANOMALY_CONTAMINATION
 from ..functions.columns import Keys
 from ..operators import advisory, clean, driver, fleet, iforest, insights, mapping, physics, quality, rul
 from ..operators.series import SeriesProfile, profile_series
+from ..session import kept
 from ..streaming.payload import flight_log
 
 
@@ -25,11 +25,18 @@ class Bundle(NamedTuple):
 
 
 def clean_and_quality(
-    df: DataFrame, keys: Keys = Keys(), profile: SeriesProfile | None = None, run_quality: bool = True
+    df: DataFrame, keys: Keys = Keys(), profile: SeriesProfile | None = None, run_quality: bool = True,
+    checks: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Cleaned table, kept for the many passes of the report, and the report."""
-    cleaned = clean.clean_sensor_data(df, keys, profile).persist(StorageLevel.MEMORY_AND_DISK)
-    return cleaned, quality.quality_report(cleaned, keys) if run_quality else None
+    """Cleaned table, written once for the many passes of the report, and the report.
+
+    ``checks`` names stages that are plain statistics; the report then has only these, from two passes.
+    """
+    cleaned = kept(clean.clean_sensor_data(df, keys, profile), "cleaned")
+    if not run_quality:
+        return cleaned, None
+    report = quality.run_stages(cleaned, checks, keys) if checks else quality.quality_report(cleaned, keys)
+    return cleaned, report
 
 
 def advice_bundle(
@@ -78,18 +85,18 @@ def run_reliability(
 ) -> Reliability:
     """Map, clean, red-lines, anomaly scores, remaining life, health, advice, brief.
 
-    The cleaned and the scored table are persisted because several branches
-    read each; a lost executor only recomputes its own partitions.
+    The cleaned table and the predictions are written to the shared folder because several branches read each (as the
+    scores are by the forest): nothing is held in memory afterwards, and a lost executor takes no result with it.
     """
     mapped = mapping.apply_mapping(df, mapping.suggest_mapping(df.columns, pack_id))
     mapping.require_detectable(mapped)
     profile = profile_series(mapped, keys)
-    cleaned = clean.clean_sensor_data(mapped, keys, profile).persist(StorageLevel.MEMORY_AND_DISK)
+    cleaned = kept(clean.clean_sensor_data(mapped, keys, profile), "cleaned")
     annotated = physics.apply_physics_rules(cleaned, pack_id)
     forest, scored = iforest.fit_annotate(annotated, contamination=contamination, trees=trees, keys=keys)
     featured = rul.rul_features(scored, keys, profile=profile)
     model = rul.fit_rul(featured, keys, trees=rul_trees)
-    predictions = rul.predict_latest(model, featured, keys).persist(StorageLevel.MEMORY_AND_DISK)
+    predictions = kept(rul.predict_latest(model, featured, keys), "predictions")
     health = fleet.asset_health(scored, predictions, pack_id, keys)
     kpis = fleet.pack_kpis(scored, predictions, pack_id, keys, health, profile.rows)
     bundle = advice_bundle(scored, predictions, health, pack_id, keys=keys)
