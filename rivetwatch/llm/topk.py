@@ -21,31 +21,35 @@ SCALE, EVERY, K = 256, 50, 5
 BLOCK, QUERY_BLOCK, BANDS = 8192, 2048, 64
 AXES_SAMPLE = 4096  # vectors from which the rotation is computed; it has no influence on results
 HEAD_AXES = 0.25  # share of the axes in the partial sum
-MAX_COMPONENT = 1 << 25
+MAX_COMPONENT, LARGE_BLOCK = 1 << 25, 512
 _STEP = 512
 
 
 def prepared(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id, v (floor of scale times each component), norm: rows that can take part.
+    """vec_id, v, norm, large: rows that can take part, ``v`` being the floor of ``scale`` times each component.
 
-    Rows without vec_id, null vectors and vectors with a null, non-finite or (so that products fit a long) scaled
-    component beyond 2^25 take no part.
+    Rows without vec_id, null vectors and vectors with a null or non-finite component (or one that
+    overflows when scaled) take no part.  Where a scaled
+    component reaches 2^25, so that products might not fit, ``v`` is null and ``large`` holds the whole numbers as doubles.
     """
-    scaled = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    plain = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < MAX_COMPONENT / scale))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & plain)
-    rows = rows.select("vec_id", scaled.cast("array<int>").alias("v"))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(scale * x.cast("double")) < float("inf")))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
+    fits = F.forall("embedding", lambda x: F.abs(x.cast("double")) < MAX_COMPONENT / scale)
+    # From 2^52 on every double is whole, and ``floor`` would leave the range of a long.
+    whole = F.transform("embedding", lambda x: F.when(F.abs(scale * x.cast("double")) < 2.0**52, F.floor(scale * x.cast("double")).cast("double")).otherwise(scale * x.cast("double")))
+    small = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).cast("array<int>")
+    rows = rows.select("vec_id", F.when(fits, small).alias("v"), F.when(~fits, whole).alias("large"))
     return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x.cast("long") * x.cast("long")).cast("double")))
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    """Rows of a list column as int64, with zeros up to ``width``."""
+def _matrix(column: pa.ChunkedArray, width: int, kind: type = np.int64) -> np.ndarray:
+    """Rows of a list column as ``kind``, with zeros up to ``width``."""
     values = column.combine_chunks()
     offsets, flat = np.asarray(values.offsets), np.asarray(values.values)
     lengths = np.diff(offsets)
     if len(lengths) and (lengths == width).all():
-        return flat[offsets[0] : offsets[-1]].reshape(-1, width).astype(np.int64)
-    out = np.zeros((len(lengths), width), np.int64)
+        return flat[offsets[0] : offsets[-1]].reshape(-1, width).astype(kind)
+    out = np.zeros((len(lengths), width), kind)
     for i, (a, n) in enumerate(zip(offsets[:-1].tolist(), lengths.tolist())):
         out[i, :n] = flat[a : a + n]
     return out
@@ -111,6 +115,32 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndar
     return best
 
 
+def exact_best(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(row of ``q``, id, score) of the k best, for whole numbers of any size held as doubles.
+
+    Products in floating point, with their error bound, choose; Python's integers decide.  A score beyond a long counts
+    as the nearest long.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        near = q @ c.T
+        slack = (c.shape[1] + 2) * 2.0**-51 * (np.abs(q) @ np.abs(c).T)
+        low, high = np.clip(near - slack, -(2.0**63), 2.0**63), np.clip(near + slack, -(2.0**63), 2.0**63)
+    unsure = ~(np.isfinite(near) & np.isfinite(slack))
+    low[unsure], high[unsure] = -(2.0**63), 2.0**63
+    other = q_ids[:, None] != c_ids[None]
+    low[~other] = -(2.0**63)
+    out = []
+    for i in range(len(q)):
+        floor = np.partition(low[i], -k)[-k] if len(c) >= k else -(2.0**63)
+        left = [int(x) for x in q[i]]
+        scores = []
+        for j in np.flatnonzero(other[i] & (high[i] >= floor)).tolist():
+            s = sum(a * int(b) for a, b in zip(left, c[j].tolist()))
+            scores.append((-min(max(s, -(1 << 63)), (1 << 63) - 1), int(c_ids[j])))
+        out += [(i, vec, -s) for s, vec in sorted(scores)[:k]]
+    return out
+
+
 def _axes(vectors: DataFrame, width: int) -> np.ndarray:
     """Main axes of a bounded sample of the vectors, strongest first."""
     rows = vectors.select("v").orderBy(F.xxhash64("vec_id", "v")).limit(AXES_SAMPLE).toArrow()
@@ -127,14 +157,67 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, scale: int = SCALE
 
     Candidates are all rows with another vec_id; ties go to the smaller vec_id; fewer candidates give fewer rows.
     Repeated query rows are answered each, repeated candidates count each; vectors of unequal length are taken as
-    padded with zeros; see ``prepared`` for rows that take no part.
+    padded with zeros; a score beyond a long counts as the nearest long; see ``prepared`` for rows that take no part.
     """
-    rows = stored(prepared(vectors, scale), "vectors")
-    n, queries, width = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("vec_id") % every == 0, 1)), F.max(F.size("v"))).first()
-    spark = vectors.sparkSession
+    every_row = stored(prepared(vectors, scale), "vectors")
+    is_large = F.col("large").isNotNull()
+    asks = F.col("vec_id") % every == 0
+    width, queries, n, n_large = every_row.agg(
+        F.max(F.greatest(F.size("v"), F.size("large"))), F.count_if(asks & ~is_large), F.count(F.lit(1)), F.count_if(is_large)).first()
+    width = max(1, width or 1)
+    rows = every_row.filter(~is_large).drop("large")
+    best = Window.partitionBy("qb", "pos").orderBy(F.col("score").desc(), "vec_id")
+    found, asked = _among_small(rows, every, k, queries, width)
+    if n_large:
+        found = found.unionByName(_with_large(every_row, asked, every, k, n, n_large, max(1, -(-queries // QUERY_BLOCK)), width))
+    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def _with_large(every_row: DataFrame, asked: DataFrame, every: int, k: int, n: int, n_large: int, q_blocks: int, width: int) -> DataFrame:
+    """Best candidates of pairs in which a vector has large components: those of the small queries among the large vectors,
+    and those of the large queries among all.  Blocks of queries meet blocks of candidates; large vectors are few as a rule."""
+    parts, q_parts = max(1, -(-n_large // LARGE_BLOCK)), max(1, -(-n // BLOCK))
+    as_double = F.coalesce("large", F.col("v").cast("array<double>")).alias("x")
+    spread = F.pmod(F.xxhash64("vec_id", "large", F.lit(7)), F.lit(parts)).cast("int")
+
+    def numbers(n: int, first: int = 0):
+        return F.explode(F.sequence(F.lit(first), F.lit(first + n - 1)))
+
+    def search(_key, left: pa.Table, right: pa.Table) -> pa.Table:
+        names, kinds = ("qb", "pos", "query_id", "vec_id", "score"), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        found = []
+        if left.num_rows and right.num_rows:
+            q, c = _matrix(left["x"], width, float), _matrix(right["x"], width, float)
+            ids = left["query_id"].to_numpy()
+            for at in range(0, len(q), LARGE_BLOCK):
+                part = slice(at, at + LARGE_BLOCK)
+                found += [(at + i, vec, s) for i, vec, s in exact_best(q[part], ids[part], c, right["vec_id"].to_numpy(), k)]
+        row = np.array([f[0] for f in found], np.int64)
+        columns = [left[name].to_numpy()[row] for name in names[:3]] + [[f[1] for f in found], [f[2] for f in found]]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=list(names))
+
+    large = every_row.filter(F.col("large").isNotNull())
+    # Large queries are numbered behind the blocks of small ones.
+    place = Window.partitionBy("qb").orderBy("vec_id", F.xxhash64("large"))
+    of_large = large.filter(F.col("vec_id") % every == 0).withColumn("qb", spread + F.lit(q_blocks))
+    of_large = of_large.select("qb", (F.row_number().over(place) - 1).alias("pos"), F.col("vec_id").alias("query_id"), as_double)
+    all_parts = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(q_parts)).cast("int")
+    pairs = [
+        (asked.select("qb", "pos", "query_id", F.col("v").cast("array<double>").alias("x"), numbers(parts).alias("part")),
+         large.select(spread.alias("part"), "vec_id", as_double, numbers(q_blocks).alias("qb"))),
+        (of_large.select("*", numbers(q_parts).alias("part")),
+         every_row.select(all_parts.alias("part"), "vec_id", as_double, numbers(parts, q_blocks).alias("qb"))),
+    ]
+    first, second = (q.groupBy("qb", "part").cogroup(c.groupBy("qb", "part")).applyInArrow(search, _FOUND) for q, c in pairs)
+    return first.unionByName(second)
+
+
+def _among_small(rows: DataFrame, every: int, k: int, queries: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``_FOUND`` with every query's k best, and the table of queries, of vectors without large components."""
+    spark = rows.sparkSession
     if not queries:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    width = max(1, width)
+        return spark.createDataFrame([], _FOUND), spark.createDataFrame([], "qb int, pos int, query_id long, v array<int>")
     q_blocks = max(1, -(-queries // QUERY_BLOCK))
     cuts = rows.agg(F.percentile_approx("norm", [i / BANDS for i in range(1, BANDS)], 10_000)).first()[0] or []
     cuts = sorted({float(c) for c in cuts}, reverse=True)
@@ -191,8 +274,7 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, scale: int = SCALE
         deal = F.when(F.col("band") == b, F.array(*map(F.lit, blocks)) if blocks else F.lit(None).cast("array<int>")).otherwise(deal)
     copies = candidates.select("band", "part", "vec_id", "v", F.explode(deal).alias("qb"))
     found = pairs(sent.select("qb", "band", "part", "pos", "query_id", "v", "floor"), copies, ["qb", "band", "part"])
-    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return found, asked
 
 
 SQL = """

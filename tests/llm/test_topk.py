@@ -62,3 +62,20 @@ def test_odd_rows(spark, monkeypatch):
     assert sorted(map(tuple, top_k(few).collect())) == brute([r for r in rows if r[0] in (0, 7)])
     assert top_k(df.limit(0)).collect() == [] and top_k(df.filter("vec_id = 5")).collect() == []
     assert top_k(df.filter("vec_id = 0")).collect() == []
+
+
+def test_large_components_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 40)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "LARGE_BLOCK", 4)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=4) * 3]) for i in range(150)]
+    rows += [(i, [float(np.float32(x)) for x in rng.normal(size=4) * 200_000]) for i in (200, 201, 202, 250, 251, 300)]
+    rows += [(400, [200_000.0, 0.0, 0.5, -131_072.0]), (401, [131_072.0, 0.0, 0.0, 0.0]), (402, [131_071.0, 1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, top_k(df).collect())) == brute(rows)
+    # Only large queries, and scores beyond a long, which are equal and go by id.
+    huge = [(50, [3e30]), (7, [2e30]), (8, [4e30]), (9, [-4e30]), (10, [1.0])]
+    got = top_k(spark.createDataFrame(huge, "vec_id long, embedding array<float>")).collect()
+    most = (1 << 63) - 1
+    assert [(r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(1, 7, most), (2, 8, most), (3, 10, most), (4, 9, -most - 1)]
