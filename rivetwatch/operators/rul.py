@@ -17,6 +17,9 @@ from .series import SeriesProfile, add_windowed, latest_per_asset, rolling_mean,
 from .whole import add_windowed_whole
 
 LABEL = "failure_within_days"
+# Histograms that one task of a forest holds at a time.  Each core of an executor holds as many and their serialised copies:
+# with four cores this is half a gigabyte.  A forest whose levels need more takes more passes and comes out the same.
+HISTOGRAM_MB = 128
 
 
 def rul_features(
@@ -102,8 +105,7 @@ def fit_rul(
     try:
         forest = RandomForestRegressor(
             numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=seed, subsamplingRate=1.0,
-            # Room for the histograms of a whole level of all trees: one pass per level instead of many.
-            maxMemoryInMB=1024,
+            maxMemoryInMB=HISTOGRAM_MB,
         )
         model = forest.fit(rows.filter("part > 0"))
         metrics = regression_metrics(model.transform(rows.filter("part = 0")))
@@ -192,7 +194,7 @@ def _regressor(model: str, settings: dict, share: float, seed: int):
     trees = max(1, round(settings["trees"] * share))
     if model == "RandomForest":
         return RandomForestRegressor(
-            numTrees=trees, maxDepth=settings["depth"], minInstancesPerNode=settings["leaf"], seed=seed, maxMemoryInMB=1024,
+            numTrees=trees, maxDepth=settings["depth"], minInstancesPerNode=settings["leaf"], seed=seed, maxMemoryInMB=HISTOGRAM_MB,
         )
     return GBTRegressor(maxIter=trees, maxDepth=settings["depth"], stepSize=settings["rate"], seed=seed)
 

@@ -167,3 +167,17 @@ def test_planted_quality_faults(spark):
     assert "flat" in out["CONSTANT"]["detail"] and out["CONSTANT"]["status"] == "FAIL"
     assert out["IMPOSSIBLE JUMP"]["metric"] == 2 and out["IMPOSSIBLE JUMP"]["status"] == "FAIL"
     assert "1 hot rows without vibration" in out["DOMAIN RULES"]["detail"]
+
+
+def test_forest_histograms_leave_room_in_an_executor(spark, sf, monkeypatch):
+    """Four tasks hold their histograms at once in some 6 GB of heap; less room takes more passes and gives the same forest."""
+    made, plain = [], rul.RandomForestRegressor
+    monkeypatch.setattr(rul, "RandomForestRegressor", lambda **o: made.append(plain(**o)) or made[-1])
+    featured = rul.rul_features(v.with_life(v.readings(spark, sf)))
+    small = rul.fit_rul(featured, trees=3, depth=6)
+    assert 4 * made[0].getMaxMemoryInMB() <= 1024
+    assert 4 * rul._regressor("RandomForest", {"trees": 9, "depth": 20, "leaf": 1}, 1.0, 1).getMaxMemoryInMB() <= 1024
+    monkeypatch.setattr(rul, "HISTOGRAM_MB", 1)
+    tight = rul.fit_rul(featured, trees=3, depth=6)
+    assert tight.metrics == small.metrics
+    assert np.allclose(tight.model.featureImportances.toArray(), small.model.featureImportances.toArray())
