@@ -2,20 +2,23 @@
 
 ``percentile`` keeps one value->count map per group in one task.  That is fine
 up to a checked group size and is used there.  Beyond it the wanted ranks are
-bracketed first (sketch, then one equal-width pass), and only the rows inside
-the bracket are counted by value.  The result is the same exact number.
+bracketed by a sketch first, and only the rows inside the brackets (some
+0.06 % of them, or copies of a few values) are counted by value.  The result
+is the same exact number.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Largest group that may be handled by one ``percentile`` map.
 MAX_GROUP_ROWS = 2_000_000
 _ACCURACY = 10_000
-_BINS = 4096
 
 
 def quantiles(
@@ -47,7 +50,7 @@ def largest_group(df: DataFrame, by: list[str]) -> int:
 
 
 def _bracketed(df: DataFrame, cols: list[str], probs: list[float], by: list[str]) -> DataFrame:
-    """Long form (group, column, prob) through two narrowing passes, then back to wide."""
+    """Two passes over ``df``: a sketch brackets each wanted rank, then one aggregate counts what lies in the brackets."""
     margin = 2.0 / _ACCURACY
     edges = sorted({e for p in probs for e in (max(p - margin, 0.0), min(p + margin, 1.0))})
     at = {e: i for i, e in enumerate(edges)}
@@ -64,20 +67,19 @@ def _bracketed(df: DataFrame, cols: list[str], probs: list[float], by: list[str]
             for c in cols
         ]
     )
-    wanted = [
-        F.struct(
-            F.lit(c).alias("col"),
-            F.lit(float(p)).alias("p"),
-            (F.lit(float(p)) * (F.col(c)["n"] - 1)).alias("rank"),
-            _edge(c, "lo", None if p <= margin else at[max(p - margin, 0.0)]).alias("lo"),
-            _edge(c, "hi", None if p >= 1 - margin else at[min(p + margin, 1.0)]).alias("hi"),
-        )
-        for c in cols
-        for p in probs
-    ]
-    brackets = bounds.select(*by, F.explode(F.array(*wanted)).alias("b")).select(*by, "b.*")
-    brackets = _narrow(df, cols, probs, brackets, by)
-    return _pick(df, cols, probs, brackets, by)
+    wanted = [(c, p) for c in cols for p in probs]
+    brackets = bounds.select(
+        *by,
+        *[_edge(c, "lo", None if p <= margin else at[max(p - margin, 0.0)]).alias(f"__lo{i}") for i, (c, p) in enumerate(wanted)],
+        *[_edge(c, "hi", None if p >= 1 - margin else at[min(p + margin, 1.0)]).alias(f"__hi{i}") for i, (c, p) in enumerate(wanted)],
+    )
+    if by:
+        return _pick(_counted(df, cols, wanted, brackets, by), cols, probs, wanted, by)
+    ends = brackets.first()
+    reach = [(cols.index(c), ends[f"__lo{i}"], ends[f"__hi{i}"]) for i, (c, _) in enumerate(wanted)]
+    picked = _pick(_counted_whole(df, cols, reach), cols, probs, wanted, by)
+    # One row, looked up by every later pass: without this each of them would run both passes again.
+    return df.sparkSession.createDataFrame([picked.first()], picked.schema)
 
 
 def _edge(c: str, side: str, index: int | None):
@@ -88,102 +90,95 @@ def _edge(c: str, side: str, index: int | None):
     return F.when(F.col(c)["n"] < 2 * _ACCURACY, outer).otherwise(F.col(c)["e"][index].cast("double"))
 
 
-def _against(df: DataFrame, cols, probs, brackets: DataFrame, by):
-    """Rows next to their group's brackets, as one array column ``bs``.
-
-    A fleet-wide bracket table is one row.  Otherwise the join is on the group
-    key alone and rows of a hot group are spread by a salt.
+def _counted_whole(df: DataFrame, cols, reach: list[tuple[int, float | None, float | None]]) -> DataFrame:
+    """What ``_counted`` gives, of a whole table: each batch of rows sends the values inside the brackets and its counts."""
+
+    def count(batches):
+        for batch in batches:
+            values = [column.drop_null().to_numpy(zero_copy_only=False) for column in batch.columns]
+            i, v, n, known = [], [], [], []
+            for at, (j, lo, hi) in enumerate(reach):
+                x = values[j]
+                if lo is None or not len(x):
+                    continue
+                # As Spark orders them: NaN lies above all numbers and equals itself.
+                below = ~np.isnan(x) if math.isnan(lo) else x < lo
+                inside, times = np.unique(x[~below & ((x <= hi) | math.isnan(hi))], return_counts=True)
+                i.append(np.full(len(inside) + 1, at, dtype="int32"))
+                v.append(pa.array(np.append(inside, 0.0), mask=np.arange(len(inside) + 1) == len(inside)))
+                n.append(np.append(times, below.sum()).astype("int64"))
+                known.append(np.append(np.zeros(len(inside), dtype="int64"), len(x)))
+            if i:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(i)), pa.concat_arrays(v), pa.array(np.concatenate(n)), pa.array(np.concatenate(known))],
+                    names=["i", "v", "n", "known"],
+                )
+
+    rows = df.select(*[F.col(c).cast("double").alias(f"__v{j}") for j, c in enumerate(cols)])
+    counts = rows.mapInArrow(count, "i int, v double, n long, known long")
+    return counts.groupBy("i", "v").agg(F.sum("n").alias("n"), F.sum("known").alias("known"))
+
+
+def _against(df: DataFrame, cols, brackets: DataFrame, by):
+    """Rows, their columns as ``__v0``, ``__v1``, .., next to their group's brackets.
+
+    The join is on the group key alone; rows of a hot group are spread by a salt.
     """
-    packed = brackets.groupBy(*by).agg(F.collect_list(F.struct("col", "p", "rank", "lo", "hi")).alias("bs"))
-    rows = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
-    if not by:
-        return rows.crossJoin(F.broadcast(packed))
+    rows = df.select(*by, *[F.col(c).cast("double").alias(f"__v{j}") for j, c in enumerate(cols)])
     salts = 64
-    spread = packed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int"))
+    spread = brackets.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*[f"__v{j}" for j in range(len(cols))]), F.lit(salts)).cast("int"))
     return salted.join(spread, [*by, "__salt"]).drop("__salt")
 
 
-def _value_of(cols):
-    return lambda name: reduce(lambda acc, c: F.when(name == c, F.col(c)).otherwise(acc), cols, F.lit(None).cast("double"))
-
-
-def _narrow(df, cols, probs, brackets, by):
-    """Count per equal-width bin inside each bracket and keep the bins that hold the rank."""
-    value = _value_of(cols)
-    tagged = _against(df, cols, probs, brackets, by).select(
-        *by,
-        F.explode(
-            F.transform(
-                "bs",
-                lambda b: F.struct(
-                    b["col"].alias("col"),
-                    b["p"].alias("p"),
-                    b["rank"].alias("rank"),
-                    F.when(value(b["col"]) < b["lo"], F.lit(-1))
-                    .when(value(b["col"]) > b["hi"], F.lit(None))
-                    .when(b["hi"] == b["lo"], F.lit(0))
-                    .otherwise(
-                        F.least(
-                            F.lit(_BINS - 1),
-                            F.floor((value(b["col"]) - b["lo"]) / (b["hi"] - b["lo"]) * _BINS).cast("int"),
-                        )
-                    )
-                    .alias("bin"),
-                    value(b["col"]).alias("v"),
-                ),
-            )
-        ).alias("t"),
-    )
-    counts = (
-        tagged.select(*by, "t.*")
-        .filter(F.col("bin").isNotNull() & F.col("v").isNotNull())
-        .groupBy(*by, "col", "p", "rank", "bin")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    )
-    w = Window.partitionBy(*by, "col", "p", "rank").orderBy("bin")
-    upto = counts.withColumn("upto", F.sum("n").over(w))
-    first, last = F.floor("rank"), F.ceil("rank")
-    holds = (F.col("upto") > first) & (F.col("upto") - F.col("n") <= last) & (F.col("bin") >= 0)
-    return (
-        upto.filter(holds)
-        .groupBy(*by, "col", "p", "rank")
-        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    )
-
+def _counted(df, cols, wanted, brackets, by):
+    """(group, i, v, n, known) of the i-th wanted quantile: values of its bracket with their numbers of rows.
 
-def _pick(df, cols, probs, brackets, by):
-    """Exact value counts inside the final bracket, plus the count below it."""
-    value = _value_of(cols)
-    rows = _against(df, cols, probs, brackets, by).select(
-        *by,
-        F.explode(
-            F.filter(
-                F.transform(
-                    "bs",
-                    lambda b: F.struct(
-                        b["col"].alias("col"),
-                        b["p"].alias("p"),
-                        b["rank"].alias("rank"),
-                        F.when(value(b["col"]) >= b["lo"], value(b["col"])).alias("v"),
-                        (value(b["col"]) <= b["hi"]).alias("keep"),
-                    ),
-                ),
-                lambda s: s["keep"],
-            )
-        ).alias("t"),
+    The line with NULL for ``v`` holds the number of rows below the bracket and of known values.  A row outside all
+    brackets, as most are, costs its comparisons only; nothing is made or moved for it.
+    """
+    value = {c: F.col(f"__v{j}") for j, c in enumerate(cols)}
+    hits = [value[c].between(F.col(f"__lo{i}"), F.col(f"__hi{i}")) for i, (c, _) in enumerate(wanted)]
+    none = F.lit(None).cast("struct<i:int,v:double>")
+    made = [F.when(hit, F.struct(F.lit(i).alias("i"), value[c].alias("v"))) for i, (hit, (c, _)) in enumerate(zip(hits, wanted))]
+    some = reduce(Column.__or__, [F.coalesce(hit, F.lit(False)) for hit in hits])
+    # Place 0 stands for the row itself, the others for its brackets.
+    cells = F.when(some, F.array(none, *made)).otherwise(F.array(none))
+    tagged = _against(df, cols, brackets, by).select(
+        *by, *[value[c].isNotNull().alias(f"__known{j}") for j, c in enumerate(cols)],
+        *[(value[c] < F.col(f"__lo{i}")).alias(f"__below{i}") for i, (c, _) in enumerate(wanted)],
+        F.posexplode(cells).alias("__at", "__x"),
+    ).filter((F.col("__at") == 0) | F.col("__x").isNotNull())
+    itself = F.col("__at") == 0
+    grouped = tagged.groupBy(*by, F.col("__x.i").alias("i"), F.col("__x.v").alias("v")).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(itself & F.col(f"__known{j}")).alias(f"__known{j}") for j in range(len(cols))],
+        *[F.count_if(itself & F.col(f"__below{i}")).alias(f"__below{i}") for i in range(len(wanted))],
     )
-    # Every value below the bracket falls in one NULL group, so it costs one counter.
-    counts = rows.select(*by, "t.*").groupBy(*by, "col", "p", "rank", "v").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*by, "col", "p", "rank").orderBy(F.col("v").asc_nulls_first())
-    upto = counts.withColumn("upto", F.sum("n").over(w)).filter(F.col("v").isNotNull())
+    line = F.struct(F.col("i"), F.col("v"), F.col("n"), F.lit(0).cast("long").alias("known"))
+    lines = [F.when(F.col("i").isNotNull(), line)]
+    for i, (c, _) in enumerate(wanted):
+        known = F.col(f"__known{cols.index(c)}")
+        lines.append(F.when(known > 0, F.struct(
+            F.lit(i).alias("i"), F.lit(None).cast("double").alias("v"), F.col(f"__below{i}").alias("n"), known.alias("known"))))
+    long = grouped.select(*by, F.explode(F.array_compact(F.array(*lines))).alias("__l")).select(*by, "__l.*")
+    return long.groupBy(*by, "i", "v").agg(F.sum("n").alias("n"), F.sum("known").alias("known"))
+
+
+def _pick(counts: DataFrame, cols, probs, wanted, by):
+    """The values at the wanted ranks, interpolated; back to one array per column."""
+    each = Window.partitionBy(*by, "i")
+    chance = F.element_at(F.array(*[F.lit(float(p)) for _, p in wanted]), F.col("i") + 1)
+    upto = counts.withColumns({
+        "upto": F.sum("n").over(each.orderBy(F.col("v").asc_nulls_first())), "rank": chance * (F.sum("known").over(each) - 1),
+    }).filter(F.col("v").isNotNull())
     low = F.min(F.when(F.col("upto") > F.floor("rank"), F.col("v")))
     high = F.min(F.when(F.col("upto") > F.ceil("rank"), F.col("v")))
     share = F.col("rank") - F.floor("rank")
-    picked = upto.groupBy(*by, "col", "p", "rank").agg(low.alias("a"), high.alias("b"))
-    picked = picked.select(*by, "col", "p", (F.col("a") + (F.col("b") - F.col("a")) * share).alias("q"))
+    picked = upto.groupBy(*by, "i", "rank").agg(low.alias("a"), high.alias("b"))
+    picked = picked.select(*by, "i", (F.col("a") + (F.col("b") - F.col("a")) * share).alias("q"))
 
     def cell(c, p):
-        return F.max(F.when((F.col("col") == c) & (F.col("p") == float(p)), F.col("q")))
+        return F.max(F.when(F.col("i") == wanted.index((c, p)), F.col("q")))
 
     return picked.groupBy(*by).agg(*[F.array(*[cell(c, p) for p in probs]).alias(c) for c in cols])

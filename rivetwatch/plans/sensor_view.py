@@ -31,9 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def readings(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """Clean sensor readings: one row per event; ``spread`` is for CPU-heavy work on few files."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.col("__k")
     events = table(spark, sf_dir, "events")
-    return (spread_input(events) if spread else events).select(
+    # A column of its own: three sensors come from it, and a text is parsed once a row.
+    parsed = (spread_input(events) if spread else events).withColumn("__k", F.get_json_object("props", "$.k").cast("int"))
+    return parsed.select(
         "event_id",
         F.concat(F.lit("M-"), F.lpad(F.col("user_id").cast("string"), 4, "0")).alias("machine_id"),
         F.col("ts").cast("timestamp").alias("timestamp"),

@@ -122,3 +122,13 @@ def test_only_hot_assets_are_cut(spark):
     gaps = df.withColumn("x", F.when(F.col("event_id") % 7 == 0, F.col("x")))
     filled = [{r.event_id: r.x for r in series.forward_fill(gaps, ["x"], profile=p).collect()} for p in (profile, PLAIN)]
     assert filled[0] == filled[1]
+
+
+def test_bracket_quantiles_of_a_whole_table_are_looked_up_not_run_again(spark):
+    x = F.when(F.col("id") != 59_999, (F.col("id") * 7919 % 60_000).cast("double"))
+    df = spark.range(60_000).select(x.alias("x"), (F.col("id") % 3).cast("double").alias("y"), F.lit(None).cast("double").alias("z"))
+    probs = [0.0, 0.2, 0.25, 0.5, 0.75, 0.95, 1.0]
+    got = quantiles(df, ["x", "y"], probs, method="bracket")
+    assert "Range" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.collect() == quantiles(df, ["x", "y"], probs, method="direct").collect()
+    assert quantiles(df, ["z"], [0.25, 0.5], method="bracket").first()["z"] == [None, None]
