@@ -155,7 +155,12 @@ def clean_wide(df: DataFrame, rows: int | None = None) -> DataFrame:
     out = fuse_sentinels(drop_duplicate_rows(named))
     sensors = [c for c in ALL_SENSORS if c in out.columns]
     out = coerce_sensors(out, extra=(), sensors=ALL_SENSORS)
-    return winsorize(median_fill(out, sensors, rows), sensors, True, rows) if sensors else out
+    if not sensors:
+        return out
+    # Every quantile and the result read the rows without copies: they are written once, copies are looked for once.
+    out = kept(out, "wide")
+    rows = out.count() if rows is None else rows
+    return winsorize(median_fill(out, sensors, rows), sensors, True, rows)
 
 
 # ---------------------------------------------------------------- imputation

@@ -135,3 +135,11 @@ def test_pack_suggestion(spark, columns, ids, pack):
 def test_find_col_does_not_confuse_labels():
     assert find_col(["failure_within_days", "physics_fault"], "failure", "fault") is None
     assert find_col(["Temp_C"], "temperature", "temp") == "Temp_C"
+
+
+def test_clean_wide_looks_for_copies_once(spark, tmp_path):
+    rows = [(i % 40, float(i % 40), None if i % 40 == 7 else float(i % 5)) for i in range(80)]
+    spark.createDataFrame(rows, "event_id long, vibration double, oil_pressure double").write.parquet(f"{tmp_path}/given")
+    out = clean.clean_wide(spark.read.parquet(f"{tmp_path}/given"))
+    assert out.count() == 40 and out.filter("oil_pressure IS NULL").isEmpty()
+    assert not any("/given/" in f for f in out.inputFiles())
