@@ -1,34 +1,37 @@
-"""DBSCAN over a whole table, without ever forming all pairs of a crowded region.
-
-Points are standardised and put on a grid whose cells have diagonal ``eps``:
-``min_pts`` points in one cell make all of them core points with no pair work.
-Questions that remain ("does this sparse point see five others?", "do these
-two dense cells touch?") are asked of boxes, coarse to fine.  A box wholly
-inside the radius counts at once, one wholly outside is dropped, and only
-boxes cut by the radius are opened.  Boxes carry tight bounds, so a box with
-one distinct point is that point, and the answer is exact.
-
-Rows are read to fill the finest boxes (combined before the shuffle) and to
-look up the points of sparse cells and of the few boxes that stay open to the
-end.  Everything else works on boxes, whose number depends on the spread of
-the data and not on the number of rows.
+"""DBSCAN over a whole table, block against block.
+
+Points are standardised, copies become one weighted point, and the points are
+cut into compact blocks: first into regions by medians of a hashed sample (it
+only places the cuts), then inside a region by exact medians, until a block
+has at most ``BLOCK`` points or lies within ``eps`` as a whole.  So where data
+are dense, the number of blocks follows their spread and not the number of
+rows.  A block settles most questions by itself.  What it leaves open
+is asked of the blocks whose boxes come within ``eps``: sparse points look for
+more neighbours, points that aren't core for a core point, and parts of blocks
+for other parts to join.  Only such points travel, packed by block, and pairs
+of blocks meet by pairs of regions, so no step makes a row per pair of points.
+
+Parts ask their nearest parts first; parts already in one cluster never meet.
+Distances come from matrix products; those too close to ``eps`` to tell are
+taken again from the differences, so the answer is exact.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import Keys, numeric_columns
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, kept
 
-_LEVELS = 3
-_AXES = 6  # axes cut in one step of the search for neighbouring cells
-
-
-def _name(level: int, key: str) -> Column:
-    return F.concat(F.lit(f"{level}:"), F.expr(f"array_join(transform({key}, v -> cast(v as string)), ',')"))
+BLOCK, _SLICE = 512, 4096  # points compared at once
+REGION = 8192  # points of a region as the sample foresees them
+_REGIONS, _SAMPLE = 8192, 32  # most regions, sampled points for each
+_NODE = 1 << 32  # points of a region stay below
+_NEAREST = 8  # parts that a part meets in the first round
 
 
 def _near(d: int, a: str, b: str) -> Column:
@@ -45,176 +48,282 @@ def _far(d: int, a: str, b: str) -> Column:
     ))
 
 
-class _Grid:
-    """Standardised points, their boxes on every level, and which cells are neighbours."""
-
-    def __init__(self, df: DataFrame, cols: list[str], eps: float, min_pts: int):
+def _middles(d: int, a: str, b: str) -> Column:
+    """Squared distance between the middles of two boxes, times four."""
+    return F.expr(" + ".join(f"pow({a}lo[{i}] + {a}hi[{i}] - {b}lo[{i}] - {b}hi[{i}], 2)" for i in range(d)))
+
+
+# ---------------------------------------------------------------- inside a task
+def _points(flat, d: int) -> np.ndarray:
+    return np.asarray(flat, dtype=float).reshape(-1, d)
+
+
+def _within(a: np.ndarray, b: np.ndarray, eps2: float) -> np.ndarray:
+    """Which points of ``a`` and ``b`` lie within eps."""
+    mid = a.mean(0)
+    p, q = a - mid, b - mid
+    pp, qq = (p * p).sum(1), (q * q).sum(1)
+    d2 = pp[:, None] + qq - 2 * (p @ q.T)
+    slack = 1e-14 * (a.shape[1] + 8) * (pp.max() + qq.max() + eps2)
+    i, j = np.nonzero(np.abs(d2 - eps2) <= slack)
+    near = d2 <= eps2
+    near[i, j] = ((a[i] - b[j]) ** 2).sum(1) <= eps2
+    return near
+
+
+def _any_within(a: np.ndarray, b: np.ndarray, eps2: float) -> bool:
+    return any(_within(a[i:i + BLOCK], b[j:j + _SLICE], eps2).any() for i in range(0, len(a), BLOCK) for j in range(0, len(b), _SLICE))
+
+
+def _tight(x: np.ndarray, eps2: float) -> bool:
+    """Whether all points see each other because their box is that small."""
+    return bool(((x.max(0) - x.min(0)) ** 2).sum() <= eps2)
+
+
+def _in_reach(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, eps2: float) -> np.ndarray:
+    """Which points lie within eps of a box."""
+    return (np.maximum(0, np.maximum(lo - x, x - hi)) ** 2).sum(1) <= eps2 * (1 + 1e-9)
+
+
+def _blocks_of(x: np.ndarray, size: int, eps2: float) -> list[np.ndarray]:
+    """Row numbers of compact blocks: halves by the median along the longest side."""
+    out, todo = [], [np.arange(len(x))]
+    while todo:
+        rows = todo.pop()
+        own = x[rows]
+        if len(rows) <= size or _tight(own, eps2):
+            out.append(rows)
+            continue
+        axis, half = int(np.argmax(own.max(0) - own.min(0))), len(rows) // 2
+        order = np.argpartition(own[:, axis], half)
+        todo += [rows[order[:half]], rows[order[half:]]]
+    return out
+
+
+def _parts(near: np.ndarray) -> np.ndarray:
+    """Of points with their links: the smallest number of each point's connected part."""
+    label = np.full(len(near), -1)
+    for start in range(len(near)):
+        if label[start] < 0:
+            front = np.zeros(len(near), bool)
+            front[start] = True
+            while front.any():
+                label[front] = start
+                front = near[front].any(0) & (label < 0)
+    return label
+
+
+def _cuts(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """A full binary tree over a sample: axis and place of the cut of every inner node."""
+    axis, cut = np.zeros(2**depth - 1, int), np.full(2**depth - 1, np.inf)
+    sets = [sample]
+    for node in range(len(axis)):
+        own = sets[node]
+        sets[node] = None
+        left = right = own
+        if len(own) > 1:
+            axis[node] = k = int(np.argmax(own.max(0) - own.min(0)))
+            v = np.sort(own[:, k])
+            at = v[(len(v) - 1) // 2]
+            if at == v[-1] and v[0] < v[-1]:
+                at = v[v < v[-1]][-1]
+            cut[node] = at
+            left, right = own[own[:, k] <= at], own[own[:, k] > at]
+        sets += [left, right]
+    return axis, cut
+
+
+# ---------------------------------------------------------------- tables
+class _Blocks:
+    """Standardised points in blocks, and which blocks come within eps of each other."""
+
+    def __init__(self, df: DataFrame, cols: list[str], eps: float, min_pts: int, block: int | None = None, region: int | None = None):
         self.d, self.eps2, self.min_pts = len(cols), eps * eps * (1 + 1e-12), min_pts
-        self.side = eps / math.sqrt(self.d)
+        self.size, self.region = block or BLOCK, region or REGION
         row = df.agg(
             *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]
         ).first()
         x = F.array(*[
             (F.col(c).cast("double") - F.lit(float(row[f"m{i}"] or 0.0))) / F.lit(float(row[f"s{i}"] or 1.0)) for i, c in enumerate(cols)
         ])
-        fine = self.side / 2**_LEVELS
         # Identical points become one weighted point as early as the map side.
-        self.points = (
-            df.select(x.alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("w"))
-            .withColumn("b", F.expr(f"transform(x, v -> cast(floor(v / {fine!r}D) as long))"))
+        self.points = kept(df.select(x.alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("w")), "dbscan-points")
+        self.blocks = kept(self._blocks(), "dbscan-blocks")
+        self.pairs = kept(self._neighbours(), "dbscan-pairs")
+
+    def _blocks(self) -> DataFrame:
+        """Blocks with tight boxes, their points, weights, and the weight each point sees inside its block."""
+        d, eps2, size, least = self.d, self.eps2, self.size, self.min_pts
+        n = self.points.count()
+        depth = max(0, math.ceil(math.log2(min(_REGIONS, max(1, n / self.region)))))
+        part = min(1.0, _SAMPLE * 2**depth / max(1, n))
+        sample = self.points.filter(F.pmod(F.xxhash64("x"), F.lit(1 << 30)) < int(part * (1 << 30)) + 1).select("x").toArrow() if depth else None
+        axis, cut = _cuts(_points(sample["x"].combine_chunks().flatten(), d), depth) if depth else (np.zeros(0, int), np.zeros(0))
+
+        def place(batches):
+            for batch in batches:
+                x = _points(batch.column("x").flatten(), d)
+                node = np.zeros(len(x), int)
+                for _ in range(depth):
+                    node = 2 * node + 1 + (x[np.arange(len(x)), axis[node]] > cut[node])
+                yield pa.RecordBatch.from_arrays([pa.array(node - (2**depth - 1), pa.int64()), batch.column("x"), batch.column("w")], ["region", "x", "w"])
+
+        def build(table: pa.Table) -> pa.Table:
+            x, w = _points(table["x"].combine_chunks().flatten(), d), table["w"].to_numpy()
+            region, out, start = table["region"][0].as_py(), [], 0
+            for rows in _blocks_of(x, size, eps2):
+                own, weight = x[rows], w[rows]
+                if _tight(own, eps2):
+                    seen = np.full(len(own), weight.sum())
+                else:
+                    seen = (_within(own, own, eps2) | np.eye(len(own), dtype=bool)) @ weight
+                seen, block = np.minimum(seen, least), region * _NODE + start
+                start += len(own)
+                out.append({
+                    "region": region, "block": block, "lo": own.min(0), "hi": own.max(0), "x": own.ravel(), "w": weight, "got": seen,
+                })
+            return pa.Table.from_pylist(out, schema=schema)
+
+        doubles, longs = pa.list_(pa.float64()), pa.list_(pa.int64())
+        schema = pa.schema([("region", pa.int64()), ("block", pa.int64()), ("lo", doubles), ("hi", doubles), ("x", doubles), ("w", longs), ("got", longs)])
+        placed = self.points.mapInArrow(place, "region long, x array<double>, w long")
+        return placed.groupBy("region").applyInArrow(
+            build, "region long, block long, lo array<double>, hi array<double>, x array<double>, w array<long>, got array<long>"
         )
-        bounds = [F.min(F.expr(f"x[{i}]")).alias(f"l{i}") for i in range(self.d)]
-        bounds += [F.max(F.expr(f"x[{i}]")).alias(f"h{i}") for i in range(self.d)]
-        boxes = self.points.groupBy("b").agg(F.sum("w").alias("w"), *bounds)
-        self.bricks = boxes.checkpoint()
-        self.tree = self._tree().persist()
-        self.cells = self.tree.filter("level = 0").withColumn("dense", F.col("w") >= min_pts).persist()
-        self.pairs = self._neighbours().persist()
-
-    def key(self, level: int) -> Column:
-        return F.expr(f"transform(b, v -> shiftright(v, {_LEVELS - level}))")
-
-    def _tree(self) -> DataFrame:
-        """Boxes of all levels: id, parent id, weight, tight bounds."""
-        out = None
-        for level in range(_LEVELS + 1):
-            keyed = self.bricks.withColumn("c", self.key(level))
-            if level:
-                keyed = keyed.withColumn("up", self.key(level - 1))
-            part = keyed.groupBy("c", *(["up"] if level else [])).agg(
-                F.sum("w").alias("w"),
-                *[F.min(f"l{i}").alias(f"l{i}") for i in range(self.d)], *[F.max(f"h{i}").alias(f"h{i}") for i in range(self.d)],
-            )
-            part = part.select(
-                F.lit(level).alias("level"), _name(level, "c").alias("id"),
-                (_name(level - 1, "up") if level else F.lit(None).cast("string")).alias("parent"), "c", "w",
-                F.array(*[f"l{i}" for i in range(self.d)]).alias("lo"), F.array(*[f"h{i}" for i in range(self.d)]).alias("hi"),
-            )
-            out = part if out is None else out.unionByName(part)
-        return out
 
     def _neighbours(self) -> DataFrame:
-        """Ordered pairs (a, b) of occupied cells whose boxes come within eps; a cell is its own neighbour.
-
-        Found by halving, a few axes at a time: both boxes of a pair are cut in two along at most six axes, and
-        only pieces that still come within eps go on.  The descent starts from the one box around everything, so
-        no step makes more than 4,096 pairs of one pair, whatever the number of columns, and the effort follows the
-        pairs that are near.  Axes too short to be cut at a width are passed over.  ``steps`` counts how far the
-        cells lie apart on the grid.
-        """
-        ends = self.cells.agg(*[f(F.expr(f"c[{i}]")).alias(f"{n}{i}") for i in range(self.d) for n, f in (("a", F.min), ("z", F.max))]).first()
-        first = [ends[f"a{i}"] or 0 for i in range(self.d)]
-        bits = [((ends[f"z{i}"] or 0) - first[i]).bit_length() for i in range(self.d)]  # shifted so far, an axis has one place
-        bounds = [F.array(*[f(F.expr(f"{n}[{i}]")) for i in range(self.d)]).alias(n) for n, f in (("lo", F.min), ("hi", F.max))]
-
-        def place(shifts: list[int]) -> Column:
-            return F.concat_ws(",", *[F.expr(f"shiftright(c[{i}] - {first[i]}L, {s})") for i, s in enumerate(shifts)])
-
-        shifts = list(bits)
-        root = self.cells.select(place(shifts).alias("a")).distinct()
-        front = root.withColumn("b", F.col("a"))
-        for shift in range(max(bits) - 1, -1, -1):
-            cut = [i for i in range(self.d) if bits[i] > shift]
-            for at in range(0, len(cut), _AXES):
-                before = place(shifts)
-                for i in cut[at:at + _AXES]:
-                    shifts[i] = shift
-                kids = self.cells.groupBy(before.alias("parent"), place(shifts).alias("id")).agg(*bounds).persist()
-                for s in "ab":
-                    own = kids.select(F.col("parent").alias(s), F.col("id").alias(f"{s}id"), F.col("lo").alias(f"{s}lo"), F.col("hi").alias(f"{s}hi"))
-                    front = front.drop(f"{s}lo", f"{s}hi").join(own, s).drop(s).withColumnRenamed(f"{s}id", s)
-                    if f"{'b' if s == 'a' else 'a'}lo" in front.columns:
-                        front = front.filter(_near(self.d, "a", "b") <= self.eps2)
-                front = (front.select("a", "b") if shifts == [0] * self.d else front).checkpoint()
-                kids.unpersist()
-        names = self.cells.select(place(shifts).alias("at"), F.col("id").alias("cell"), "c")
-        for s in "ab":
-            front = front.join(names.select(F.col("at").alias(s), F.col("cell").alias(f"{s}cell"), F.col("c").alias(f"{s}c")), s).drop(s)
-        steps = F.expr("aggregate(zip_with(ac, bc, (x, y) -> abs(x - y)), 0L, (t, v) -> t + v)").alias("steps")
-        return front.select(F.col("acell").alias("a"), F.col("bcell").alias("b"), steps)
-
-    def children(self, boxes: DataFrame) -> DataFrame:
-        """What is inside each listed box: the next level's boxes, or its points on the last level."""
-        wanted = boxes.select("id").distinct()
-        deeper = self.tree.filter("level > 0").join(wanted.withColumnRenamed("id", "parent"), "parent", "left_semi").select(
-            "parent", "id", "w", "lo", "hi"
-        )
-        last = wanted.filter(F.col("id").startswith(f"{_LEVELS}:"))
-        inside = self.points.withColumn("parent", _name(_LEVELS, "b")).join(
-            last.withColumnRenamed("id", "parent"), "parent", "left_semi"
-        ).select("parent", F.concat(F.lit("p:"), F.expr("array_join(transform(x, v -> cast(v as string)), ',')")).alias("id"),
-                 "w", F.col("x").alias("lo"), F.col("x").alias("hi"))
-        return deeper.unionByName(inside)
-
-
-def _sparse_points(g: _Grid) -> DataFrame:
-    """Points of cells under ``min_pts``; at most ``min_pts - 1`` per cell."""
-    thin = g.cells.filter("not dense").select(F.col("id").alias("cell"))
-    return (
-        g.points.withColumn("cell", F.concat(
-            F.lit("0:"), F.expr(f"array_join(transform(b, v -> cast(shiftright(v, {_LEVELS}) as string)), ',')")
-        ))
-        .join(thin, "cell", "left_semi")
-        .select(F.concat(F.lit("p:"), F.expr("array_join(transform(x, v -> cast(v as string)), ',')")).alias("pid"),
-                "cell", "w", F.col("x").alias("alo"), F.col("x").alias("ahi"))
-    )
-
-
-def _count_neighbours(g: _Grid, thin: DataFrame) -> DataFrame:
-    """Sparse points with the weight seen within eps (exact below ``min_pts``) and whether a dense cell is in reach."""
-    boxes = g.cells.select("id", "w", "lo", "hi", "dense")
-    front = (
-        thin.drop("w").join(g.pairs.select(F.col("a").alias("cell"), F.col("b").alias("id")), "cell")
-        .join(boxes, "id")
-        .select("pid", "alo", "ahi", "id", F.col("w").alias("bw"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"), "dense")
-    )
-    seen = thin.select("pid", F.lit(0).cast("long").alias("got"), F.lit(False).alias("by_dense"))
-    for level in range(_LEVELS + 2):
-        near, far = _near(g.d, "a", "b"), _far(g.d, "a", "b")
-        front = front.filter(near <= g.eps2).withColumn("inside", far <= g.eps2)
-        # Bounds are needed again only where a box has to be opened.
-        front = front.withColumns({c: F.when(~F.col("inside"), F.col(c)) for c in ("alo", "ahi", "blo", "bhi")}).checkpoint()
-        sure = front.filter("inside").groupBy("pid").agg(F.sum("bw").alias("more"), F.bool_or("dense").alias("touch"))
-        seen = seen.join(sure, "pid", "left").select(
-            "pid", (F.col("got") + F.coalesce("more", F.lit(0))).alias("got"),
-            (F.col("by_dense") | F.coalesce("touch", F.lit(False))).alias("by_dense"),
-        ).checkpoint()
-        unsettled = seen.filter(F.col("got") < g.min_pts).select("pid")
-        open_boxes = front.filter("not inside").join(unsettled, "pid", "left_semi")
-        if level > _LEVELS or open_boxes.isEmpty():
-            break
-        kids = g.children(open_boxes.select("id"))
-        front = open_boxes.select("pid", "alo", "ahi", F.col("id").alias("parent"), "dense").join(kids, "parent").select(
-            "pid", "alo", "ahi", "id", F.col("w").alias("bw"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"), "dense"
-        )
-    return seen
-
-
-def _touching(g: _Grid, front: DataFrame) -> DataFrame:
-    """Pairs (a, b) with at least one point of each within eps.
-
-    ``front`` has the pair, and for each side the current box.  Both sides open
-    together; a pair leaves as soon as one of its box pairs is settled.
-    """
-    found = None
-    for level in range(_LEVELS + 2):
-        near, far = _near(g.d, "a", "b"), _far(g.d, "a", "b")
-        front = front.filter(near <= g.eps2).withColumn("inside", far <= g.eps2).checkpoint()
-        edges = front.filter("inside").select("a", "b").distinct().checkpoint()
-        found = edges if found is None else found.unionByName(edges)
-        rest = front.filter("not inside").join(edges, ["a", "b"], "left_anti")
-        if level > _LEVELS or rest.isEmpty():
-            break
-        ids = rest.select(F.col("aid").alias("id")).unionByName(rest.select(F.col("bid").alias("id")))
-        kids = g.children(ids.filter(~F.col("id").startswith("p:"))).select("parent", "id", "lo", "hi").persist()
-        front = rest.select("a", "b", "aid", "alo", "ahi", "bid", "blo", "bhi")
+        """Ordered pairs (a, b) of different blocks whose boxes come within eps, found by pairs of regions."""
+        boxes = self.blocks.select("region", "block", "lo", "hi")
+        whole = boxes.groupBy("region").agg(*[
+            F.array(*[f(F.expr(f"{n}[{i}]")) for i in range(self.d)]).alias(n) for n, f in (("lo", F.min), ("hi", F.max))
+        ])
+        side = [whole.select(F.col("region").alias(f"{s}region"), F.col("lo").alias(f"{s}lo"), F.col("hi").alias(f"{s}hi")) for s in "ab"]
+        front = side[0].crossJoin(F.broadcast(side[1])).filter(_near(self.d, "a", "b") <= self.eps2).select("aregion", "bregion")  # at most 8,192 regions
         for s in "ab":
-            side = kids.select(F.col("parent").alias(f"{s}id"), F.col("id").alias("__id"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
-            # A point has no children and stays as it is.
-            front = front.join(side, f"{s}id", "left").withColumns({
-                f"{s}id": F.coalesce("__id", f"{s}id"), f"{s}lo": F.coalesce("__lo", f"{s}lo"), f"{s}hi": F.coalesce("__hi", f"{s}hi"),
-            }).drop("__id", "__lo", "__hi")
-    return found
+            own = boxes.select(F.col("region").alias(f"{s}region"), F.col("block").alias(s), F.col("lo").alias(f"{s}lo"), F.col("hi").alias(f"{s}hi"))
+            front = front.join(own, f"{s}region")
+        return front.filter("a <> b").filter(_near(self.d, "a", "b") <= self.eps2).select("a", "b", "aregion", "bregion")
+
+    def meet(self, pairs: DataFrame, left: DataFrame, right: DataFrame, judge, schema: str) -> DataFrame:
+        """``judge`` on what the pairs' left and right blocks bring along, region by region."""
+        sides = [
+            t.join(pairs.select(F.col(s).alias("block"), F.col("aregion").alias(f"{s}_from"), F.col("bregion").alias(f"{s}_to")).distinct(), "block")
+            .groupBy(f"{s}_from", f"{s}_to") for s, t in (("a", left), ("b", right.toDF(*right.columns)))
+        ]
+        return sides[0].cogroup(sides[1]).applyInArrow(judge, schema)
+
+    def of_some(self, blocks: DataFrame, wanted: str, *more: str) -> DataFrame:
+        """Only the points that ``wanted`` (of number i) names, with their numbers; their box is tight."""
+        picked = blocks.withColumn("at", F.expr(f"filter(sequence(0, size(w) - 1), i -> {wanted})")).filter("size(at) > 0")
+        d = self.d
+        x = F.expr(f"flatten(transform(at, i -> slice(x, i * {d} + 1, {d})))")
+        ends = [F.expr("array(" + ", ".join(f"{f}(transform(at, i -> px[i * {d} + {k}]))" for k in range(d)) + ")") for f in ("array_min", "array_max")]
+        picked = picked.withColumnRenamed("x", "px").withColumns({"lo": ends[0], "hi": ends[1]}).withColumnRenamed("px", "x")
+        return picked.select("block", "at", "lo", "hi", x.alias("x"), *[F.expr(f"transform(at, i -> {c}[i])").alias(c) for c in more])
+
+
+def _opened(table: pa.Table, d: int, *names: str) -> list[dict]:
+    """Rows of a table of blocks with their arrays as numpy arrays."""
+    cols = {n: [np.asarray(v.values) for v in table[n]] for n in ("at", "x", "lo", "hi", *names)}
+    return [
+        {"block": b, **{n: cols[n][i] for n in cols}, "x": cols["x"][i].reshape(-1, d)} for i, b in enumerate(table["block"].to_pylist())
+    ]
+
+
+def _near_boxes(row: dict, others: list[dict], lo: np.ndarray, hi: np.ndarray, eps2: float):
+    """The other blocks of which something may lie within eps of a block."""
+    gap = (np.maximum(0, np.maximum(lo - row["hi"], row["lo"] - hi)) ** 2).sum(1)
+    return [others[k] for k in np.flatnonzero(gap <= eps2 * (1 + 1e-9)) if others[k]["block"] != row["block"]]
+
+
+def _met(g: _Blocks, pairs: DataFrame, left: DataFrame, right: DataFrame, of_right: str | None) -> DataFrame:
+    """(block, at, more): left points that see something on the right, and the weight, or the number, they see."""
+    d, eps2 = g.d, g.eps2
+    schema = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("more", pa.int64())])
+
+    def judge(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = []
+        if a.num_rows and b.num_rows:
+            others = _opened(b, d, *([of_right] if of_right else []))
+            lo, hi = np.stack([o["lo"] for o in others]), np.stack([o["hi"] for o in others])
+            for row in _opened(a, d):
+                seen = np.zeros(len(row["at"]), int)
+                for o in _near_boxes(row, others, lo, hi, eps2):
+                    close = np.flatnonzero(_in_reach(row["x"], o["lo"], o["hi"], eps2))
+                    for j in range(0, len(o["x"]) if len(close) else 0, _SLICE):
+                        near = _within(row["x"][close], o["x"][j:j + _SLICE], eps2)
+                        seen[close] += near @ o[of_right][j:j + _SLICE] if of_right else near.any(1)
+                hit = np.flatnonzero(seen)
+                out.append(pa.table([np.full(len(hit), row["block"]), row["at"][hit], seen[hit]], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    found = g.meet(pairs, left, right, judge, "block long, at int, more long")
+    return found.groupBy("block", "at").agg(F.sum("more").alias("more"))
+
+
+def _facing(g: _Blocks, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Neighbouring pairs in which something of the left block lies within eps of the right one."""
+    sides = [t.select(F.col("block").alias(s), F.col("lo").alias(f"{s}lo"), F.col("hi").alias(f"{s}hi")) for s, t in (("a", left), ("b", right))]
+    return g.pairs.join(sides[0], "a").join(sides[1], "b").filter(_near(g.d, "a", "b") <= g.eps2).select("a", "b", "aregion", "bregion")
+
+
+def _with_cores(g: _Blocks) -> DataFrame:
+    """Blocks with core marks, ``part`` (smallest number of a core point's part in its block), and points a core of the block holds."""
+    sparse = kept(g.of_some(g.blocks, f"got[i] < {g.min_pts}"), "dbscan-sparse")
+    whole = g.blocks.select("block", "lo", "hi", F.expr("sequence(0, size(w) - 1)").alias("at"), "x", "w")
+    more = _met(g, _facing(g, sparse, whole), sparse, whole, "w").groupBy("block").agg(F.collect_list(F.struct("at", "more")).alias("more"))
+    d, eps2, least = g.d, g.eps2, g.min_pts
+
+    def judge(batches):
+        for batch in batches:
+            parts, held, marks = [], [], []
+            for x, got, extra in zip(batch["x"], batch["got"], batch["more"], strict=True):
+                x, got = _points(x.values, d), np.array(got.values)
+                for m in extra.as_py() or []:
+                    got[m["at"]] += m["more"]
+                core = got >= least
+                part, reached = np.full(len(x), -1), np.zeros(len(x), bool)
+                mine = np.flatnonzero(core)
+                if len(mine) and _tight(x, eps2):
+                    reached[:], part[mine] = True, mine[0]
+                elif len(mine):
+                    near = _within(x, x[mine], eps2)
+                    reached = near.any(1)
+                    part[mine] = mine[_parts(near[mine])]
+                marks.append(core)
+                parts.append(part)
+                held.append(reached | core)
+            arrays = [batch[n] for n in ("region", "block", "x", "w")]
+            arrays += [pa.array(marks, pa.list_(pa.bool_())), pa.array(held, pa.list_(pa.bool_())), pa.array(parts, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["region", "block", "x", "w", "core", "held", "part"])
+
+    joined = g.blocks.select("region", "block", "x", "w", "got").join(more, "block", "left").select("region", "block", "x", "w", "got", "more")
+    return joined.mapInArrow(judge, "region long, block long, x array<double>, w array<long>, core array<boolean>, held array<boolean>, part array<int>")
+
+
+def _touching(g: _Blocks, pairs: DataFrame, cores: DataFrame) -> DataFrame:
+    """Pairs (a, b) of parts with at least one core point of each within eps; a part's block is its number up to the block's size."""
+    d, eps2 = g.d, g.eps2
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def judge(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = []
+        if a.num_rows and b.num_rows:
+            others = {o["block"]: o for o in _opened(b, d, "part")}
+            for row, asks in zip(_opened(a, d, "part"), a["asks"], strict=True):
+                for ask in asks.as_py():
+                    if (o := others.get(ask["block"])) is None:
+                        continue  # a block of another region
+                    x, y = row["x"][row["part"] == ask["a"] - row["block"]], o["x"][o["part"] == ask["b"] - ask["block"]]
+                    x = x[_in_reach(x, y.min(0), y.max(0), eps2)]
+                    y = y[_in_reach(y, row["lo"], row["hi"], eps2)]
+                    if len(x) and len(y) and _any_within(x, y, eps2):
+                        out.append((ask["a"], ask["b"]))
+        return pa.table([[p[i] for p in out] for i in (0, 1)], schema=schema)
+
+    asks = pairs.groupBy(F.col("ablock").alias("block")).agg(F.collect_list(F.struct(F.col("bblock").alias("block"), "a", "b")).alias("asks"))
+    met = pairs.select(F.col("ablock").alias("a"), F.col("bblock").alias("b"), "aregion", "bregion")
+    return g.meet(met, cores.join(asks, "block"), cores, judge, "a long, b long")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -231,60 +340,74 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = jumped.select("id", "label")
 
 
-def dbscan(df: DataFrame, cols: list[str], eps: float = 0.8, min_pts: int = 5) -> DataFrame:
-    """One row ``(n_rows, noise_points, core_points, clusters)`` for standardised ``cols``, any number of them."""
+def _clusters(g: _Blocks, cores: DataFrame) -> DataFrame:
+    """(id, label) of the parts: parts ask their nearest parts first, in rounds with more of them, until none are left apart."""
+    d, names = g.d, ["id", "block", "lo", "hi"]
+
+    def boxes(batches):
+        for batch in batches:
+            out = []
+            for block, x, part in zip(batch["block"].to_pylist(), batch["x"], batch["part"], strict=True):
+                x, part = _points(x.values, d), np.asarray(part.values)
+                order = np.argsort(part, kind="stable")
+                starts = np.flatnonzero(np.diff(part[order], prepend=-1))
+                ends = [f.reduceat(x[order], starts, axis=0) for f in (np.minimum, np.maximum)]
+                out += [(block + int(part[order[at]]), block, ends[0][k], ends[1][k]) for k, at in enumerate(starts)]
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
+
+    found = cores.select("block", "x", "part").mapInArrow(boxes, "id long, block long, lo array<double>, hi array<double>")
+    parts = kept(found, "dbscan-parts")
+    labels = parts.select("id", F.col("id").alias("label"))
+    pairs = g.pairs.filter("a < b").withColumnsRenamed({"a": "ablock", "b": "bblock"})
+    for s in "ab":
+        pairs = pairs.join(parts.select(F.col("block").alias(f"{s}block"), F.col("id").alias(s), F.col("lo").alias(f"{s}lo"), F.col("hi").alias(f"{s}hi")), f"{s}block")
+    pairs = pairs.filter(_near(g.d, "a", "b") <= g.eps2)
+    sure = F.coalesce(_far(g.d, "a", "b") <= g.eps2, F.lit(False))
+    apart = kept(pairs.select("a", "b", "ablock", "bblock", "aregion", "bregion", sure.alias("sure"), _middles(g.d, "a", "b").alias("way")), "dbscan-apart")
+    most = _NEAREST
+    while not apart.isEmpty():
+        ranks = [F.row_number().over(Window.partitionBy(s).orderBy("way", t)) for s, t in ("ab", "ba")]
+        asked = kept(apart.withColumns({"ra": ranks[0], "rb": ranks[1]}).filter((F.col("ra") <= most) | (F.col("rb") <= most)).drop("ra", "rb"), "dbscan-asked")
+        edges = kept(asked.filter("sure").select("a", "b").unionByName(_touching(g, asked.filter("not sure"), cores)), "dbscan-edges")
+        la = labels.select(F.col("id").alias("a"), F.col("label").alias("pa"))
+        lb = labels.select(F.col("id").alias("b"), F.col("label").alias("pb"))
+        joined = edges.join(la, "a").join(lb, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")).filter("a <> b").distinct()
+        higher = components(labels.select(F.col("label").alias("id")).distinct(), joined)
+        labels = kept(labels.join(higher.select(F.col("id").alias("label"), F.col("label").alias("to")), "label").select("id", F.col("to").alias("label")), "dbscan-labels")
+        la = labels.select(F.col("id").alias("a"), F.col("label").alias("pa"))
+        lb = labels.select(F.col("id").alias("b"), F.col("label").alias("pb"))
+        left = apart.join(la, "a").join(lb, "b").filter("pa <> pb").drop("pa", "pb").join(asked.select("a", "b"), ["a", "b"], "left_anti")
+        apart, most = kept(left, "dbscan-apart"), most * 8
+    return labels
+
+
+def dbscan(df: DataFrame, cols: list[str], eps: float = 0.8, min_pts: int = 5, block: int | None = None, region: int | None = None) -> DataFrame:
+    """One row ``(n_rows, noise_points, core_points, clusters)`` for standardised ``cols``, any number of them.
+
+    ``block`` and ``region`` size the pieces of work; they have no influence on the result.
+    """
     if not cols:
         raise ValueError("DBSCAN needs a column")
     checkpoint_dir(df.sparkSession)
-    g = _Grid(df.na.drop(subset=cols), cols, eps, min_pts)
-    thin = _sparse_points(g).checkpoint()
-    seen = _count_neighbours(g, thin)
-    judged = thin.join(seen, "pid").withColumn("core", F.col("got") >= min_pts).checkpoint()
-
-    # Sparse points next to each other: few per cell, so these pairs are few.
-    left = judged.select("cell", F.col("pid").alias("a"), "alo", "ahi", F.col("core").alias("a_core"))
-    right = judged.filter("core").select(F.col("cell").alias("other"), F.col("pid").alias("b"), F.col("alo").alias("blo"), F.col("ahi").alias("bhi"))
-    close = (
-        left.join(g.pairs.select(F.col("a").alias("cell"), F.col("b").alias("other")), "cell").join(right, "other")
-        .filter(_near(g.d, "a", "b") <= g.eps2).select("a", "b", "a_core").checkpoint()
-    )
-    held = close.filter("not a_core").select(F.col("a").alias("pid")).distinct()
-    noise = judged.filter("not core and not by_dense").join(held, "pid", "left_anti")
-
-    dense = g.cells.filter("dense").select("id", "lo", "hi")
-    nodes = dense.select("id").unionByName(judged.filter("core").select(F.col("pid").alias("id")))
-    edges = close.filter("a_core and a < b").select("a", "b")
-    to_dense = (
-        judged.filter("core").select(F.col("pid").alias("a"), F.col("pid").alias("aid"), "alo", "ahi", "cell")
-        .join(g.pairs.select(F.col("a").alias("cell"), F.col("b")), "cell")
-        .join(dense.select(F.col("id").alias("b"), F.col("id").alias("bid"), F.col("lo").alias("blo"), F.col("hi").alias("bhi")), "b")
-        .drop("cell")
-    )
-    cell_pairs = (
-        g.pairs.filter("a < b")
-        .join(dense.select(F.col("id").alias("a"), F.col("id").alias("aid"), F.col("lo").alias("alo"), F.col("hi").alias("ahi")), "a")
-        .join(dense.select(F.col("id").alias("b"), F.col("id").alias("bid"), F.col("lo").alias("blo"), F.col("hi").alias("bhi")), "b")
-    )
-    # Cells that share a face settle most connections; only pairs still apart are looked at again.
-    edges = edges.unionByName(_touching(g, cell_pairs.filter("steps = 1").drop("steps")))
-    labels = components(nodes, edges)
-    rest = cell_pairs.filter("steps > 1").drop("steps").unionByName(to_dense)
-    la = labels.select(F.col("id").alias("a"), F.col("label").alias("pa"))
-    lb = labels.select(F.col("id").alias("b"), F.col("label").alias("pb"))
-    apart = rest.join(la, "a").join(lb, "b").filter("pa <> pb")
-    # From here a pair stands for its two parts, so one meeting settles all pairs of those parts.
-    apart = apart.select(
-        F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"), "aid", "alo", "ahi", "bid", "blo", "bhi"
-    )
-    parts = labels.select(F.col("label").alias("id")).distinct()
-    final = components(parts, _touching(g, apart))
-
-    total = df.na.drop(subset=cols).agg(F.count(F.lit(1)).alias("n_rows"))
+    df = df.na.drop(subset=cols)
+    g = _Blocks(df, cols, eps, min_pts, block, region)
+    marked = kept(_with_cores(g), "dbscan-marked")
+    cores = kept(g.of_some(marked, "core[i]", "part"), "dbscan-cores")
+
+    alone = kept(g.of_some(marked, "not held[i]", "w"), "dbscan-alone")
+    held = _met(g, _facing(g, alone, cores), alone.drop("w"), cores.drop("part"), None)
+    weights = alone.select("block", F.explode(F.arrays_zip("at", "w")).alias("p")).select("block", "p.at", "p.w")
+    noise = weights.join(held, ["block", "at"], "left_anti")
+    final = _clusters(g, cores)
+
+    core_w = F.expr("aggregate(zip_with(w, core, (v, c) -> if(c, v, 0L)), 0L, (t, v) -> t + v)")
+    all_w = F.expr("aggregate(w, 0L, (t, v) -> t + v)")
+    total = marked.agg(*[F.coalesce(F.sum(w), F.lit(0)).alias(n) for w, n in ((all_w, "n_rows"), (core_w, "core_points"))])
     lost = noise.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("noise_points"))
-    heavy = g.cells.filter("dense").select("w").unionByName(judged.filter("core").select("w"))
-    inner = heavy.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("core_points"))
     groups = final.select("label").distinct().agg(F.count(F.lit(1)).alias("clusters"))
-    return total.crossJoin(F.broadcast(lost)).crossJoin(F.broadcast(inner)).crossJoin(F.broadcast(groups))
+    out = total.crossJoin(F.broadcast(lost)).crossJoin(F.broadcast(groups))
+    return out.select("n_rows", "noise_points", "core_points", "clusters")
 
 
 def dbscan_stage(df: DataFrame, keys: Keys = Keys(), eps: float = 0.8, min_pts: int = 5) -> DataFrame:

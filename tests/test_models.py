@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rivetwatch.operators import iforest, quality, rul
-from rivetwatch.operators.density import components, dbscan
+from rivetwatch.operators.density import _Blocks, components, dbscan
 from rivetwatch.plans import sensor_view as v
 
 
@@ -119,6 +119,22 @@ def test_dbscan_of_one_point_and_of_no_row(spark):
     assert tuple(dbscan(same.filter("a > 5"), ["a", "b"]).first()) == (0, 0, 0, 0)
 
 
+@pytest.mark.parametrize("d,block,region", [(12, 16, 48), (3, 4, 16), (2, 512, 40)])
+def test_dbscan_in_small_blocks_and_regions(spark, d, block, region):
+    """Counts, noise and clusters cross many blocks and regions; rows are made by pairs of blocks, not of points or cells."""
+    rng = np.random.default_rng(d)
+    spread = 0.12 if d == 12 else 0.3
+    line = np.linspace(-4, 4, 240)[:, None] * np.ones(d) + rng.normal(0, spread / 2, (240, d))  # one long cluster over many blocks
+    x = np.concatenate([line, rng.normal(0, spread, (60, d)) + np.where(np.arange(d) % 2, 3.0, -3.0), rng.uniform(-5, 5, (60, d)), np.repeat(line[:3], 3, axis=0)])
+    df = spark.createDataFrame(pd.DataFrame(x, columns=[f"c{i}" for i in range(d)]))
+    row = dbscan(df, list(df.columns), block=block, region=region).first()
+    assert (row["noise_points"], row["core_points"], row["clusters"]) == brute_force(x)
+    g = _Blocks(df, list(df.columns), 0.8, 5, block, region)
+    blocks = g.blocks.count()
+    assert 1 < blocks < 360 and g.pairs.count() <= blocks * (blocks - 1)
+    assert g.blocks.selectExpr("sum(aggregate(w, 0L, (t, v) -> t + v))").first()[0] == len(x)
+
+
 def test_components(spark):
     nodes = spark.createDataFrame([(str(i),) for i in range(10)], ["id"])
     edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(6)] + [("8", "9")], ["a", "b"])
