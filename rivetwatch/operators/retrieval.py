@@ -18,7 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions.columns import Keys
 from ..session import kept
 
-BLOCK_DOCS, BATCH_QUERIES = 1024, 64
+BLOCK_DOCS, BATCH_QUERIES = 1024, 128
+_STEP = 1 << 19  # words counted at once
 # Scores are compared to this many digits; ties go to the smaller document key.
 _DIGITS, _SLACK = 9, 1e-8
 
@@ -58,46 +59,111 @@ def brief_documents(ranked: DataFrame, predictions: DataFrame, inspect: DataFram
 
 
 # ---------------------------------------------------------------- tf-idf
-def ngrams(text: Column) -> Column:
-    """Words of two or more letters or digits, lower-cased, plus neighbouring pairs."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
-    pairs = F.zip_with(
-        F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
-        F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda a, b: F.concat(a, F.lit(" "), b),
-    )
-    return F.concat(words, pairs)
+def words(text: Column) -> Column:
+    """Words of two or more letters or digits, lower-cased; empty for NULL."""
+    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1)), F.array().cast("array<string>"))
+
+
+def _steps(lists: pa.ListArray) -> list[tuple[int, int]]:
+    """Rows (from, to) of at most ``_STEP`` words together; a longer text stands alone."""
+    ends, out, start = np.cumsum(np.diff(lists.offsets.to_numpy())), [], 0
+    while start < len(lists):
+        stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + _STEP, side="right"))
+        out.append((start, max(stop, start + 1)))
+        start = out[-1][1]
+    return out
+
+
+def _grams(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(row, code) of every word and every neighbouring pair, and the words that the codes stand for.
+
+    With n different words, word i has code i and the pair of i and j has n + n * i + j.
+    """
+    coded = lists.flatten().dictionary_encode()
+    code, n = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    beside = row[1:] == row[:-1]
+    pairs = (n + n * code[:-1] + code[1:])[beside]
+    return np.concatenate([row, row[1:][beside]]), np.concatenate([code, pairs]), coded.dictionary
+
+
+def _spelt(code: np.ndarray, dictionary: pa.Array) -> pa.Array:
+    """The terms of sorted codes."""
+    n = len(dictionary)
+    at = int(np.searchsorted(code, n))
+    first, second = (dictionary.take(pa.array(i)) for i in np.divmod(code[at:] - n, max(n, 1)))
+    return pa.concat_arrays([dictionary.take(pa.array(code[:at])), pa.compute.binary_join_element_wise(first, second, " ")])
 
 
 def _vocabulary(docs: DataFrame, text: str, max_terms: int) -> DataFrame:
     """The ``max_terms`` most frequent terms with their inverse document frequency.
 
-    A document adds one mark per occurrence and one per distinct term; marks
-    are summed on the map side, so only term totals are shuffled.
+    Terms are counted in tasks, some hundred thousand words at a time; only term totals are exchanged.
     """
-    marks = docs.select(ngrams(F.col(text)).alias("g")).select(
-        F.explode(
-            F.concat(
-                F.transform("g", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
-                F.transform(F.array_distinct("g"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))),
-            )
-        ).alias("m")
-    )
-    totals = marks.groupBy("m.term").agg(F.sum("m.tf").alias("total"), F.sum("m.df").alias("df"))
+    def count(batches):
+        for batch in batches:
+            for a, b in _steps(batch.column("words")):
+                row, code, dictionary = _grams(batch.column("words").slice(a, b - a))
+                if not len(code):
+                    continue
+                # Sorted by term and row: each entry is one text's use of a term.
+                both, uses = np.unique(code * (b - a) + row, return_counts=True)
+                term = both // (b - a)
+                starts = np.flatnonzero(np.diff(term, prepend=-1))
+                total, df = np.add.reduceat(uses, starts), np.diff(starts, append=len(term))
+                yield pa.RecordBatch.from_arrays([_spelt(term[starts], dictionary), pa.array(total, pa.int64()), pa.array(df, pa.int64())], ["term", "total", "df"])
+
+    counted = docs.select(words(F.col(text)).alias("words")).mapInArrow(count, "term string, total long, df long")
+    totals = counted.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     top = totals.orderBy(F.col("total").desc(), "term").limit(max_terms).crossJoin(F.broadcast(n))
     return top.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def _vectors(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
-    """One row per text: its terms of the vocabulary with weights of length one together.
+def _vectors(df: DataFrame, key: str, text: str, vocab: list) -> DataFrame:
+    """One row per key: its terms, by their place in the vocabulary, with weights of length one together.
 
-    Words outside the vocabulary leave before anything is grouped.
+    Words outside the vocabulary leave before anything is exchanged; texts with equal keys are one.
     """
-    terms = df.select(key, F.explode(ngrams(F.col(text))).alias("term")).join(F.broadcast(vocab), "term")
-    weights = terms.groupBy(key, "term").agg((F.count(F.lit(1)) * F.first("idf")).alias("w"))
-    grouped = weights.groupBy(key).agg(F.collect_list(F.struct("term", "w")).alias("terms"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return grouped.select(key, F.transform("terms", lambda t: F.struct(t["term"].alias("term"), (t["w"] / F.col("norm")).alias("w"))).alias("terms"))
+    idf = np.array([r["idf"] for r in vocab])
+    split = [r["term"].split(" ") for r in vocab]
+    single = np.array([len(s) == 1 for s in split], bool)
+    firsts, seconds = [s[0] for s in split], [s[-1] for s in split]
+    place = T.StructField(key, df.schema[key].dataType)
+
+    def count(batches):
+        for batch in batches:
+            for a, b in _steps(batch.column("words")):
+                row, code, dictionary = _grams(batch.column("words").slice(a, b - a))
+                if not len(code) or not len(idf):
+                    continue
+                n = len(dictionary)
+                x, y = (pa.compute.index_in(pa.array(w, dictionary.type), dictionary).fill_null(-1).to_numpy().astype(np.int64) for w in (firsts, seconds))
+                known = np.where((x < 0) | (y < 0), -1, np.where(single, x, n + n * x + y))
+                order = np.argsort(known)
+                at = np.minimum(np.searchsorted(known[order], code), len(known) - 1)
+                hit = known[order][at] == code
+                both, uses = np.unique(row[hit] * len(known) + order[at[hit]], return_counts=True)
+                rows, starts = np.unique(both // len(known), return_index=True)
+                ends = pa.array(np.append(starts, len(both)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(v, pa.int32())) for v in (both % len(known), uses)]
+                yield pa.RecordBatch.from_arrays([batch.column(key).slice(a, b - a).take(pa.array(rows)), *lists], [key, "term", "uses"])
+
+    def weigh(batches):
+        for batch in batches:
+            sizes = np.diff(batch.column("term").offsets.to_numpy())
+            both, back = np.unique(np.repeat(np.arange(len(sizes)), sizes) * len(idf) + batch.column("term").flatten().to_numpy(), return_inverse=True)
+            row, term = np.divmod(both, max(len(idf), 1))
+            w = np.bincount(back, batch.column("uses").flatten().to_numpy(), len(both)) * idf[term]
+            w = w / np.sqrt(np.bincount(row, w * w, len(sizes)))[row]
+            pairs = pa.StructArray.from_arrays([pa.array(term, pa.int32()), pa.array(w)], ["term", "w"])
+            ends = pa.array(np.searchsorted(row, np.arange(len(sizes) + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(ends, pairs)], [key, "terms"])
+
+    ints, weights = T.ArrayType(T.IntegerType()), T.StructType([T.StructField("term", T.IntegerType()), T.StructField("w", T.DoubleType())])
+    counted = df.select(key, words(F.col(text)).alias("words")).mapInArrow(count, T.StructType([place, T.StructField("term", ints), T.StructField("uses", ints)]))
+    whole = counted.groupBy(key).agg(*[F.flatten(F.collect_list(F.struct("term", "uses"))[c]).alias(c) for c in ("term", "uses")])
+    return whole.mapInArrow(weigh, T.StructType([place, T.StructField("terms", T.ArrayType(weights))]))
 
 
 def tfidf_top_k(
@@ -108,7 +174,7 @@ def tfidf_top_k(
 
     Weights are ``tf * (ln((1 + n) / (1 + df)) + 1)``, length-normalised.
     """
-    vocab = kept(_vocabulary(docs, text, max_terms), "terms")  # at most ``max_terms`` rows, read by both sides
+    vocab = _vocabulary(docs, text, max_terms).collect()  # at most ``max_terms`` rows, taken along by both sides
     best = top_k(_vectors(docs, doc_key, text, vocab), _vectors(queries, query_key, text, vocab), k, doc_key, query_key)
     return best.select(query_key, doc_key, "score", "rank")
 
@@ -129,7 +195,7 @@ def _flat(terms: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return np.repeat(np.arange(len(lists)), sizes), inner.field("term"), inner.field("w").to_numpy(zero_copy_only=False)
 
 
-def _scorer(k: int, doc_key: str, query_key: str, schema: pa.Schema, chunk: int = 64):
+def _scorer(k: int, doc_key: str, query_key: str, schema: pa.Schema, chunk: int = 32):
     """Of one block and one batch of queries: each query's k best documents."""
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:

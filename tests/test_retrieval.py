@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +45,53 @@ def test_blocks_and_batches_give_what_brute_force_gives(spark, monkeypatch, bloc
         assert {(r["q"], r["d"], r["score"], r["rank"]) for r in got.collect()} == want
 
 
+def test_tfidf_counts_terms_in_tasks_and_equals_brute_force(spark):
+    """Equal keys are one text, NULL texts count as documents, rare terms fall out; one row per key leaves a task."""
+    rng = random.Random(4)
+    names = ["pump", "Seal", "öl", "x", "leak", "low", "high", "x1", "seal_2"]
+    docs = [(i % 40, " ".join(rng.choice(names) for _ in range(rng.randrange(0, 9)))) for i in range(50)] + [(90, None), (91, "")]
+    asks = [(i, " ".join(rng.choice(names) for _ in range(4))) for i in range(6)]
+
+    def grams(text):
+        words = [w.lower() for w in (text or "").split() if len(w) > 1]
+        return words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+    total, df = Counter(t for _, x in docs for t in grams(x)), Counter(t for _, x in docs for t in set(grams(x)))
+    idf = {t: math.log((1 + len(docs)) / (1 + df[t])) + 1 for t, _ in sorted(total.items(), key=lambda p: (-p[1], p[0]))[:30]}
+    d, a = spark.createDataFrame(docs, "doc_id int, text string").repartition(3), spark.createDataFrame(asks, "query_id int, text string")
+    vocab = retrieval._vocabulary(d, "text", 30).collect()
+    assert {r["term"]: r["idf"] for r in vocab} == pytest.approx(idf) and len(total) > 30
+
+    def vectors(rows):
+        out = {}
+        for key, text in rows:
+            out.setdefault(key, Counter()).update(t for t in grams(text) if t in idf)
+        lengths = {k: math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items())) for k, c in out.items()}
+        return {k: {t: n * idf[t] / lengths[k] for t, n in c.items()} for k, c in out.items() if c}
+
+    got = {r["doc_id"]: {vocab[t["term"]]["term"]: t["w"] for t in r["terms"]} for r in retrieval._vectors(d, "doc_id", "text", vocab).collect()}
+    want = vectors(docs)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    best = {}
+    for q, terms in vectors(asks).items():
+        scores = sorted((-round(sum(w * own.get(t, 0) for t, w in terms.items()), 9), k) for k, own in want.items())
+        best[q] = [k for s, k in scores[:6] if s < 0]
+    found = retrieval.tfidf_top_k(d, a, max_terms=30).orderBy("query_id", "rank").collect()
+    assert {q: [r["doc_id"] for r in found if r["query_id"] == q] for q in best} == best
+
+
+def test_words_are_counted_in_bounded_steps(monkeypatch):
+    monkeypatch.setattr(retrieval, "_STEP", 3)
+    lists = pa.array([["x"]] * 4 + [[], ["a"] * 9, [], ["b", "c"]])
+    steps = retrieval._steps(lists)
+    assert [i for a, b in steps for i in range(a, b)] == list(range(8))
+    assert all(sum(map(len, lists[a:b].to_pylist())) <= 3 or b - a == 1 for a, b in steps)
+    row, code, own = retrieval._grams(lists.slice(5))
+    order = sorted(set(code))
+    spelt = dict(zip(order, retrieval._spelt(retrieval.np.array(order), own).to_pylist()))
+    assert Counter((r, spelt[c]) for r, c in zip(row.tolist(), code.tolist())) == {(0, "a"): 9, (0, "a a"): 8, (2, "b"): 1, (2, "c"): 1, (2, "b c"): 1}
+
+
 def test_no_rows_per_pair(spark, monkeypatch):
     """A term that every document holds costs one row per block and query, and hopeless blocks aren't scored."""
     monkeypatch.setattr(retrieval, "BLOCK_DOCS", 50)
